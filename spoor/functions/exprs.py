@@ -45,6 +45,13 @@ def instant_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS")
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of a zone-less time, whatever the session zone."""
+    minutes = F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    seconds = F.extract(F.lit("SECOND"), ts)
+    return minutes * 60_000_000 + (seconds * 1_000_000).cast("long")
+
+
 def hash_field(value: Column) -> Column:
     """``length:value``, or ``-`` for null, so that no two lists of fields join to the same text."""
     text = value.cast("string")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import fixed
 from spoor.functions.carry import along
-from spoor.functions.exprs import first_of, risk_name, risk_rank
+from spoor.functions.exprs import first_of, micros, risk_name, risk_rank
 from spoor.session import scratch_path
 
 RESOURCE = ("session_id", "resource")
@@ -26,14 +26,10 @@ def resource_index(df: DataFrame, slice_rows: int | None = None) -> DataFrame:
     )
 
 
-def _seconds(ts: str) -> Column:
-    return F.unix_micros(F.col(ts).cast("timestamp"))
-
-
 def assign_turns(df: DataFrame, gap_seconds: int, slice_rows: int | None = None) -> DataFrame:
     """G2. Number the runs of one agent in a session that lie at most ``gap_seconds`` apart."""
     who = ("session_id", "agent_id")
-    timed = df.withColumn("__us", _seconds("ts"))
+    timed = df.withColumn("__us", micros(F.col("ts")))
     timed = along(timed, who, IN_TIME, lag={"__before": "__us"}, slice_rows=slice_rows)
     starts = F.col("__before").isNull() | (F.col("__us") - F.col("__before") > gap_seconds * 1_000_000)
     return along(
@@ -87,39 +83,42 @@ def co_turn(turns: DataFrame) -> DataFrame:
 def turn_overlaps(turns: DataFrame, gap_seconds: int) -> DataFrame:
     """G6. Agents whose turns on one resource overlap in time, with the number of overlaps.
 
-    A turn on a resource becomes an interval, the interval the buckets of ``gap_seconds`` it
-    covers, and intervals meet per bucket. Turns of one agent lie more than a gap apart, so a
-    bucket holds at most two per agent, and a turn covers no more buckets than it has receipts
-    plus one: work stays linear in the rows for any number of touches of a hot resource. A pair
-    counts in the bucket where the later of both begins, so once.
+    Two spans overlap when one holds the start of the other. Each span is filed in the at most
+    three cells it touches on the grid of its own size (the gap times a power of two); each start
+    is looked up once per grid its resource uses. Turns of one agent lie more than a gap apart, so
+    a cell holds a few spans per agent however often a hot resource is touched, and no span is
+    compared with all others.
     """
-    touches = _touches(turns).withColumn("__us", _seconds("ts"))
-    spans = touches.groupBy(*RESOURCE, "agent_id", "turn").agg(
-        F.min("__us").alias("lo"), F.max("__us").alias("hi")
-    )
-    # A turn may touch the resource rarely; the bucket width keeps its count of buckets bounded.
+    touches = _touches(turns).withColumn("__us", micros(F.col("ts")))
+    spans = touches.groupBy(*RESOURCE, "agent_id", "turn").agg(F.min("__us").alias("lo"), F.max("__us").alias("hi"))
     width = gap_seconds * 1_000_000
-    cut = spans.withColumn(
-        "bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width)))
+    spans = (
+        spans.withColumn("__b0", F.floor(F.col("lo") / width))
+        .withColumn("__b1", F.floor(F.col("hi") / width))
+        .withColumn("level", F.floor(F.log2(F.greatest(F.col("__b1") - F.col("__b0"), F.lit(1)))).cast("int"))
+    )
+    cells = F.explode(F.expr("sequence(shiftright(__b0, level), shiftright(__b1, level))"))
+    filed = spans.select(*RESOURCE, F.col("agent_id").alias("holder"), "lo", "hi", "level", cells.alias("cell"))
+    # At most one entry per power of two, so the set stays tiny.
+    grids = spans.groupBy(*RESOURCE).agg(F.collect_set("level").alias("levels"))
+    starts = (
+        spans.select(*RESOURCE, F.col("agent_id").alias("comer"), F.col("lo").alias("at"), "__b0")
+        .join(grids, list(RESOURCE))
+        .select(*RESOURCE, "comer", "at", "__b0", F.explode("levels").alias("level"))
+        .withColumn("cell", F.expr("shiftright(__b0, level)"))
+        .drop("__b0")
     )
-    a, b = cut.alias("a"), cut.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*RESOURCE, "bucket")]
-    overlap = (
-        (F.col("a.agent_id") < F.col("b.agent_id"))
-        & (F.col("a.lo") <= F.col("b.hi"))
-        & (F.col("b.lo") <= F.col("a.hi"))
-        & (F.col("a.bucket") == F.floor(F.greatest(F.col("a.lo"), F.col("b.lo")) / width))
+    held = (
+        (F.col("holder") != F.col("comer"))
+        & F.col("at").between(F.col("lo"), F.col("hi"))
+        # Equal starts would count from both sides.
+        & ((F.col("at") != F.col("lo")) | (F.col("holder") < F.col("comer")))
     )
-    condition = overlap
-    for part in same:
-        condition = condition & part
     return (
-        a.join(b, condition)
+        filed.join(starts, [*RESOURCE, "level", "cell"])
+        .filter(held)
         .groupBy(
-            F.col("a.session_id").alias("session_id"),
-            F.col("a.resource").alias("resource"),
-            F.col("a.agent_id").alias("agent_a"),
-            F.col("b.agent_id").alias("agent_b"),
+            *RESOURCE, F.least("holder", "comer").alias("agent_a"), F.greatest("holder", "comer").alias("agent_b")
         )
         .agg(F.count(F.lit(1)).alias("overlaps"))
     )

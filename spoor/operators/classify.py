@@ -271,7 +271,6 @@ def classify_shell(df: DataFrame, command: str = "command") -> DataFrame:
     return (
         df.withColumn("__tokens", F.when(decidable, tokens))
         .withColumn("__at", F.array_position("__tokens", ">").cast("int"))
-        .filter(F.lit(True))
         .withColumn("__ok", (redirects == 0) | ((redirects == 1) & (at < F.size("__tokens"))))
         .withColumn("__redirect", F.when(at > 0, F.try_element_at(unquoted(F.col("__tokens")), at + 1)))
         .withColumn(

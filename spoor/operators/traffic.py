@@ -202,7 +202,6 @@ def release_metrics(split: DataFrame) -> DataFrame:
 
     The smaller release name wins a tied peak. No row when nothing was ever downloaded.
     """
-    peak = F.max_by(F.struct("human", "module"), F.struct("human", (F.col("human") > 0).alias("p")))
     peak = F.min_by(F.struct("human", "module"), F.struct((-F.col("human")).alias("m"), "release"))
     total = F.sum(F.col("darwin") + F.col("linux") + F.col("windows"))
     return (

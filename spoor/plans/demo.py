@@ -348,3 +348,61 @@ def with_views(last: str, body: str, **extra: str) -> str:
     parts = [f"{views[n][0]} AS ({views[n][1]})" for n in [*_NEEDS[last], last]]
     parts += [f"{name} AS ({sql})" for name, sql in extra.items()]
     return f"WITH RECURSIVE {', '.join(parts)} {body}"
+
+
+# ---------------------------------------------------------------------------------------------
+# Receipt documents of a trail
+
+
+def documents_of(trail: DataFrame, **changed) -> DataFrame:
+    """The trail's rows with their receipt document as ``receipt_json``.
+
+    ``changed`` replaces fields of the document: id, chain_id, action_type, proof, sequence.
+    """
+    field = {
+        "id": F.col("id"),
+        "chain_id": F.col("chain_id"),
+        "sequence": F.col("sequence"),
+        "action_type": F.col("action_type"),
+        "proof": F.lit("u-signature"),
+        **changed,
+    }
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    document = F.struct(
+        field["id"].alias("id"),
+        "version",
+        stamp.alias("issuanceDate"),
+        F.struct(
+            F.col("issuer_id").alias("id"),
+            "session_id",
+            "agent_id",
+            "model",
+            F.struct(F.parse_json("usage").alias("usage")).alias("runtime"),
+        ).alias("issuer"),
+        F.struct(
+            F.struct(F.col("principal_id").alias("id")).alias("principal"),
+            F.struct(
+                field["action_type"].alias("type"),
+                "tool_name",
+                "risk_level",
+                stamp.alias("timestamp"),
+                F.struct(F.col("target_system").alias("system"), "resource").alias("target"),
+                "idempotency_key",
+                F.struct("drop_count").alias("emitter_metadata"),
+            ).alias("action"),
+            F.struct("status", "error", "reversible", "reversal_window_seconds", "reversal_of", "response_hash").alias(
+                "outcome"
+            ),
+            F.struct("grant_ref").alias("authorization"),
+            F.struct(
+                field["chain_id"].alias("chain_id"),
+                field["sequence"].alias("sequence"),
+                "terminal",
+                F.col("chain_status").alias("status"),
+            ).alias("chain"),
+            "correlation_id",
+        ).alias("credentialSubject"),
+        F.struct(field["proof"].alias("proofValue")).alias("proof"),
+        F.lit("kept").alias("futureField"),
+    )
+    return trail.withColumn("receipt_json", F.to_json(document))

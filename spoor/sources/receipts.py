@@ -35,9 +35,7 @@ def parse_receipts(raw: DataFrame, column: str = "receipt_json") -> DataFrame:
 
 def instant(text: Column) -> Column:
     """RFC 3339 text as a zone-less UTC time; mixed offsets compare as instants."""
-    return F.to_timestamp_ntz(
-        F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()).cast("string")
-    )
+    return F.to_utc_timestamp(F.try_to_timestamp(text), F.current_timezone()).cast("timestamp_ntz")
 
 
 def lift_columns(raw: DataFrame) -> DataFrame:
