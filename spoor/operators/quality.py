@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spoor.functions import fixed
-from spoor.functions.exprs import first_of, risk_rank
+from spoor.functions.exprs import first_of, is_one_json, risk_rank
 from spoor.operators.witness import version_check_expr
 
 
@@ -24,7 +24,7 @@ def gate_structure(parsed: DataFrame) -> DataFrame:
     text = F.trim("receipt_json")
     malformed = (
         ~text.startswith("{")
-        | F.try_parse_json("receipt_json").isNull()
+        | ~is_one_json(F.col("receipt_json"))
         | F.col("r._corrupt").isNotNull()
     )
     subject = "r.credentialSubject"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor.functions import fixed
+from spoor.functions.exprs import is_one_json
 
 Patterns = Sequence[tuple[str, str]]
 
@@ -91,7 +92,7 @@ def redact_json_keys(df: DataFrame, column: str) -> DataFrame:
     Scalar values are replaced inside the JVM. Only rows where a sensitive key holds an object or
     a list, or where keys may be written with escapes, pass through Python, in Arrow batches.
     """
-    valid = F.coalesce(F.try_parse_json(column).isNotNull(), F.lit(False))
+    valid = is_one_json(F.col(column))
     hard = valid & (F.col(column).rlike(_PAIR + r"[\{\[]") | F.col(column).rlike(r'\\u[0-9a-fA-F]{4}[^":{}\[\],]*"\s*:'))
     hard = F.coalesce(hard, F.lit(False))
     easy = F.when(valid, F.regexp_replace(column, _PAIR + _SCALAR, f'$1"{fixed.REDACTED}"')).otherwise(F.col(column))
