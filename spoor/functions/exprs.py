@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoor.functions import fixed
 
@@ -152,3 +153,13 @@ def first_of(pairs: Sequence[tuple[Column, Column | str]], default=None) -> Colu
         value = F.lit(value) if isinstance(value, (str, int)) else value
         out = F.when(condition, value) if out is None else out.when(condition, value)
     return out.otherwise(F.lit(default) if isinstance(default, (str, int)) else default)
+
+
+def fixed_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A small table of literals whose size Spark knows, so that joins with it broadcast it.
+
+    ``createDataFrame`` makes a table of unknown size, which would shuffle the other side.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    entries = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(fields, row)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*entries)))

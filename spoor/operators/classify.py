@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.functions import fixed
-from spoor.functions.exprs import any_of, canonical_uri as canonical_uri_expr, first_of, glob_to_regex
+from spoor.functions.exprs import any_of, first_of, fixed_table, glob_to_regex
+from spoor.functions.exprs import canonical_uri as canonical_uri_expr
 
 
 def taxonomy_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fixed.TAXONOMY), "type string, description string, risk_level string")
+    return fixed_table(spark, fixed.TAXONOMY, "type string, description string, risk_level string")
 
 
 def classify_actions(df: DataFrame, mapping: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -167,7 +168,7 @@ def evaluate_policy(df: DataFrame, rules: DataFrame | Sequence[Mapping] = fixed.
 def validate_rules(spark: SparkSession, rules: DataFrame | Sequence[Mapping]) -> DataFrame:
     """C7. Each rule with the reason it is off, if any."""
     rows = [(i, r["name"], r["action"], _rule_problem(r)) for i, r in enumerate(_rules(rules))]
-    return spark.createDataFrame(rows, "rule_order long, name string, action string, problem string")
+    return fixed_table(spark, rows, "rule_order long, name string, action string, problem string")
 
 
 def describe_rules(validated: DataFrame) -> DataFrame:
