@@ -23,10 +23,18 @@ _NULL_KEY = "\u0000null"
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate for ``df``; reads statistics only, runs no job."""
-    try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # no JVM plan at hand, e.g. a remote client
+    if not hasattr(df, "_jdf"):  # a remote client has no plan at hand
         return None
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on an input of fewer splits than cores.
+
+    A large input has more splits than that and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:

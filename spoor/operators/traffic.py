@@ -163,16 +163,13 @@ def release_split(assets: DataFrame) -> DataFrame:
     loaded = F.col("n") > 0
     binary = loaded & F.col("platform").isNotNull()
     desktop = binary & (F.col("platform") != "linux")
-    named = F.struct(
-        F.regexp_extract("asset", _ASSET, 1).alias("module"), F.regexp_extract("asset", _ASSET, 2).alias("version")
-    )
-    parsed = binary & (F.regexp_extract("asset", _ASSET, 1) != "")
+    named = F.when(binary & F.col("asset").rlike(_ASSET), F.col("asset_no"))
 
     def total(cond: Column) -> Column:
         return F.sum(F.when(cond, F.col("n")).otherwise(0))
 
     grouped = rows.groupBy("release").agg(
-        F.min_by(named, F.when(parsed, F.col("asset_no"))).alias("first"),
+        F.min_by("asset", named).alias("__first"),
         F.max(loaded & F.col("platform").isNull() & F.lower("asset").contains("checksum")).alias("__sums"),
         F.max(loaded & F.coalesce(F.col("platform") == "linux", F.lit(False))).alias("__linux"),
         total(binary & (F.col("platform") == "darwin")).alias("darwin"),
@@ -185,8 +182,8 @@ def release_split(assets: DataFrame) -> DataFrame:
     taken = F.when(swept, F.col("__desktop_assets")).otherwise(0)
     return grouped.select(
         "release",
-        F.coalesce(F.col("first.module"), F.lit("")).alias("module"),
-        F.coalesce(F.col("first.version"), F.lit("")).alias("version"),
+        F.coalesce(F.regexp_extract("__first", _ASSET, 1), F.lit("")).alias("module"),
+        F.coalesce(F.regexp_extract("__first", _ASSET, 2), F.lit("")).alias("version"),
         (F.col("darwin") + F.col("windows") - taken).alias("human"),
         (F.col("linux") + taken).alias("ci"),
         swept.alias("swept"),

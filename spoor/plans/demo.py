@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.functions.carry import along
+from spoor.functions.carry import along, estimated_bytes, spread
 from spoor.functions.exprs import HASH_COLUMNS
 from spoor.operators.integrity import seal_chains
 from spoor.plans.dialect import DUCK, SPARK, Dialect
@@ -224,6 +224,9 @@ def tampered_columns(d: Dialect, columns: list[str]) -> list[str]:
     return out
 
 
+FILE_BYTES = 256 << 20
+MAX_FILES = 100_000
+
 _TABLES: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -236,7 +239,10 @@ def _table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     if key not in _TABLES:
         path = scratch_path(spark, name)
-        build().sortWithinPartitions("chain_id", "sequence").write.parquet(path)
+        built = build()
+        files = max(spark.sparkContext.defaultParallelism, (estimated_bytes(built) or 0) // FILE_BYTES)
+        order = ("chain_id", "sequence")
+        built.repartitionByRange(min(files, MAX_FILES), *order).sortWithinPartitions(*order).write.parquet(path)
         _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
 
@@ -245,6 +251,16 @@ def trail(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "trail", lambda: build_trail(spark, sf))
 
 
+def receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """The trail with each row's document as text."""
+    return _table(spark, sf, "receipts", lambda: documents_of(trail(spark, sf)))
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A driver table for costly per-row work; its single file is one split."""
+    return spread(spark.read.parquet(f"{sf}/{table}.parquet"))
+
+
 def sealed(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "sealed", lambda: build_sealed(trail(spark, sf)))
 
@@ -354,22 +370,11 @@ def with_views(last: str, body: str, **extra: str) -> str:
 # Receipt documents of a trail
 
 
-def documents_of(trail: DataFrame, **changed) -> DataFrame:
-    """The trail's rows with their receipt document as ``receipt_json``.
-
-    ``changed`` replaces fields of the document: id, chain_id, action_type, proof, sequence.
-    """
-    field = {
-        "id": F.col("id"),
-        "chain_id": F.col("chain_id"),
-        "sequence": F.col("sequence"),
-        "action_type": F.col("action_type"),
-        "proof": F.lit("u-signature"),
-        **changed,
-    }
+def documents_of(trail: DataFrame) -> DataFrame:
+    """The trail's rows with their receipt document as ``receipt_json``."""
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     document = F.struct(
-        field["id"].alias("id"),
+        "id",
         "version",
         stamp.alias("issuanceDate"),
         F.struct(
@@ -382,7 +387,7 @@ def documents_of(trail: DataFrame, **changed) -> DataFrame:
         F.struct(
             F.struct(F.col("principal_id").alias("id")).alias("principal"),
             F.struct(
-                field["action_type"].alias("type"),
+                F.col("action_type").alias("type"),
                 "tool_name",
                 "risk_level",
                 stamp.alias("timestamp"),
@@ -395,14 +400,14 @@ def documents_of(trail: DataFrame, **changed) -> DataFrame:
             ),
             F.struct("grant_ref").alias("authorization"),
             F.struct(
-                field["chain_id"].alias("chain_id"),
-                field["sequence"].alias("sequence"),
+                "chain_id",
+                "sequence",
                 "terminal",
                 F.col("chain_status").alias("status"),
             ).alias("chain"),
             "correlation_id",
         ).alias("credentialSubject"),
-        F.struct(field["proof"].alias("proofValue")).alias("proof"),
+        F.struct(F.lit("u-signature").alias("proofValue")).alias("proof"),
         F.lit("kept").alias("futureField"),
     )
     return trail.withColumn("receipt_json", F.to_json(document))

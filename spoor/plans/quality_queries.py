@@ -14,10 +14,6 @@ from spoor.plans.registry import query
 from spoor.sources.receipts import parse_receipts
 
 
-def _when(n: int, bad, good):
-    return F.when(F.col("event_id") % 11 == n, bad).otherwise(good)
-
-
 @query(
     "S1 Q1",
     with_views(
@@ -28,22 +24,21 @@ def _when(n: int, bad, good):
     ),
 )
 def gate_structure(spark, sf):
-    none = F.lit(None).cast("string")
-    docs = demo.documents_of(
-        demo.trail(spark, sf),
-        id=_when(1, none, F.col("id")),
-        chain_id=_when(2, F.lit(""), F.col("chain_id")),
-        action_type=_when(3, none, F.col("action_type")),
-        proof=_when(4, F.lit(""), F.lit("u-signature")),
-        sequence=_when(8, F.lit("seven"), F.col("sequence").cast("string")),
-    )
     text = F.col("receipt_json")
-    # The changed sequence is text; turn good ones back into numbers.
-    text = F.regexp_replace(text, r'"sequence":"(\d+)"', '"sequence":$1')
-    text = _when(5, F.substring(text, 1, 40), text)
-    text = _when(6, F.concat(text, F.lit(" {}")), text)
-    text = _when(7, F.lit(""), text)
-    parsed = parse_receipts(docs.select("event_id", text.alias("receipt_json")))
+    broken = [
+        F.regexp_replace(text, r'^\{"id":"[^"]*",', "{"),
+        F.regexp_replace(text, r'"chain_id":"[^"]*"', '"chain_id":""'),
+        F.regexp_replace(text, r'"action":\{"type":"[^"]*",', '"action":{'),
+        F.regexp_replace(text, '"u-signature"', '""'),
+        F.substring(text, 1, 40),
+        F.concat(text, F.lit(" {}")),
+        F.lit(""),
+        F.regexp_replace(text, r'"sequence":\d+', '"sequence":"seven"'),
+    ]
+    edited = text
+    for n, edit in enumerate(broken, start=1):
+        edited = F.when(F.col("event_id") % 11 == n, edit).otherwise(edited)
+    parsed = parse_receipts(demo.receipts(spark, sf).select("event_id", edited.alias("receipt_json")))
     return Q.gate_structure(parsed).select("event_id", "reject_reason")
 
 
@@ -103,18 +98,25 @@ def forked_slots(spark, sf):
     "Q4",
     with_views(
         "trail",
-        "SELECT id, chain_id, sequence, CASE event_id % 9 WHEN 1 THEN 'id' WHEN 2 THEN 'chain_id' ELSE 'sequence' END AS mismatch FROM trail WHERE event_id % 9 IN (1, 2, 3)",
+        "SELECT CASE WHEN event_id % 9 = 1 THEN id || '-x' ELSE id END AS id, CASE WHEN event_id % 9 = 2 THEN 'other' ELSE chain_id END AS chain_id, "
+        "CASE WHEN event_id % 9 = 3 THEN sequence + 1 ELSE sequence END AS sequence, CASE event_id % 9 WHEN 1 THEN 'id' WHEN 2 THEN 'chain_id' ELSE 'sequence' END AS mismatch "
+        "FROM trail WHERE event_id % 9 IN (1, 2, 3)",
     ),
 )
 def key_parity(spark, sf):
+    # Lifted columns changed against the document; a document without an id and one without a
+    # sequence pass.
     nine = F.col("event_id") % 9
-    docs = demo.documents_of(
-        demo.trail(spark, sf),
-        id=F.when(nine == 1, F.lit("other")).when(nine == 4, F.lit(None)).otherwise(F.col("id")),
-        chain_id=F.when(nine == 2, F.lit("other")).otherwise(F.col("chain_id")),
-        sequence=F.when(nine == 3, F.col("sequence") + 1).when(nine == 5, F.lit(None)).otherwise(F.col("sequence")),
+    given = demo.receipts(spark, sf).select(
+        F.when(nine == 1, F.concat("id", F.lit("-x"))).otherwise(F.col("id")).alias("id"),
+        F.when(nine == 2, F.lit("other")).otherwise(F.col("chain_id")).alias("chain_id"),
+        F.when(nine == 3, F.col("sequence") + 1).otherwise(F.col("sequence")).alias("sequence"),
+        F.when(nine == 4, F.regexp_replace("receipt_json", r'^\{"id":"[^"]*",', "{"))
+        .when(nine == 5, F.regexp_replace("receipt_json", r'"sequence":\d+,?', ""))
+        .otherwise(F.col("receipt_json"))
+        .alias("receipt_json"),
     )
-    return Q.key_parity(docs)
+    return Q.key_parity(given)
 
 
 _LONG = "repeat('é', 129)"
@@ -324,7 +326,7 @@ SCAN_RULES = (
     + " UNION ALL ".join(f"SELECT doc_id, line_number, '{n}' AS rule FROM l WHERE regexp_matches(line, '{p}')" for n, p in SCAN_RULES),
 )
 def scan_patterns(spark, sf):
-    return Q.scan_patterns(spark.read.parquet(f"{sf}/documents.parquet"), SCAN_RULES)
+    return Q.scan_patterns(demo.read(spark, sf, "documents"), SCAN_RULES)
 
 
 _RANKS = "CASE {0} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
@@ -379,7 +381,7 @@ def _duck_redacted(column: str, extra=EXTRA) -> str:
 
 
 def planted(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", _PLANTED)
+    return demo.read(spark, sf, "documents").selectExpr("doc_id", _PLANTED)
 
 
 _GIVEN = f"WITH given AS (SELECT doc_id, {_PLANTED} FROM documents) "
@@ -408,7 +410,7 @@ _NOT_JSON = "'password: \"' || lang || '\" {\"password\": 1'"
     f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {_REDACTED_JSON} WHEN 1 THEN {_NESTED_DONE} ELSE {_NOT_JSON} END AS body FROM documents",
 )
 def redact_json_keys(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr(
+    docs = demo.read(spark, sf, "documents").selectExpr(
         "doc_id", f"CASE doc_id % 3 WHEN 0 THEN {_SECRET_JSON} WHEN 1 THEN {_NESTED_JSON} ELSE {_NOT_JSON} END AS body"
     )
     return R.redact_json_keys(docs, "body")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import fixed
 from spoor.operators import traffic as T
+from spoor.plans import demo
 from spoor.plans.registry import query
 
 # Daily counts per order priority: a burst on the first of a month, quiet weekends for one
@@ -164,7 +165,7 @@ _SPLIT = (
 
 
 def assets(spark, sf):
-    return spark.sql(_ASSETS, lineitem=spark.read.parquet(f"{sf}/lineitem.parquet"))
+    return spark.sql(_ASSETS, lineitem=demo.read(spark, sf, "lineitem"))
 
 
 @query("T6", _SPLIT)

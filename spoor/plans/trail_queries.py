@@ -23,7 +23,7 @@ _LIFTED = (
     with_views("trail", f"SELECT * REPLACE (replace(replace(usage, ': ', ':'), ', ', ',') AS usage) FROM (SELECT {_LIFTED} FROM trail) t"),
 )
 def lift_columns(spark, sf):
-    raw = R.parse_receipts(demo.documents_of(demo.trail(spark, sf)))
+    raw = R.parse_receipts(demo.receipts(spark, sf).select("receipt_json"))
     return R.lift_columns(raw).select(*_LIFTED.split(", "))
 
 
