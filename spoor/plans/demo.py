@@ -227,7 +227,7 @@ def tampered_columns(d: Dialect, columns: list[str]) -> list[str]:
 FILE_BYTES = 256 << 20
 MAX_FILES = 100_000
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
@@ -243,8 +243,14 @@ def _table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
         files = max(spark.sparkContext.defaultParallelism, (estimated_bytes(built) or 0) // FILE_BYTES)
         order = ("chain_id", "sequence")
         built.repartitionByRange(min(files, MAX_FILES), *order).sortWithinPartitions(*order).write.parquet(path)
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+        _TABLES[key] = (path, spark.read.parquet(path))
+    return _TABLES[key][1]
+
+
+def table_path(spark: SparkSession, sf: str, name: str) -> str:
+    """Where the derived table lies; builds it when needed."""
+    globals()[name](spark, sf)
+    return _TABLES[(spark.sparkContext.applicationId, sf.rstrip("/"), name)][0]
 
 
 def trail(spark: SparkSession, sf: str) -> DataFrame:

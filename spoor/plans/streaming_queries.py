@@ -1 +1,119 @@
-"""Queries."""
+"""Streaming forms, driven over everything that is stored.
+
+Windows that the watermark has not passed stay open, as they would in a running query, so the
+oracle leaves them out too.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spoor.plans import demo
+from spoor.plans.demo import with_views
+from spoor.plans.registry import query
+from spoor.plans.trail_queries import _INGEST
+from spoor.session import scratch_path
+from spoor.streaming import streams as X
+
+
+def _follow(spark, sf, table="trail", **equal):
+    path = demo.table_path(spark, sf, table)
+    return X.follow(spark, path, getattr(demo, table)(spark, sf).schema, **equal)
+
+
+def _run(spark, stream, name):
+    out = X.run_to_table(stream, scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state"))
+    times = [f.name for f in out.schema.fields if f.dataType.typeName() == "timestamp"]
+    return out.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
+
+
+@query("X1", with_views("trail", "SELECT id, chain_id, sequence FROM trail WHERE risk_level = 'high'"))
+def follow(spark, sf):
+    stream = _follow(spark, sf, risk_level="high").select("id", "chain_id", "sequence")
+    return _run(spark, stream, "follow")
+
+
+@query("X2", with_views("trail", "SELECT id, count(*) AS copies FROM trail GROUP BY 1"))
+def stream_ingest(spark, sf):
+    """Every receipt is delivered three times, the second time in the same run, the third in a later one."""
+    path, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
+    again = F.explode(F.array(F.lit(0), F.lit(1)))
+    for run in ("first", "second"):
+        twice = _follow(spark, sf).select("id", "chain_id", "sequence", "ts").withColumn("delivery", again)
+        X.stream_ingest(twice, path, f"{state}-{run}", late="40 days").awaitTermination()
+    return spark.read.parquet(path).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+# Links of every 37th receipt are forged, and every 41st chain place is missing.
+_STREAMED = "NOT (event_id % 41 = 7 AND sequence > 1)"
+_FORGED = "CASE WHEN event_id % 37 = 5 THEN 'sha256:forged' ELSE previous_receipt_hash END AS previous_receipt_hash"
+
+
+@query(
+    "X3",
+    with_views(
+        "sealed",
+        "SELECT chain_id, sequence, id, CASE WHEN event_id % 37 = 5 THEN 'bad_link' ELSE 'ok' END AS verdict, sequence AS head_sequence FROM "
+        f"(SELECT *, min(CASE WHEN NOT ({_STREAMED}) THEN sequence END) OVER (PARTITION BY chain_id) AS hole FROM sealed) s WHERE hole IS NULL OR sequence < hole",
+    ),
+)
+def stream_chain_head(spark, sf):
+    source = _follow(spark, sf, "sealed").filter(_STREAMED).selectExpr(
+        "chain_id", "sequence", "id", _FORGED, "receipt_hash"
+    )
+    return _run(spark, X.stream_chain_head(source, None), "head")
+
+
+@query("X4", with_views("sealed", "SELECT chain_id, sequence, receipt_hash, 'cadence' AS reason FROM sealed WHERE sequence % 20 = 0"))
+def stream_checkpoints(spark, sf):
+    return _run(spark, X.stream_checkpoints(_follow(spark, sf, "sealed"), 20, None), "witness")
+
+
+@query("X5")
+def stream_unanswered(spark, sf):
+    called = _follow(spark, sf).filter("correlation_id IS NOT NULL").selectExpr("correlation_id AS call_id", "ts")
+    answers = _follow(spark, sf).filter("correlation_id IS NOT NULL AND k % 3 <> 0").selectExpr(
+        "correlation_id AS call_id", "ts + make_dt_interval(0, 0, cast(k % 20 as int), 0) AS ts"
+    )
+    return _run(spark, X.stream_unanswered(called, answers), "unanswered")
+
+
+_MARK = "(SELECT max(ts) - interval 10 minute FROM trail)"
+
+
+@query(
+    "X6",
+    with_views(
+        "trail",
+        "SELECT date_trunc('hour', ts) AS bucket, "
+        + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS {o}" for o in X.OUTCOMES)
+        + f" FROM (SELECT ts, {_INGEST} FROM trail) l GROUP BY 1 HAVING date_trunc('hour', ts) + interval 1 hour <= {_MARK}",
+    ),
+)
+def stream_rates(spark, sf):
+    return _run(spark, X.stream_rates(_follow(spark, sf).selectExpr("ts", _INGEST)), "rates")
+
+
+@query(
+    "X7",
+    with_views(
+        "trail",
+        "SELECT session_id, agent_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY session_id, agent_id ORDER BY ts, id) AS run FROM "
+        "(SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session_id, agent_id ORDER BY ts, id) < interval 2 hour THEN 0 ELSE 1 END AS fresh FROM trail) f) r "
+        f"GROUP BY session_id, agent_id, run HAVING max(ts) + interval 2 hour <= {_MARK}",
+    ),
+)
+def stream_sessions(spark, sf):
+    return _run(spark, X.stream_sessions(_follow(spark, sf)), "sessions")
+
+
+@query(
+    "X8",
+    with_views(
+        "trail",
+        "SELECT session_id, date_trunc('day', ts) AS bucket, count(*) AS gaps, cast(sum(drop_count) as bigint) AS dropped FROM trail WHERE action_type = 'audit.events_dropped' "
+        "GROUP BY 1, 2 HAVING date_trunc('day', ts) + interval 1 day <= (SELECT max(ts) - interval 10 minute FROM trail WHERE action_type = 'audit.events_dropped')",
+    ),
+)
+def stream_drops(spark, sf):
+    return _run(spark, X.stream_drops(_follow(spark, sf)), "drops")

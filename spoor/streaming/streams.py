@@ -102,7 +102,7 @@ class _ChainHead(StatefulProcessor):
     """Expected place and hash of one chain. Rows that come early wait in keyed state, one entry
     per place, and are given up as a gap when nothing arrived for ``wait_ms``."""
 
-    def __init__(self, wait_ms: int):
+    def __init__(self, wait_ms: int | None):
         self.wait_ms = wait_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -152,6 +152,8 @@ class _ChainHead(StatefulProcessor):
             if out:
                 yield self._frame(key, out)
         self.head.update(head)
+        if self.wait_ms is None:
+            return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if any(True for _ in self.early.keys()):
@@ -181,17 +183,23 @@ class _ChainHead(StatefulProcessor):
         pass
 
 
-def stream_chain_head(source: DataFrame, wait_ms: int = 60_000) -> DataFrame:
+def _time_mode(limit_ms: int | None) -> str:
+    return "None" if limit_ms is None else "ProcessingTime"
+
+
+def stream_chain_head(source: DataFrame, wait_ms: int | None = 60_000) -> DataFrame:
     """X3. Verdict on every receipt as it arrives: ok, bad_link, gap or repeated.
 
     ``source``: chain_id, sequence, id, previous_receipt_hash, receipt_hash. A receipt behind a
     missing one waits; after ``wait_ms`` without news of its chain it is reported as ``gap``.
+    With None it waits for good, which suits a run over what is stored: a query with timers
+    never runs out of batches, so it cannot be driven with ``availableNow``.
     """
     keep_state_in_rocksdb(source.sparkSession)
     return (
         source.select("chain_id", "sequence", "id", "previous_receipt_hash", "receipt_hash")
         .groupBy("chain_id")
-        .transformWithStateInPandas(_ChainHead(wait_ms), HEAD_OUTPUT, "Append", "ProcessingTime")
+        .transformWithStateInPandas(_ChainHead(wait_ms), HEAD_OUTPUT, "Append", _time_mode(wait_ms))
     )
 
 
@@ -208,7 +216,7 @@ WITNESS_OUTPUT = T.StructType(
 class _Witness(StatefulProcessor):
     """Counts a chain's receipts since its last checkpoint; a timer covers slow chains."""
 
-    def __init__(self, every: int, after_ms: int):
+    def __init__(self, every: int, after_ms: int | None):
         self.every, self.after_ms = every, after_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -230,8 +238,8 @@ class _Witness(StatefulProcessor):
                         anchored = last
                         out.append((key[0], last, digest, "cadence"))
         self.state.update((since, last, digest, anchored))
-        waiting = list(self.handle.listTimers())
-        if last > anchored and not waiting:
+        timed = self.after_ms is not None
+        if timed and last > anchored and not list(self.handle.listTimers()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.after_ms)
         if out:
             yield pd.DataFrame(out, columns=WITNESS_OUTPUT.names)
@@ -246,13 +254,16 @@ class _Witness(StatefulProcessor):
         pass
 
 
-def stream_checkpoints(source: DataFrame, every: int = 1000, after_ms: int = 300_000) -> DataFrame:
-    """X4. A checkpoint after every ``every`` receipts of a chain, or ``after_ms`` after activity."""
+def stream_checkpoints(source: DataFrame, every: int = 1000, after_ms: int | None = 300_000) -> DataFrame:
+    """X4. A checkpoint after every ``every`` receipts of a chain, or ``after_ms`` after activity.
+
+    None leaves the time rule out; see ``stream_chain_head`` on timers.
+    """
     keep_state_in_rocksdb(source.sparkSession)
     return (
         source.select("chain_id", "sequence", "receipt_hash")
         .groupBy("chain_id")
-        .transformWithStateInPandas(_Witness(every, after_ms), WITNESS_OUTPUT, "Append", "ProcessingTime")
+        .transformWithStateInPandas(_Witness(every, after_ms), WITNESS_OUTPUT, "Append", _time_mode(after_ms))
     )
 
 
