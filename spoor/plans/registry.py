@@ -37,6 +37,7 @@ def load() -> dict[str, Query]:
         classify_queries,
         integrity_queries,
         quality_queries,
+        source_queries,
         streaming_queries,
         trail_queries,
         traffic_queries,
