@@ -93,6 +93,7 @@ def along(
     running: Mapping[str, Column] | None = None,
     last_seen: Mapping[str, Column] | None = None,
     next_seen: Mapping[str, Column] | None = None,
+    lowest: Mapping[str, Column] | None = None,
     dense: bool = False,
     slice_rows: int | None = None,
 ) -> DataFrame:
@@ -100,7 +101,8 @@ def along(
 
     ``position``: 1-based row number. ``total``: rows of the key. ``lag``/``lead``: value of a
     column in the row before/after. ``running``: inclusive running sum. ``last_seen``/
-    ``next_seen``: nearest non-null value strictly before/after the row.
+    ``next_seen``: nearest non-null value strictly before/after the row. ``lowest``: the minimum
+    over the whole key.
 
     ``by`` must end in a column unique within the key. ``dense`` says its first column counts up
     by about one per row. ``slice_rows`` forces slicing; by default only inputs that may not fit
@@ -108,10 +110,11 @@ def along(
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     running, last_seen, next_seen = dict(running or {}), dict(last_seen or {}), dict(next_seen or {})
+    lowest = dict(lowest or {})
     sliced = slice_rows is not None or not is_small(df)
 
     source = df
-    for group in (running, last_seen, next_seen):
+    for group in (running, last_seen, next_seen, lowest):
         for name, expr in group.items():
             source = source.withColumn(f"_al_in_{name}", expr)
     if sliced:
@@ -131,8 +134,11 @@ def along(
     added: list[Column] = []
     if position or sliced:
         added.append(F.row_number().over(up).cast("long").alias("_al_pos"))
-    if total and not sliced:
-        added.append(F.count(F.lit(1)).over(Window.partitionBy(*part)).alias(total))
+    if not sliced:
+        whole = Window.partitionBy(*part)
+        if total:
+            added.append(F.count(F.lit(1)).over(whole).alias(total))
+        added += [F.min(f"_al_in_{name}").over(whole).alias(name) for name in lowest]
     for name, src in lag.items():
         added.append(F.lag(src).over(up).alias(name))
     for name, src in lead.items():
@@ -149,14 +155,14 @@ def along(
     out = source.select("*", *added)
 
     if sliced:
-        out = _add_carried(source, out, ks, by, position, total, lag, lead, running, last_seen, next_seen)
+        out = _add_carried(source, out, ks, by, position, total, lag, lead, running, last_seen, next_seen, lowest)
     if position:
         out = out.withColumn(position, F.col("_al_pos"))
     scratch = [c for c in out.columns if c.startswith("_al_in_") or c in {*ks, "_al_slice", "_al_pos", "_al_ends"}]
     return out.drop(*[c for c in scratch if c not in df.columns])
 
 
-def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_seen, next_seen):
+def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_seen, next_seen, lowest):
     order = F.struct(*by)
     aggs = [F.count(F.lit(1)).alias("_al_n")]
     if lag:
@@ -171,6 +177,8 @@ def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_
     for name in next_seen:
         seen = F.col(f"_al_in_{name}")
         aggs.append(F.min_by(seen, F.when(seen.isNotNull(), order)).alias(f"_al_next_{name}"))
+    for name in lowest:
+        aggs.append(F.min(f"_al_in_{name}").alias(f"_al_low_{name}"))
     summary = source.groupBy(*ks, "_al_slice").agg(*aggs)
 
     # One row per slice from here on.
@@ -181,6 +189,8 @@ def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_
     carried = [F.coalesce(F.sum("_al_n").over(earlier), F.lit(0)).alias("_al_c_pos")]
     if total:
         carried.append(F.sum("_al_n").over(Window.partitionBy(*ks)).alias(total))
+    for name in lowest:
+        carried.append(F.min(f"_al_low_{name}").over(Window.partitionBy(*ks)).alias(name))
     if lag:
         carried.append(F.lag("_al_tail").over(fore).alias("_al_c_tail"))
     if lead:

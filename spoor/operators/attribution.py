@@ -162,9 +162,14 @@ def verify_delegations(delegations: DataFrame, trail: DataFrame) -> DataFrame:
         F.min("principal_id").alias("__p0"),
         F.max("principal_id").alias("__p1"),
     )
-    receipts = trail.select(
-        F.col("chain_id").alias("parent_chain_id"), F.col("id").alias("parent_receipt_id"), F.lit(True).alias("__found")
-    ).distinct()
+    # Only the receipts some delegation names; few enough to broadcast as a rule.
+    named = ["parent_chain_id", "parent_receipt_id"]
+    receipts = (
+        trail.select(F.col("chain_id").alias("parent_chain_id"), F.col("id").alias("parent_receipt_id"))
+        .join(delegations.select(*named).distinct(), named, "left_semi")
+        .distinct()
+        .withColumn("__found", F.lit(True))
+    )
     joined = delegations.join(parents, "parent_chain_id", "left").join(
         receipts, ["parent_chain_id", "parent_receipt_id"], "left"
     )
@@ -289,11 +294,14 @@ def grant_activity(df: DataFrame) -> DataFrame:
 
 def reversals(df: DataFrame) -> DataFrame:
     """G15. Check each reversal against the receipt it reverses."""
-    originals = df.select(
-        F.col("id").alias("reversal_of"),
-        F.col("chain_id").alias("__chain"),
-        F.col("action_type").alias("__type"),
-    ).dropDuplicates(["reversal_of"])
+    wanted = df.filter(F.col("reversal_of").isNotNull()).select(F.col("reversal_of").alias("id")).distinct()
+    originals = (
+        df.select("id", "chain_id", "action_type")
+        .join(wanted, "id", "left_semi")
+        .groupBy(F.col("id").alias("reversal_of"))
+        .agg(F.min(F.struct("chain_id", "action_type")).alias("__o"))
+        .select("reversal_of", F.col("__o.chain_id").alias("__chain"), F.col("__o.action_type").alias("__type"))
+    )
     outcome = first_of(
         [
             (F.col("__chain").isNull(), "no_original"),

@@ -379,17 +379,26 @@ def enrich_usage(df: DataFrame, transcripts: DataFrame) -> DataFrame:
 def pair_calls(intents: DataFrame, results: DataFrame) -> DataFrame:
     """C16. Attach a call's arguments to its result; unpaired ones are kept and flagged.
 
-    ``intents``: call_id, args; ``results``: call_id, args, status.
+    ``intents``: call_id, args, at; ``results``: call_id, args, status, at. A repeated call
+    replaces the one before; the first result takes it, so later results of the call are
+    unannounced. Calls are reduced to one row before the join, so copies never multiply.
     """
-    joined = intents.select("call_id", F.col("args").alias("__i"), F.lit(True).alias("__called")).join(
-        results.select("call_id", F.col("args").alias("__r"), "status", F.lit(True).alias("__answered")),
+    called = intents.groupBy("call_id").agg(
+        F.max_by("args", F.struct("at", "args")).alias("__i"), F.lit(True).alias("__called")
+    )
+    first = results.groupBy("call_id").agg(F.min("at").alias("__first"))
+    calls = called.join(first, "call_id", "full")
+    takes = F.coalesce(F.col("__called") & (F.col("at") == F.col("__first")), F.lit(False))
+    answered = results.join(calls, "call_id").select(
         "call_id",
-        "full",
+        F.when(takes, F.coalesce("args", "__i")).otherwise(F.col("args")).alias("args"),
+        "status",
+        F.when(takes, F.lit("paired")).otherwise(F.lit("unannounced")).alias("pairing"),
     )
-    pairing = first_of(
-        [(F.col("__answered").isNull(), "unanswered"), (F.col("__called").isNull(), "unannounced")], "paired"
+    open_calls = calls.filter("__first IS NULL").select(
+        "call_id", F.col("__i").alias("args"), F.lit(None).cast("string").alias("status"), F.lit("unanswered").alias("pairing")
     )
-    return joined.select("call_id", F.coalesce("__r", "__i").alias("args"), "status", pairing.alias("pairing"))
+    return answered.unionByName(open_calls)
 
 
 def truncate_preview(df: DataFrame, column: str, n: int = fixed.PREVIEW_CHARS) -> DataFrame:

@@ -61,18 +61,21 @@ def seal_chains(
     if rounds <= 1:
         rows = numbered.withColumn("__from", F.lit(None).cast("string"))
         return _seal_rows(rows)
+    # Numbered once; each round then reads its own folder only.
     path = scratch_path(spark, "sealed")
+    turn_of = F.floor((F.col("sequence") - 1) / slice_rows)
+    numbered.withColumn("turn", turn_of).write.partitionBy("turn").parquet(f"{path}/numbered")
     heads = None
     for turn in range(rounds):
-        rows = numbered.filter(F.floor((F.col("sequence") - 1) / slice_rows) == turn)
+        rows = spark.read.schema(numbered.schema).parquet(f"{path}/numbered/turn={turn}")
         if heads is None:
             rows = rows.withColumn("__from", F.lit(None).cast("string"))
         else:
             rows = rows.join(heads, "chain_id")
-        _seal_rows(rows).write.parquet(f"{path}/turn={turn}")
-        done = spark.read.parquet(f"{path}/turn={turn}")
+        _seal_rows(rows).write.parquet(f"{path}/done/turn={turn}")
+        done = spark.read.parquet(f"{path}/done/turn={turn}")
         heads = done.groupBy(*CHAIN).agg(F.max_by("receipt_hash", "sequence").alias("__from"))
-    return spark.read.parquet(path).drop("turn")
+    return spark.read.parquet(f"{path}/done").drop("turn")
 
 
 def _seal_rows(rows: DataFrame) -> DataFrame:
@@ -340,12 +343,14 @@ def verify_responses(df: DataFrame, bodies: DataFrame) -> DataFrame:
     A missing body is a note, not a failure.
     """
     recorded = df.filter(F.coalesce(F.col("response_hash"), F.lit("")) != "")
-    computed = F.concat(F.lit("sha256:"), F.sha2("body", 256))
+    # Hashed before the shuffle, so bodies do not travel.
+    hashed = bodies.select("id", F.concat(F.lit("sha256:"), F.sha2("body", 256)).alias("computed"))
+    hashed = hashed.groupBy("id").agg(F.max("computed").alias("computed"))
     result = first_of(
-        [(F.col("body").isNull(), "body_absent"), (computed == F.col("response_hash"), "match")],
+        [(F.col("computed").isNull(), "body_absent"), (F.col("computed") == F.col("response_hash"), "match")],
         "mismatch",
     )
-    return recorded.join(bodies.select("id", "body"), "id", "left").select(
+    return recorded.join(hashed, "id", "left").select(
         "chain_id", "sequence", "id", result.alias("response_check")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import fixed
 from spoor.functions.exprs import first_of, is_one_json, risk_rank
+from spoor.operators.query import exists
 from spoor.operators.witness import version_check_expr
 
 
@@ -53,8 +54,13 @@ def dedupe_ids(df: DataFrame, order: Sequence[str] = ("ingest_seq",)) -> DataFra
 
 
 def merge_new(existing: DataFrame, incoming: DataFrame, order: Sequence[str] = ("ingest_seq",)) -> DataFrame:
-    """Q2. The incoming rows to append: first per id, ids already stored left out."""
-    return dedupe_ids(incoming, order).join(existing.select("id"), "id", "left_anti")
+    """Q2. The incoming rows to append: first per id, ids already stored left out.
+
+    The stored ids are first cut down to the incoming ones, which Spark can broadcast when the
+    delivery is small; the stored trail is then not shuffled.
+    """
+    fresh = dedupe_ids(incoming, order)
+    return fresh.join(exists(existing, incoming), "id", "left_anti")
 
 
 def ingest_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -63,16 +69,20 @@ def ingest_conflicts(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     One row per incoming row that is either. A slot is described by its smallest and largest
     stored id, so a crowded slot cannot multiply rows.
     """
-    slots = existing.groupBy("chain_id", "sequence").agg(
-        F.min("id").alias("__low"), F.max("id").alias("__high")
+    slot = ["chain_id", "sequence"]
+    slots = (
+        existing.select("id", *slot)
+        .join(incoming.select(*slot).distinct(), slot, "left_semi")
+        .groupBy(*slot)
+        .agg(F.min("id").alias("__low"), F.max("id").alias("__high"))
     )
-    stored = existing.select("id", F.lit(True).alias("__stored")).distinct()
+    stored = exists(existing, incoming).withColumn("__stored", F.lit(True))
     other = F.when(F.col("__low") != F.col("id"), F.col("__low")).when(F.col("__high") != F.col("id"), F.col("__high"))
     kind = first_of([(F.col("__stored"), "retry"), (other.isNotNull(), "fork")])
     return (
         incoming.select("id", "chain_id", "sequence")
         .join(stored, "id", "left")
-        .join(slots, ["chain_id", "sequence"], "left")
+        .join(slots, slot, "left")
         .withColumn("conflict", kind)
         .filter(F.col("conflict").isNotNull())
         .select("id", "chain_id", "sequence", "conflict", F.when(F.col("conflict") == "fork", other).alias("holder_id"))

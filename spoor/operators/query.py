@@ -49,8 +49,12 @@ def get_by_id(df: DataFrame, receipt_id: str) -> DataFrame:
 
 
 def exists(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """F2. Those of ``ids`` the trail holds; a semi join on the id column alone."""
-    return ids.join(df.select("id"), "id", "left_semi")
+    """F2. Those of ``ids`` the trail holds, each once.
+
+    The trail is the left side, so that Spark can broadcast a short list instead of shuffling the
+    trail's ids.
+    """
+    return df.select("id").join(ids.select("id"), "id", "left_semi").distinct()
 
 
 def get_at(df: DataFrame, chain_id: str, sequence: int) -> DataFrame:

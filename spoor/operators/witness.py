@@ -178,16 +178,20 @@ def provenance_verdicts(
     ``allowlist``: exe_path. A path outside it warns; it never lowers the verdict.
     """
     checked = check_links(df, signature_col, slice_rows)
-    checked = along(
-        checked, CHAIN, ("index",), lead={"__next_ok": "sequence_ok"}, dense=True, slice_rows=slice_rows
-    )
     plain_ok = F.col("signature_ok") & F.col("hash_link_ok") & F.col("sequence_ok")
-    per_chain = checked.groupBy(*CHAIN).agg(
-        F.min(F.when(~F.col("hash_link_ok"), F.col("index"))).alias("__break"),
-        F.min(plain_ok).alias("__plain_ok"),
-        F.max(F.col("status_problem").isNotNull() | F.col("follows_terminal")).alias("__structural"),
+    rows = along(
+        checked,
+        CHAIN,
+        ("index",),
+        lead={"__next_ok": "sequence_ok"},
+        lowest={
+            "__break": F.when(~F.col("hash_link_ok"), F.col("index")),
+            "__plain_ok": plain_ok,
+            "__whole": F.col("status_problem").isNull() & ~F.col("follows_terminal"),
+        },
+        dense=True,
+        slice_rows=slice_rows,
     )
-    rows = checked.join(per_chain, "chain_id")
     platform = F.coalesce(F.col("peer_platform"), F.lit(""))
     peer = first_of(
         [
@@ -215,7 +219,7 @@ def provenance_verdicts(
     context_bad = (
         ~F.col("sequence_ok")
         | ~F.coalesce(F.col("__next_ok"), F.lit(True))
-        | (F.col("__plain_ok") & F.col("__structural"))
+        | (F.col("__plain_ok") & ~F.col("__whole"))
     )
 
     def passed(ok):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark import StorageLevel
@@ -24,13 +25,17 @@ def write_trail(df: DataFrame, path: str, mode: str = "append", files_per_day: i
     spread.sortWithinPartitions(*order).write.mode(mode).partitionBy("chain_date").parquet(path)
 
 
-def fan_out(df: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]]) -> dict[str, str | None]:
+Writers = Mapping[str, Callable[[DataFrame], None]]
+
+
+def fan_out(df: DataFrame, writers: Writers, keep: bool = False) -> dict[str, str | None]:
     """S6. Hand one trail to several writers; a failing one does not stop the others.
 
-    Returns each writer's error, or None.
+    Returns each writer's error, or None. ``keep`` holds the rows between the writers, which pays
+    when they are costly to compute and fit the executors.
     """
     outcome: dict[str, str | None] = {}
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK) if keep else df
     try:
         for name, write in writers.items():
             try:
@@ -39,10 +44,22 @@ def fan_out(df: DataFrame, writers: Mapping[str, Callable[[DataFrame], None]]) -
             except Exception as error:  # the outcome is reported, the next sink still runs
                 outcome[name] = f"{type(error).__name__}: {error}"
     finally:
-        kept.unpersist()
+        if keep:
+            kept.unpersist()
     return outcome
 
 
+def fan_out_batches(writers: Writers) -> Callable[[DataFrame, int], None]:
+    """S6 for a stream: a ``foreachBatch`` function; failures are logged, the stream goes on."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        for name, error in fan_out(batch, writers, keep=True).items():
+            if error:
+                logging.getLogger(__name__).warning("sink %s, batch %s: %s", name, batch_id, error)
+
+    return write
+
+
 def export_jsonl(df: DataFrame, path: str) -> None:
     """S7. The verbatim documents of a selection, one per line."""
     df.select("receipt_json").write.text(path)
