@@ -15,13 +15,15 @@ _CORRUPTIBLE = T.StructType([*schema.RECEIPT.fields, T.StructField(CORRUPT, T.St
 def read_receipts(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """S1. Receipt documents with their text: one per line, or array files (``layout="array"``).
 
-    Array files are parsed as a stream; their documents come back as compact JSON text.
+    An array file is one value to Spark, so it must stay under the variant size limit; its
+    documents come back as compact JSON text. Large trails belong into line files.
     """
     if layout == "lines":
         raw = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("receipt_json"))
     elif layout == "array":
         docs = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
-        raw = docs.select(F.to_json("doc").alias("receipt_json"))
+        listed = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
+        raw = docs.select(F.explode(listed).alias("doc")).select(F.to_json("doc").alias("receipt_json"))
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return parse_receipts(raw)
