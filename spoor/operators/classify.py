@@ -68,7 +68,7 @@ def sql_mutation_expr(arguments: Column) -> Column:
 
     def bad(raw: Column) -> Column:
         # The value is still JSON-escaped; decode it, since "\nwhere" must read as a new line.
-        decoded = F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>")[0]
+        decoded = F.get(F.from_json(F.concat(F.lit('["'), raw, F.lit('"]')), "array<string>"), F.lit(0))
         text = F.lower(decoded)
         return any_of(text, fixed.SQL_MUTATIONS, "contains") & ~text.rlike(r"(^|[^a-z])where([^a-z]|$)")
 
@@ -324,7 +324,7 @@ def normalize_hook_events(df: DataFrame, max_bytes: int = 4096) -> DataFrame:
     """
     failed = F.col("hook_event_name") == "PostToolUseFailure"
     raw = F.trim(F.coalesce(F.col("error"), F.lit("")))
-    decoded = F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0]
+    decoded = F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0))
     text = F.trim(first_of([(raw.isin("", "null"), ""), (raw.startswith('"'), F.coalesce(decoded, raw))], raw))
     as_bytes = F.encode(text, "UTF-8")
     cut = F.try_validate_utf8(F.substring(as_bytes, 1, max_bytes).cast("string"))

@@ -33,7 +33,12 @@ def trail_stats(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), *[F.grouping(d).alias(f"__g_{d}") for d in dims]
     )
     dimension = first_of([(F.col(f"__g_{d}") == 0, d) for d in dims], "total")
-    return grouped.select(dimension.alias("dimension"), F.coalesce(*dims).alias("label"), "n")
+    counts = grouped.select(dimension.alias("dimension"), F.coalesce(*dims).alias("label"), "n")
+    # An empty selection has no groups, yet its total is 0.
+    none = df.sparkSession.range(1).select(
+        F.lit("total").alias("dimension"), F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("n")
+    )
+    return counts.unionByName(none).groupBy("dimension", "label").agg(F.sum("n").alias("n"))
 
 
 def in_range(df: DataFrame, picked: str, as_of: str) -> DataFrame:
@@ -133,7 +138,7 @@ def usage_rollup(df: DataFrame) -> DataFrame:
         "session_id",
         "agent_id",
         "model",
-        *[F.get_json_object("usage", f"$.{f}").cast("long").alias(f) for f in ("input_tokens", "output_tokens")],
+        *[F.get_json_object("usage", f"$.{f}").try_cast("long").alias(f) for f in ("input_tokens", "output_tokens")],
     )
     return used.rollup("session_id", "agent_id", "model").agg(
         F.count(F.lit(1)).alias("calls"),
@@ -177,8 +182,8 @@ def policy_outcomes(lines: DataFrame) -> DataFrame:
         _logged("rule").alias("rule"),
         _logged("action").alias("action"),
         _logged("outcome").alias("outcome"),
-        F.regexp_extract("line", r"risk=(\d+)", 1).cast("long").alias("risk"),
-        F.regexp_extract("line", r"duration_ms=(\d+)", 1).cast("long").alias("ms"),
+        F.regexp_extract("line", r"risk=(\d+)", 1).try_cast("long").alias("risk"),
+        F.regexp_extract("line", r"duration_ms=(\d+)", 1).try_cast("long").alias("ms"),
     )
     return events.groupBy("rule", "action", "outcome").agg(
         F.count(F.lit(1)).alias("n"),
@@ -191,9 +196,9 @@ def policy_outcomes(lines: DataFrame) -> DataFrame:
 
 def unknown_share(df: DataFrame) -> DataFrame:
     """A14. How much of the trail a risk filter cannot judge."""
-    unknown = F.sum((F.col("action_type") == fixed.UNKNOWN_ACTION).cast("long"))
+    unknown = F.count(F.when(F.col("action_type") == fixed.UNKNOWN_ACTION, 1))
     return df.agg(
         F.count(F.lit(1)).alias("receipts"),
         unknown.alias("unknown"),
-        F.round(unknown / F.count(F.lit(1)), 6).alias("unknown_share"),
+        F.round(F.coalesce(F.try_divide(unknown, F.count(F.lit(1))), F.lit(0.0)), 6).alias("unknown_share"),
     )
