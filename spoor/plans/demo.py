@@ -225,7 +225,8 @@ def tampered_columns(d: Dialect, columns: list[str]) -> list[str]:
 
 
 FILE_BYTES = 256 << 20
-MAX_FILES = 100_000
+# A trail row takes about so many times the bytes of its event.
+WIDENING = 5
 
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
@@ -239,10 +240,11 @@ def _table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     if key not in _TABLES:
         path = scratch_path(spark, name)
-        built = build()
-        files = max(spark.sparkContext.defaultParallelism, (estimated_bytes(built) or 0) // FILE_BYTES)
+        # From the size of the source; estimates behind a join multiply and mean nothing.
+        source = estimated_bytes(spark.read.parquet(f"{sf}/events.parquet")) or 0
+        files = max(spark.sparkContext.defaultParallelism, WIDENING * source // FILE_BYTES)
         order = ("chain_id", "sequence")
-        built.repartitionByRange(min(files, MAX_FILES), *order).sortWithinPartitions(*order).write.parquet(path)
+        build().repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
         _TABLES[key] = (path, spark.read.parquet(path))
     return _TABLES[key][1]
 
