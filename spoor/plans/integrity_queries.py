@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from spoor.operators import integrity as I
 from spoor.operators import witness as W
 from spoor.operators.query import chain_tails

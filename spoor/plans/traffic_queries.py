@@ -192,16 +192,14 @@ def module_downloads(spark, sf):
 
 
 _TAG = "'^(.*?)[/-]v?(\\d[\\w.\\-]*)$'"
+# "untagged-32" is a tag of module "untagged" and version "32", as the tag rule has it. Parts a
+# version lacks sort before any number.
+_PARTS = ", ".join(f"coalesce(try_cast(split_part(base, '.', {i}) as int), -1) AS key{i}" for i in (1, 2, 3))
 _TIMELINE = (
-    "SELECT release, module, version, human, ci, swept, row_number() OVER (PARTITION BY module ORDER BY key1, key2, key3, pre, release) AS place FROM (SELECT *, "
-    "cast(split_part(base, '.', 1) as int) AS key1, cast(split_part(base, '.', 2) as int) AS key2, cast(split_part(base, '.', 3) as int) AS key3 FROM "
-    "(SELECT *, split_part(version, '-', 1) AS base, CASE WHEN contains(version, '-') THEN '0' || split_part(version, '-', 2) ELSE '1' END AS pre FROM "
-    f"(SELECT release, CASE WHEN release LIKE 'untagged%' THEN module ELSE regexp_extract(release, {_TAG}, 1) END AS module, "
-    f"CASE WHEN release LIKE 'untagged%' THEN version ELSE regexp_extract(release, {_TAG}, 2) END AS version, human, ci, swept FROM tagged WHERE binaries > 0) a) b) c"
-)
-# "untagged-32" parses as module "untagged" with version "32", as the tag rule has it.
-_TIMELINE = _TIMELINE.replace("CASE WHEN release LIKE 'untagged%' THEN module ELSE ", "(").replace("CASE WHEN release LIKE 'untagged%' THEN version ELSE ", "(").replace(" END AS module", ") AS module").replace(" END AS version, human", ") AS version, human")
-_TIMELINE = _TIMELINE.replace("cast(split_part(base, '.', 2) as int)", "coalesce(try_cast(split_part(base, '.', 2) as int), -1)").replace("cast(split_part(base, '.', 3) as int)", "coalesce(try_cast(split_part(base, '.', 3) as int), -1)")
+    "SELECT release, module, version, human, ci, swept, row_number() OVER (PARTITION BY module ORDER BY key1, key2, key3, pre, release) AS place FROM "
+    f"(SELECT *, {_PARTS} FROM (SELECT *, split_part(version, '-', 1) AS base, CASE WHEN contains(version, '-') THEN '0' || split_part(version, '-', 2) ELSE '1' END AS pre FROM "
+    f"(SELECT release, regexp_extract(release, {_TAG}, 1) AS module, regexp_extract(release, {_TAG}, 2) AS version, human, ci, swept FROM tagged WHERE binaries > 0) a) b) c"
+)
 
 
 @query("T8", f"WITH tagged AS ({_SPLIT}) {_TIMELINE}")

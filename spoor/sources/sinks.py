@@ -9,8 +9,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spoor.functions.carry import along
 
-def write_trail(df: DataFrame, path: str, mode: str = "append", files_per_day: int | None = None) -> None:
+
+def write_trail(df: DataFrame, path: str, mode: str = "append", files: int | None = None) -> None:
     """S3. Append to the trail table: a folder per day, rows sorted by chain and sequence.
 
     Rows are range-partitioned by day, chain and sequence, so files are even even when one chain
@@ -18,8 +20,8 @@ def write_trail(df: DataFrame, path: str, mode: str = "append", files_per_day: i
     """
     dated = df.withColumn("chain_date", F.to_date("ts"))
     order = ("chain_date", "chain_id", "sequence")
-    if files_per_day:
-        spread = dated.repartitionByRange(files_per_day, *order)
+    if files:
+        spread = dated.repartitionByRange(files, *order)
     else:
         spread = dated.repartitionByRange(*order)
     spread.sortWithinPartitions(*order).write.mode(mode).partitionBy("chain_date").parquet(path)
@@ -71,8 +73,6 @@ def presentations(df: DataFrame, documents_per_part: int = 10_000) -> DataFrame:
     A chain longer than ``documents_per_part`` is split into numbered parts of that many receipts,
     so no chain has to fit one row.
     """
-    from spoor.functions.carry import along
-
     placed = along(df, ("chain_id",), ("sequence", "id"), position="__pos", dense=True)
     part = F.floor((F.col("__pos") - 1) / documents_per_part).cast("long")
     grouped = placed.withColumn("part", part).groupBy("chain_id", "part").agg(

@@ -76,7 +76,7 @@ def test_trail_table_is_sorted_in_every_file(spark, tmp_path):
         (F.col("id") % 7).cast("string").alias("chain_id"), F.col("id").alias("sequence"), F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(id % 3 as int)) AS ts")
     )
     path = str(tmp_path / "trail")
-    S.write_trail(df, path, files_per_day=4)
+    S.write_trail(df, path, files=4)
     S.write_trail(df, path)
     back = spark.read.parquet(path)
     assert back.count() == 400 and back.select("chain_date").distinct().count() == 3
