@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm.common import read_table
+from spoor.llm import mixing
+from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +64,48 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", ids).cast("binary"), 256).alias("items_sha256"),
         decon.is_contaminated(n_hit, F.col("n_words")).alias("contaminated"),
     )
+
+
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, source,
+            len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+            CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+        FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+            CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END
+                AS weight
+        FROM d GROUP BY source),
+    r AS (SELECT *, row_number() OVER o AS k,
+            CAST(sum(source_size) OVER () AS DOUBLE) AS total, CAST(sum(weight) OVER () AS DOUBLE) AS weights,
+            coalesce(sum(3.0 * source_size) OVER b, 0) AS full_before, coalesce(sum(weight) OVER b, 0) AS weight_before
+        FROM s WINDOW o AS (ORDER BY source_size / weight, source),
+            b AS (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    rate AS (SELECT arg_min(lam, k) AS rate FROM (
+        SELECT k, weight, source_size, (total - CAST(full_before AS DOUBLE)) / (weights - CAST(weight_before AS DOUBLE)) AS lam
+        FROM r) WHERE CAST(weight AS DOUBLE) * lam < 3.0 * source_size),
+    t AS (SELECT source, source_size, weight,
+            round(least(CAST(weight AS DOUBLE) * rate, CAST(3.0 * source_size AS DOUBLE)), 6) AS target FROM s, rate),
+    c AS (SELECT doc_id, size, source_size, target, CAST(floor(target) AS BIGINT) AS wanted,
+            CASE weight WHEN 5.0 THEN 7.5 WHEN 2.0 THEN 2.0 ELSE 0.5 END AS w0,
+            CASE weight WHEN 5.0 THEN 2.5 WHEN 2.0 THEN 2.0 ELSE 1.5 END AS w1, CAST(weight AS DOUBLE) AS w,
+            CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+    p AS (SELECT *, before * w / target AS y, CAST(w0 AS DOUBLE) AS a, CAST(w1 - w0 AS DOUBLE) AS b FROM c)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+        CAST(greatest(0, least(size, wanted - before)) + greatest(0, least(size, wanted - before - source_size))
+            + greatest(0, least(size, wanted - before - 2 * source_size)) AS BIGINT) AS taken,
+        CASE WHEN size > 0 AND before < wanted THEN
+            round(CASE WHEN y <= 0 THEN 0.0 ELSE least(1.0, 2 * y / (a + sqrt(a * a + 2 * b * y))) END, 9) END AS position
+    FROM p
+    """
+)
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("size")
+    )
+    sized = store(docs, "sizes")
+    schedules = mixing.cycled_schedules(mixing.ranked_sources(sized))
+    mixed = mixing.mix(sized, schedules, cut=True)
+    return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
