@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import mixing
+from spoor.llm import mixing, sharding
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,12 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     schedules = mixing.cycled_schedules(mixing.ranked_sources(sized))
     mixed = mixing.mix(sized, schedules, cut=True)
     return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+@query()
+def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = sharding.assign(sharding.digest(docs), n_shards=40)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
