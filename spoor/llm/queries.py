@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import mixing, near_dedup, sharding
+from spoor.llm import lm_score, mixing, near_dedup, sharding
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,35 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+
+
+@query(
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text="text")} AS ws FROM documents),
+    w AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d WHERE len(ws) > 0),
+    g AS (SELECT r, i, w AS g1, lag(w) OVER p || ' ' || w AS g2,
+            lag(w, 2) OVER p || ' ' || lag(w) OVER p || ' ' || w AS g3
+        FROM w WINDOW p AS (PARTITION BY r ORDER BY i)),
+    n1 AS (SELECT g1, count(*) AS c FROM g GROUP BY g1),
+    n2 AS (SELECT g2, count(*) AS c FROM g WHERE g2 IS NOT NULL GROUP BY g2),
+    n3 AS (SELECT g3, count(*) AS c FROM g WHERE g3 IS NOT NULL GROUP BY g3),
+    c AS (SELECT g.r, i, n1.c - count(*) OVER (PARTITION BY g.r, g.g1) AS c1,
+            n2.c - count(*) OVER (PARTITION BY g.r, g.g2) AS c2, n3.c - count(*) OVER (PARTITION BY g.r, g.g3) AS c3,
+            (SELECT count(*) FROM w) - count(*) OVER (PARTITION BY g.r) AS others
+        FROM g JOIN n1 USING (g1) LEFT JOIN n2 USING (g2) LEFT JOIN n3 USING (g3)),
+    s AS (SELECT r, CASE
+            WHEN c3 > 0 THEN ln(c3 / lag(c2) OVER p)
+            WHEN c2 > 0 THEN ln(c2 / lag(c1) OVER p) + least(i - 2, 1) * ln(0.4)
+            WHEN c1 > 0 THEN ln(c1 / greatest(others, 1)) + least(i - 1, 2) * ln(0.4)
+            ELSE ln(0.4 / greatest(others, 1)) + least(i - 1, 2) * ln(0.4) END AS s
+        FROM c WINDOW p AS (PARTITION BY r ORDER BY i))
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(t, 0.0), 6) AS log_score,
+        CASE WHEN len(ws) > 0 THEN round(t / len(ws), 6) END AS mean_log_score
+    FROM d LEFT JOIN (SELECT r, sum(s) AS t FROM s GROUP BY r) USING (r)
+    """
+)
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select(
+        "doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")
+    )
