@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import lm_score, mixing, near_dedup, sharding
+from spoor.llm import language_id, lm_score, mixing, near_dedup, sharding
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,12 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score")
     )
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_id.held_out(F.col("doc_id"))
+    model = language_id.learn(docs.filter(~held))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.concat_ws(",", "langs").alias("langs"))
