@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import language_id, lm_score, mixing, near_dedup, sharding
+from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, sharding
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,52 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.learn(docs.filter(~held))
     found = language_id.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.concat_ws(",", "langs").alias("langs"))
+
+
+def _license_oracle() -> str:
+    def words(text: str) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in text.split()) + "]"
+
+    rows = ", ".join(
+        f"('{t.label}', {t.base}, {words(t.text)}, {words(t.key)}, {(' ' + t.text + ' ').index(' ' + t.key + ' ')})"
+        for t in licenses.TEMPLATES
+    )
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL.format(text="text")} AS ws FROM documents),
+    t AS (SELECT label, base, words, key, len(string_split(array_to_string(words, ' ')[1:off], ' ')) - 1 AS skip
+        FROM (VALUES {rows}) AS x(label, base, words, key, off)),
+    p AS (SELECT r, ws, label, base, words, key, skip, unnest(range(1, len(ws) - len(key) + 2)) AS p
+        FROM d, t WHERE len(ws) >= len(key) AND list_has_all(ws, key)),
+    m AS (SELECT r, label, base, p - 1 AS start,
+            list_sum(list_transform(range(1, len(words) + 1),
+                lambda j: CASE WHEN p - skip + j - 1 BETWEEN 1 AND len(ws) AND ws[p - skip + j - 1] = words[j]
+                    THEN 1 ELSE 0 END)) / len(words) AS share
+        FROM p WHERE list_slice(ws, p, p + len(key) - 1) = key),
+    g AS (SELECT r, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word,
+            max(start) FILTER (base) AS last_word,
+            string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+            string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+        FROM m WHERE share >= {licenses.LEAST_SHARE} GROUP BY r)
+    SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word,
+        last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+        round(coalesce(score, 0.0), 9) AS score
+    FROM d LEFT JOIN g USING (r)
+    """
+
+
+@query(_license_oracle())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("matches", lambda m: m["base"])
+    labels = lambda some: F.array_join(F.array_sort(F.array_distinct(F.transform(some, lambda m: m["label"]))), ",")
+    starts = F.transform(base, lambda m: m["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)), 9).alias("score"),
+    )
