@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, sharding
+from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, sharding
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,9 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(F.col("matches")).alias("labels"),
         F.round(F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)), 9).alias("score"),
     )
+
+
+@query()
+def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return neighbours.search(vectors, vectors.filter(F.col("id") % 20 == 0), k=20)
