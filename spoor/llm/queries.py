@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, sharding
+from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, sharding, url_filter
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,27 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return neighbours.search(vectors, vectors.filter(F.col("id") % 20 == 0), k=20)
+
+
+def _url_oracle() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    rules = ", ".join(f"({quote(r.name)}, {quote(r.verdict)}, {quote(r.pattern)}, {r.site})" for r in url_filter.RULES)
+    return f"""
+    WITH u AS (SELECT row_number() OVER () AS r, page_id,
+            CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    h AS (SELECT r, page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+    p AS (SELECT r, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            substr(rest, length(raw) + 1) AS tail FROM h),
+    rules AS (SELECT * FROM (VALUES {rules}) AS x(rule, verdict, pattern, site)),
+    f AS (SELECT r, rule, verdict, site FROM p, rules WHERE regexp_matches(host || tail, pattern)),
+    g AS (SELECT r, arg_max(rule, length(rule)) FILTER (site) AS rule,
+            arg_max(verdict, length(rule)) FILTER (site) AS verdict, min(rule) FILTER (NOT site) AS filter FROM f GROUP BY r)
+    SELECT page_id, host, regexp_extract(tail, '^[^?#]*') AS path, rule,
+        coalesce(verdict, CASE WHEN filter IS NOT NULL THEN 'block' END, 'allow') AS verdict, filter
+    FROM p LEFT JOIN g USING (r)
+    """
+
+
+@query(_url_oracle())
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
