@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, sharding, url_filter
+from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, secrets, sharding, url_filter
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +244,10 @@ def _url_oracle() -> str:
 @query(_url_oracle())
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    # The value itself is not passed on.
+    return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
