@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import store
+from spoor.llm.common import free_name, store
 from spoor.llm.slices import SLICE_ROWS, even_hash, run_along, slice_of
 
 MOST_REPEATS = 3
@@ -194,3 +194,31 @@ def ranked_sources(docs: DataFrame) -> DataFrame:
         ).alias("before"),
     )
     return kept.join(before, "part").select("source", (F.col("before") + F.col("place")).alias("nth"))
+
+
+def mix_documents(docs: DataFrame, schedules_of, most: int = MOST_REPEATS) -> DataFrame:
+    """The documents of the mix with all their columns (doc_id, text and source among them), whole,
+    one row for each reading, in training order.
+
+    ``schedules_of`` makes the schedules from the ranked sources (``source``, ``nth``). A document
+    that the mix does not take has no row, nor has one without words. Texts are joined once to what
+    was planned on ids, sources and sizes, and sorted once, in ranges of training time.
+    """
+    size = word_count(F.col("text"))
+    sized = store(docs.select("doc_id", "source", size.alias("size")), "sizes")
+    plan = mix(sized, schedules_of(ranked_sources(sized)), cut=False, most=most).filter("taken > 0")
+    plan = store(plan.select("doc_id", "source", "size", "takes"), "takes")
+    key = {name: free_name(docs.columns, f"_{name}") for name in ("doc_id", "source", "size", "nth")}
+    rows = docs.select("*", *[F.col(c).alias(key[c]) for c in ("doc_id", "source")], size.alias(key["size"]))
+    on = ["doc_id", "source", "size"]
+    if not sized.groupBy(*on).count().filter("count > 1").isEmpty():
+        # Rows equal in these three are numbered, and so are their readings, to pair them.
+        plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*on).orderBy(F.to_json("takes"))))
+        rows = rows.withColumn(key["nth"], F.row_number().over(Window.partitionBy(*[key[c] for c in on]).orderBy(F.lit(0))))
+        on.append("nth")
+    wanted = plan.select(*[F.col(c).alias(f"_wanted_{c}") for c in on], F.col("takes").alias("_wanted_takes"))
+    met = rows.join(wanted, [F.col(key[c]).eqNullSafe(F.col(f"_wanted_{c}")) for c in on])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    time = free_name(docs.columns, "_time")
+    each = met.select(*own, F.explode(F.transform("_wanted_takes", lambda t: t["time"])).alias(time))
+    return each.orderBy(time, F.col("doc_id")).select(*own)
