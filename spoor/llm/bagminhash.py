@@ -21,6 +21,7 @@ from spoor.llm.words import Words, mix, mix_one, ngram_hashes
 
 _STRIP, _NTH, _POINT, _BIT = (mix_one(k) for k in (101, 102, 103, 104))
 BURST = 8
+STRETCH = 8192
 
 
 def bags(words: Words, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,3 +133,35 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def sizes(text: np.ndarray, texts: int) -> np.ndarray:
     """Where each text's shingles begin; one more entry than texts."""
     return np.searchsorted(text, np.arange(texts + 1))
+
+
+def overlaps(
+    text: np.ndarray, key: np.ndarray, weight: np.ndarray, texts: int, one: np.ndarray, two: np.ndarray
+) -> np.ndarray:
+    """Weighted Jaccard of every text in ``one`` with every text in ``two``.
+
+    The k-th occurrence of a shingle is an item of its own, so the overlap of two bags is the
+    number of items they share: a product of two 0/1 matrices, taken in stretches of items.
+    """
+    total = np.bincount(text, weights=weight, minlength=texts)
+    nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    items, owner = mix(np.repeat(key, weight) + nth.astype(np.uint64) * _NTH), np.repeat(text, weight)
+    _, item, seen = np.unique(items, return_inverse=True, return_counts=True)
+    shared = seen[item] > 1
+    item, owner = np.unique(item[shared], return_inverse=True)[1], owner[shared]
+    order = np.argsort(item, kind="stable")
+    item, owner = item[order], owner[order]
+    row_one, row_two = np.full(texts, -1), np.full(texts, -1)
+    row_one[one], row_two[two] = np.arange(len(one)), np.arange(len(two))
+    common = np.zeros((len(one), len(two)), dtype=np.float32)
+    for begin in range(0, int(item.max(initial=-1)) + 1, STRETCH):
+        a, b = np.searchsorted(item, [begin, begin + STRETCH])
+        sides = []
+        for rows, n in ((row_one, len(one)), (row_two, len(two))):
+            row = rows[owner[a:b]]
+            matrix = np.zeros((n, STRETCH), dtype=np.float32)
+            matrix[row[row >= 0], item[a:b][row >= 0] - begin] = 1
+            sides.append(matrix)
+        common += sides[0] @ sides[1].T
+    whole = total[one][:, None] + total[two][None, :] - common
+    return np.where(whole > 0, common / np.maximum(whole, 1), 0.0)

@@ -5,9 +5,10 @@
    share a bucket.
 3. Every bucket compares its members with one of them, the pivot; pairs are verified on their whole
    bags, and verified links are joined to components. Members of one component need no further
-   comparison. A bucket that still holds several components goes on without its pivot: a small one
-   compares all pairs of different components, a large one takes the next pivot. Pairs thus grow
-   with the members, and no verified link of a bucket is lost.
+   comparison, so a large group of close copies costs a row per member and band.
+4. In a bucket that still holds several components, members of different ones are compared: a
+   small one emits the pairs, a large one compares blocks of members by matrix products and emits
+   no more links than it takes to join them. No verified link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.bagminhash import bags, band_keys, signatures, similarity, sizes
+from spoor.llm.bagminhash import bags, band_keys, overlaps, signatures, similarity, sizes
 from spoor.llm.common import store
 from spoor.llm.components import components
 from spoor.llm.words import chunks, words_of
@@ -29,6 +30,7 @@ LEAST = 0.8
 # Two bags with similarity 0.8 agree in a whole band with 0.33; all 25 bands miss with 5 in 100,000.
 BANDS, ROWS = 25, 5
 SMALL_BUCKET = 32
+BLOCK = 128
 # A set of nodes up to this size is sent to all tasks; a larger one is joined by shuffling.
 BROADCAST_NODES = 500_000
 
@@ -90,41 +92,81 @@ def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def link_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Verified links (a, b, similarity) between nodes that share a bucket."""
-    spark = docs.sparkSession
+    """Verified links (a, b, similarity) that join all nodes which similar pairs in buckets join."""
     keyed = nodes.select("node", F.posexplode("bands").alias("nth", "band")).select(
         F.xxhash64("nth", "band").alias("bucket"), "node"
     )
-    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
-    members = store(keyed.join(full.select("bucket", "pivot", "n"), "bucket"), "members")
-    active = members.select("node").distinct()
-    texts = store(_texts_of(docs, store(nodes.select("node", "rep").join(active, "node"), "active")), "texts")
-    links = None
-    pairs = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    while True:
-        found = store(_verify(_with_texts(pairs, texts), shingle, least), "links")
-        links = found if links is None else links.unionByName(found)
-        root = components(links)
-        # The rest of each bucket without its pivot, where it holds more than one component.
-        rest = members.filter("node <> pivot").select("bucket", "node")
-        rest = rest.join(root, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-        mixed = (
-            rest.groupBy("bucket")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot"), F.min("root").alias("r0"), F.max("root").alias("r1"))
-            .filter("r0 <> r1")
+    full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = store(keyed.join(full, "bucket"), "members")
+    # The pivot is the member that meets most others in all its buckets: the middle of its group.
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    pivots = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+    members = store(members.join(pivots, "bucket"), "pivoted")
+    texts = store(_texts_of(docs, store(nodes.select("node", "rep").join(met.select("node"), "node"), "active")), "texts")
+
+    starred = members.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
+    links = store(_verify(_with_texts(starred.distinct(), texts), shingle, least), "links")
+    rest = members.filter("node <> pivot").join(components(links), "node", "left")
+    rest = rest.select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    mixed = rest.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")
+    )
+    rest = store(rest.join(mixed.filter("r0 <> r1").select("bucket", "n"), "bucket"), "rest")
+
+    small = rest.filter(F.col("n") <= SMALL_BUCKET).select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    other = small.select("bucket", F.col("a").alias("b"), F.col("root_a").alias("root_b"))
+    crossed = small.join(other, "bucket").filter("a < b AND root_a <> root_b").select("a", "b").distinct()
+    crossed = crossed.join(starred.distinct(), ["a", "b"], "left_anti")
+    large = _link_blocks(rest.filter(F.col("n") > SMALL_BUCKET), texts, shingle, least)
+    return links.unionByName(_verify(_with_texts(crossed, texts), shingle, least)).unionByName(large)
+
+
+def _link_blocks(members: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links between different components of large buckets, all pairs compared block by block.
+
+    A bucket is dealt into blocks; each pair of blocks is a group of its own, whose bags become
+    two matrices over the shingles: their product is the overlap of every pair. Of the links found
+    only so many are returned as it takes to join their members.
+    """
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = members.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).select(
+        "bucket", "node", "root", "i", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j")
+    )
+    paired = dealt.select(
+        "bucket", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "root"
+    ).join(texts, "node")
+
+    def run(group: pa.Table) -> pa.Table:
+        batch = group.combine_chunks()
+        text, key, weight = bags(words_of(batch["text"].chunk(0)), shingle)
+        side = batch["i"].to_numpy()
+        one = np.flatnonzero(side == batch["lo"][0].as_py())
+        two = np.flatnonzero(side == batch["hi"][0].as_py())
+        root = np.unique(np.array(batch["root"].to_pylist(), dtype=object), return_inverse=True)[1]
+        found = overlaps(text, key, weight, group.num_rows, one, two)
+        near = (found >= least) & (root[one][:, None] != root[two][None, :])
+        parent = list(range(group.num_rows))
+        a, b, how = [], [], []
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for x, y in zip(*np.nonzero(near)):
+            p, q = top(int(one[x])), top(int(two[y]))
+            if p != q:
+                parent[p] = q
+                a.append(int(one[x]))
+                b.append(int(two[y]))
+                how.append(float(found[x, y]))
+        node = batch["node"].chunk(0)
+        return pa.table(
+            {"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64())), "similarity": pa.array(how, pa.float64())}
         )
-        members = store(rest.join(mixed.select("bucket", "n", "pivot"), "bucket"), "members")
-        if members.isEmpty():
-            return links
-        small = members.filter(F.col("n") <= SMALL_BUCKET)
-        other = small.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        crossed = (
-            small.join(other, "bucket").filter((F.col("a") < F.col("node")) & (F.col("root") != F.col("root_a")))
-            .select("a", F.col("node").alias("b"))
-        )
-        members = members.filter(F.col("n") > SMALL_BUCKET)
-        starred = members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        pairs = crossed.union(starred).distinct()
+
+    return paired.groupBy("bucket", "lo", "hi").applyInArrow(run, "a binary, b binary, similarity double")
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
