@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm.bagminhash import bags, band_keys, overlaps, signatures, similarity, sizes
@@ -30,7 +30,7 @@ LEAST = 0.8
 # Two bags with similarity 0.8 agree in a whole band with 0.33; all 25 bands miss with 5 in 100,000.
 BANDS, ROWS = 25, 5
 SMALL_BUCKET = 32
-BLOCK = 128
+BLOCK = 256
 # A set of nodes up to this size is sent to all tasks; a larger one is joined by shuffling.
 BROADCAST_NODES = 500_000
 
@@ -99,10 +99,11 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, shingle: int, least: float) ->
     full = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = store(keyed.join(full, "bucket"), "members")
     # The pivot is the member that meets most others in all its buckets: the middle of its group.
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    pivots = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
+    met = members.withColumn("met", F.sum("n").over(Window.partitionBy("node")))
+    pivots = met.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("pivot"))
     members = store(members.join(pivots, "bucket"), "pivoted")
-    texts = store(_texts_of(docs, store(nodes.select("node", "rep").join(met.select("node"), "node"), "active")), "texts")
+    active = members.select("node").distinct()
+    texts = store(_texts_of(docs, store(nodes.select("node", "rep").join(active, "node"), "active")), "texts")
 
     starred = members.filter("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b"))
     links = store(_verify(_with_texts(starred.distinct(), texts), shingle, least), "links")
@@ -220,6 +221,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
     node = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
     at = F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")) & (node == F.col("_gone_node"))
+    if gone.count() <= BROADCAST_NODES:
+        gone = F.broadcast(gone)
     if repeated.isEmpty():
         return docs.join(gone, at, "left_anti")
     once = docs.join(repeated, at, "left_semi").dropDuplicates([doc_id, text])
