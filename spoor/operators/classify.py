@@ -58,7 +58,9 @@ def operation_type(df: DataFrame, tool: str = "tool_name") -> DataFrame:
     return df.withColumn("operation_type", operation_type_expr(F.col(tool)))
 
 
-_JSON_STRING = r'"((?:[^"\\]|\\.)*)"'
+# The loops over strings here are possessive: java.util.regex then runs them without recursion, so a
+# text of any length is safe. None of them could give back a character and still match.
+_JSON_STRING = r'"((?:[^"\\]++|\\.)*+)"'
 
 
 def sql_mutation_expr(arguments: Column) -> Column:
@@ -98,18 +100,32 @@ def _risk_terms(tool: Column, arguments: Column | None) -> list[tuple[Column, in
 def score_risk(df: DataFrame, tool: str = "tool_name", arguments: str | None = "arguments_json") -> DataFrame:
     """C4. Risk score 0–100 and the reasons it is made of."""
     terms = _risk_terms(F.col(tool), F.col(arguments) if arguments else None)
-    score = sum((F.when(cond, F.lit(points)).otherwise(0) for cond, points, _ in terms), F.lit(0))
-    reasons = F.array_compact(F.array(*[F.when(cond, reason) for cond, _, reason in terms]))
-    return df.withColumn("risk_score", F.least(score, F.lit(fixed.MAX_SCORE))).withColumn("risk_reasons", reasons)
+    hits = F.array_compact(
+        F.array(*[F.when(cond, F.struct(F.lit(points).alias("points"), reason.alias("reason"))) for cond, points, reason in terms])
+    )
+    score = F.aggregate("__hits", F.lit(0), lambda total, hit: total + hit["points"])
+    return (
+        df.withColumn("__hits", hits)
+        .withColumn("risk_score", F.least(score, F.lit(fixed.MAX_SCORE)))
+        .withColumn("risk_reasons", F.transform("__hits", lambda hit: hit["reason"]))
+        .drop("__hits")
+    )
 
 
 _RULE_FIELDS = ("name", "description", "enabled", "tool_pattern", "server_pattern", "operation_types", "min_risk_score", "action")
 
 
+# Rules become one expression, so there is a limit to how many a plan can hold.
+MOST_RULES = 1000
+
+
 def _rules(rules: DataFrame | Sequence[Mapping]) -> list[dict]:
     """Policy rules are configuration; a table of them is read once, in rule order."""
     if isinstance(rules, DataFrame):
-        rules = [row.asDict() for row in rules.orderBy("rule_order").collect()]
+        rows = rules.orderBy("rule_order").limit(MOST_RULES + 1).collect()
+        if len(rows) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} policy rules; this is configuration, not data")
+        rules = [row.asDict() for row in rows]
     return [{f: rule.get(f) for f in _RULE_FIELDS} for rule in rules]
 
 
@@ -124,16 +140,15 @@ def _rule_problem(rule: Mapping) -> str | None:
     return None
 
 
-def _rule_matches(rule: Mapping) -> Column:
+def _rule_matches(rule: Mapping, call: Column) -> Column:
     match = F.lit(True)
-    for pattern, column in ((rule["tool_pattern"], "tool_name"), (rule["server_pattern"], "server")):
+    for pattern, field in ((rule["tool_pattern"], "tool"), (rule["server_pattern"], "server")):
         if pattern:
-            text = F.lower(F.coalesce(F.col(column), F.lit("")))
-            match = match & text.rlike(glob_to_regex(pattern.lower()))
+            match = match & call[field].rlike(glob_to_regex(pattern.lower()))
     if rule["operation_types"]:
-        match = match & F.col("operation_type").isin(*rule["operation_types"])
+        match = match & call["operation"].isin(*rule["operation_types"])
     if rule["min_risk_score"] is not None:
-        match = match & (F.col("risk_score") >= rule["min_risk_score"])
+        match = match & (call["score"] >= rule["min_risk_score"])
     return match
 
 
@@ -141,23 +156,34 @@ def evaluate_policy(df: DataFrame, rules: DataFrame | Sequence[Mapping] = fixed.
     """C6. The most restrictive matching rule, the earliest among equals; no match passes.
 
     The rules become one CASE over each row, most severe first, so nothing is joined or shuffled.
-    Takes tool_name, server, operation_type and risk_score.
+    Takes tool_name, server, operation_type and risk_score, each of which the CASE sees as a value:
+    however many rules there are, the score's own expression stands in the plan once.
     """
     live = [r for r in _rules(rules) if _rule_problem(r) is None and r["action"] != "pass"]
     # sorted() keeps the rule order among equal severities.
     live = sorted(live, key=lambda r: -fixed.POLICY_ACTIONS.index(r["action"]))
-    decision = F.struct(
-        F.lit("pass").alias("action"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("reason")
+    call = F.struct(
+        F.lower(F.coalesce("tool_name", F.lit(""))).alias("tool"),
+        F.lower(F.coalesce("server", F.lit(""))).alias("server"),
+        F.col("operation_type").alias("operation"),
+        F.col("risk_score").alias("score"),
     )
-    for rule in reversed(live):
-        hit = F.struct(
-            F.lit(rule["action"]).alias("action"),
-            F.lit(rule["name"]).alias("rule"),
-            F.lit(rule["description"]).alias("reason"),
+
+    def decide(seen: Column) -> Column:
+        decision = F.struct(
+            F.lit("pass").alias("action"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("reason")
         )
-        decision = F.when(_rule_matches(rule), hit).otherwise(decision)
+        for rule in reversed(live):
+            hit = F.struct(
+                F.lit(rule["action"]).alias("action"),
+                F.lit(rule["name"]).alias("rule"),
+                F.lit(rule["description"]).alias("reason"),
+            )
+            decision = F.when(_rule_matches(rule, seen), hit).otherwise(decision)
+        return decision
+
     return (
-        df.withColumn("__d", decision)
+        df.withColumn("__d", F.get(F.transform(F.array(call), decide), F.lit(0)))
         .withColumn("policy_action", F.col("__d.action"))
         .withColumn("policy_rule", F.col("__d.rule"))
         .withColumn("policy_reason", F.col("__d.reason"))
@@ -226,8 +252,8 @@ def canonical_uri(df: DataFrame, column: str) -> DataFrame:
 
 # A shell word: bare characters, '...' and "..." parts run together. Double quotes still expand
 # $ and `, so those are not allowed inside them.
-_SHELL_WORD = r"""(?:'[^']*'|"[^"$`]*"|[^ \t'"|;&<(){}$`\n>])+"""
-_SHELL_LINE = rf"^(?:[ \t]|{_SHELL_WORD}|>>?)*$"
+_SHELL_WORD = r"""(?:'[^']*+'|"[^"$`]*+"|[^ \t'"|;&<(){}$`\n>]++)++"""
+_SHELL_LINE = rf"^(?:[ \t]++|{_SHELL_WORD}|>>?)*+$"
 
 
 def classify_shell(df: DataFrame, command: str = "command") -> DataFrame:

@@ -71,7 +71,9 @@ def redact_text(df: DataFrame, column: str, extra: Patterns = ()) -> DataFrame:
 
 _KEYS = "|".join(re.escape(k) for k in fixed.SENSITIVE_KEYS)
 _PAIR = rf'(?i)("(?:{_KEYS})"\s*:\s*)'
-_SCALAR = r'(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+\-]*|true|false|null)'
+# Possessive loops run without recursion in java.util.regex, whatever the length of the text.
+_STRING = r'"((?:[^"\\]++|\\.)*+)"'
+_SCALAR = r'(?:"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+\-]*|true|false|null)'
 _TOKEN = re.compile(r'\s+|"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
 
 
@@ -121,7 +123,13 @@ def redact_json_keys(df: DataFrame, column: str) -> DataFrame:
     a list, or where keys may be written with escapes, pass through Python, in Arrow batches.
     """
     valid = is_one_json(F.col(column))
-    hard = valid & (F.col(column).rlike(_PAIR + r"[\{\[]") | F.col(column).rlike(r'\\u[0-9a-fA-F]{4}[^":{}\[\],]*"\s*:'))
+    # All strings in turn, the keys among them told by the colon that follows; linear in the text.
+    keys = F.arrays_zip(
+        F.regexp_extract_all(column, F.lit(_STRING + r"(\s*+:)?+"), F.lit(1)).alias("text"),
+        F.regexp_extract_all(column, F.lit(_STRING + r"(\s*+:)?+"), F.lit(2)).alias("colon"),
+    )
+    escaped = F.exists(keys, lambda k: (k["colon"] != "") & k["text"].contains("\\u"))
+    hard = valid & (F.col(column).rlike(_PAIR + r"[\{\[]") | (F.col(column).contains("\\u") & escaped))
     hard = F.coalesce(hard, F.lit(False))
     easy = F.when(valid, F.regexp_replace(column, _PAIR + _SCALAR, f'$1"{fixed.REDACTED}"')).otherwise(F.col(column))
     position = df.columns.index(column)

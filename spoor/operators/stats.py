@@ -172,7 +172,7 @@ def ingest_rates(log: DataFrame, width: str) -> DataFrame:
 
 
 def _logged(field: str) -> Column:
-    quoted = F.regexp_extract("line", field + r'="((?:[^"\\]|\\.)*)"', 1)
+    quoted = F.regexp_extract("line", field + r'="((?:[^"\\]++|\\.)*+)"', 1)
     return F.regexp_replace(quoted, r'\\(["\\])', "$1")
 
 
