@@ -35,18 +35,20 @@ LEAST_BLOCK, MOST_BLOCK = 16 << 20, 128 << 20
 BUCKET_BYTES = 16 << 20
 MOST_BUCKETS = 1 << 18
 
-_ZSTD = pa.Codec("zstd", compression_level=1)
+
+def _zstd() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=1)
 
 
 def pack(values: np.ndarray) -> bytes:
     """Byte planes, compressed: high bytes of small numbers vanish."""
     raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
-    return len(values).to_bytes(8, "little") + _ZSTD.compress(raw.tobytes(), asbytes=True)
+    return len(values).to_bytes(8, "little") + _zstd().compress(raw.tobytes(), asbytes=True)
 
 
 def unpack(data: bytes, dtype) -> np.ndarray:
     n, width = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
-    raw = np.frombuffer(_ZSTD.decompress(data[8:], decompressed_size=n * width, asbytes=True), np.uint8)
+    raw = np.frombuffer(_zstd().decompress(data[8:], decompressed_size=n * width, asbytes=True), np.uint8)
     return np.ascontiguousarray(raw.reshape(width, n).T).view(dtype).reshape(n)
 
 
