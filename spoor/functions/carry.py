@@ -3,7 +3,8 @@
 ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. For large inputs the
 functions here cut every key's order into slices, run the window inside a slice, reduce each
 slice to one summary row, run a second window over the summaries, and join the carried values
-back. The result equals the plain window's.
+back. The result equals the plain window's, whatever the order column holds: nulls, repeated
+values, bursts or strings.
 """
 
 from __future__ import annotations
@@ -15,9 +16,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoor.session import scratch_path
+
 # An input estimated below this fits one task whatever its keys, so slicing buys nothing.
 SMALL_INPUT_BYTES = 256 << 20
 SLICE_ROWS = 2_000_000
+# A key of more rows than a slice is cut into so many of about equal size.
+CUTS = 256
 _NULL_KEY = "\u0000null"
 
 
@@ -43,41 +48,56 @@ def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
 
 
 def _order_number(df: DataFrame, name: str) -> Column:
-    """A number that rises with the order column (whole seconds for times)."""
+    """A double that never falls along the order of a column; nulls come first, as in a sort.
+
+    Equal numbers for different values are fine: such rows stay in one slice.
+    """
     dtype = df.schema[name].dataType
     col = F.col(name)
     if isinstance(dtype, T.TimestampType):
-        return F.unix_seconds(col)
-    if isinstance(dtype, T.TimestampNTZType):
-        return (
-            F.unix_date(F.to_date(col)).cast("long") * 86400
-            + F.hour(col) * 3600
-            + F.minute(col) * 60
-            + F.second(col)
-        )
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(col).cast("long")
-    return col.cast("double")
+        number = F.unix_micros(col)
+    elif isinstance(dtype, T.TimestampNTZType):
+        number = F.unix_date(F.to_date(col)).cast("long") * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
+    elif isinstance(dtype, T.DateType):
+        number = F.unix_date(col)
+    elif isinstance(dtype, T.StringType | T.BinaryType):
+        # Strings sort by their bytes; the first six, as a number.
+        number = F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), 1, 6)), 12, "0"), 16, 10)
+    elif isinstance(dtype, T.NumericType | T.BooleanType):
+        number = F.when(F.isnan(col.cast("double")), F.lit(float("inf"))).otherwise(col.cast("double"))
+    else:
+        return F.lit(0.0)
+    return F.coalesce(number.cast("double"), F.lit(float("-inf")))
 
 
 def _with_slices(
     df: DataFrame, keys: list[str], by: Sequence[str], slice_rows: int, dense: bool
 ) -> DataFrame:
-    if dense:
-        # The order column counts up by about one per row, so its own range bounds a slice.
-        return df.withColumn("_al_slice", F.floor(F.col(by[0]) / F.lit(slice_rows)))
+    if dense and isinstance(df.schema[by[0]].dataType, T.IntegralType):
+        # The order column counts up by about one per row, so its own range bounds a slice. Rows
+        # without a number come before all others, as in a sort.
+        return df.withColumn("_al_slice", F.coalesce(F.floor(F.col(by[0]) / F.lit(slice_rows)), F.lit(-(1 << 62))))
     df = df.withColumn("_al_at", _order_number(df, by[0]))
-    # At most rows / slice_rows keys can be this large, which bounds what is broadcast.
+    # At most rows / slice_rows keys can be this large, which bounds what is broadcast. Cuts are
+    # ranks, not distances, so a burst is cut as often as a quiet time with as many rows.
     hot = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_al_n"), F.min("_al_at").alias("_al_lo"), F.max("_al_at").alias("_al_hi"))
+        .agg(
+            F.count(F.lit(1)).alias("_al_n"),
+            F.percentile_approx("_al_at", [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("_al_cuts"),
+        )
         .filter(F.col("_al_n") > slice_rows)
+        .select(*keys, F.array_distinct("_al_cuts").alias("_al_cuts"))
     )
-    width = (F.col("_al_hi") - F.col("_al_lo") + 1) / F.ceil(F.col("_al_n") / F.lit(slice_rows))
+    # Approximate ranks may differ when computed again, and every use must see the same cuts.
+    path = scratch_path(df.sparkSession, "cuts")
+    hot.write.parquet(path)
+    hot = df.sparkSession.read.schema(hot.schema).parquet(path)
+    slice_ = F.size(F.filter("_al_cuts", lambda cut: cut < F.col("_al_at"))).cast("long")
     return (
         df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_al_slice", F.coalesce(F.floor((F.col("_al_at") - F.col("_al_lo")) / width), F.lit(0)))
-        .drop("_al_n", "_al_lo", "_al_hi", "_al_at")
+        .withColumn("_al_slice", F.when(F.col("_al_cuts").isNotNull(), slice_).otherwise(F.lit(0).cast("long")))
+        .drop("_al_cuts", "_al_at")
     )
 
 

@@ -46,6 +46,37 @@ def test_sliced_equals_plain(rows, how):
     assert sorted(map(repr, plain.select(columns).collect())) == sorted(map(repr, sliced.select(columns).collect()))
 
 
+ORDERS = {
+    "nulls": "CASE WHEN at % 5 = 0 THEN NULL ELSE at END",
+    "all_null": "CAST(NULL AS bigint)",
+    "repeated": "at % 3",
+    "one_value": "7L",
+    "burst": "CASE WHEN at < 480 THEN 100000 ELSE at END",
+    "negative": "-at",
+    "strings": "CASE WHEN at % 7 = 0 THEN NULL ELSE concat('e\u0301', char(65 + at % 50), at) END",
+    "doubles": "CASE WHEN at % 9 = 0 THEN double('NaN') WHEN at % 9 = 1 THEN double('-Infinity') ELSE at / 7 END",
+    "dates": "date_add(date'2024-01-01', CAST(at AS int))",
+    "structs": "struct(at % 4 AS a)",
+}
+
+
+@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("order", ORDERS)
+def test_any_order_column_gives_the_plain_result(rows, order, dense):
+    odd = rows.withColumn("at", F.expr(ORDERS[order]))
+    plain, sliced = everything(odd), everything(odd, slice_rows=40, dense=dense)
+    columns = sorted(plain.columns)
+    assert sorted(map(repr, plain.select(columns).collect())) == sorted(map(repr, sliced.select(columns).collect()))
+
+
+def test_a_burst_is_cut(spark):
+    df = spark.range(4000).select(F.lit("k").alias("key"), F.when(F.col("id") < 4, F.col("id") * 10**9).otherwise(10**12 + F.col("id")).alias("at"), "id")
+    from spoor.functions.carry import _with_slices
+
+    sizes = [r["count"] for r in _with_slices(df, ["key"], ["at"], 100, False).groupBy("_al_slice").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 100
+
+
 def test_sliced_plan_cuts_the_key(rows):
     plan = along(rows, ["key"], ["at", "id"], position="p", slice_rows=50)._jdf.queryExecution().executedPlan().toString()
     assert "_al_slice" in plan
