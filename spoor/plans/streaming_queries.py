@@ -35,12 +35,13 @@ def follow(spark, sf):
 
 @query("X2", with_views("trail", "SELECT id, count(*) AS copies FROM trail GROUP BY 1"))
 def stream_ingest(spark, sf):
-    """Every receipt is delivered three times, the second time in the same run, the third in a later one."""
+    """The newest receipts come first, then all of them twice: late ones and re-deliveries in one run."""
     path, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
+    newest = demo.trail(spark, sf).agg(F.percentile_approx("event_id", 0.5)).first()[0]
     again = F.explode(F.array(F.lit(0), F.lit(1)))
-    for run in ("first", "second"):
-        twice = _follow(spark, sf).select("id", "chain_id", "sequence", "ts").withColumn("delivery", again)
-        X.stream_ingest(twice, path, f"{state}-{run}", late="40 days").awaitTermination()
+    for run, part in (("first", F.col("event_id") > newest), ("second", F.lit(True))):
+        twice = _follow(spark, sf).filter(part).select("id", "chain_id", "sequence", "ts").withColumn("delivery", again)
+        X.stream_ingest(twice, path, f"{state}-{run}").awaitTermination()
     return spark.read.parquet(path).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
 
 
@@ -49,19 +50,29 @@ _STREAMED = "NOT (event_id % 41 = 7 AND sequence > 1)"
 _FORGED = "CASE WHEN event_id % 37 = 5 THEN 'sha256:forged' ELSE previous_receipt_hash END AS previous_receipt_hash"
 
 
+# A chain's receipts behind a hole are reported once the watermark is an hour past its last one.
+_HEAD_ROWS = (
+    f"SELECT *, lag(sequence) OVER c AS before, max(ts) OVER (PARTITION BY chain_id) AS last_ts FROM sealed WHERE {_STREAMED} "
+    "WINDOW c AS (PARTITION BY chain_id ORDER BY sequence)"
+)
+_HOLED = f"(SELECT *, min(CASE WHEN sequence > 1 AND before <> sequence - 1 THEN sequence END) OVER (PARTITION BY chain_id) AS hole FROM ({_HEAD_ROWS}) r)"
+
+
 @query(
     "X3",
     with_views(
         "sealed",
-        "SELECT chain_id, sequence, id, CASE WHEN event_id % 37 = 5 THEN 'bad_link' ELSE 'ok' END AS verdict, sequence AS head_sequence FROM "
-        f"(SELECT *, min(CASE WHEN NOT ({_STREAMED}) THEN sequence END) OVER (PARTITION BY chain_id) AS hole FROM sealed) s WHERE hole IS NULL OR sequence < hole",
+        "SELECT chain_id, sequence, id, CASE WHEN sequence > 1 AND before <> sequence - 1 THEN 'gap' "
+        "WHEN event_id % 37 = 5 THEN 'bad_link' ELSE 'ok' END AS verdict, sequence AS head_sequence "
+        f"FROM {_HOLED} s WHERE hole IS NULL OR sequence < hole "
+        f"OR last_ts + interval 1 hour <= (SELECT max(ts) - interval 10 minute FROM sealed WHERE {_STREAMED})",
     ),
 )
 def stream_chain_head(spark, sf):
     source = _follow(spark, sf, "sealed").filter(_STREAMED).selectExpr(
-        "chain_id", "sequence", "id", _FORGED, "receipt_hash"
+        "chain_id", "sequence", "id", _FORGED, "receipt_hash", "ts"
     )
-    return _run(spark, X.stream_chain_head(source, None), "head")
+    return _run(spark, X.stream_chain_head(source, 3_600_000, late="10 minutes"), "head")
 
 
 @query("X4", with_views("sealed", "SELECT chain_id, sequence, receipt_hash, 'cadence' AS reason FROM sealed WHERE sequence % 20 = 0"))
@@ -69,7 +80,21 @@ def stream_checkpoints(spark, sf):
     return _run(spark, X.stream_checkpoints(_follow(spark, sf, "sealed"), 20, None), "witness")
 
 
-@query("X5")
+_CALLED = "SELECT correlation_id AS call_id, ts, k FROM trail WHERE correlation_id IS NOT NULL"
+_ANSWERED = "SELECT call_id, ts + to_minutes(k % 20) AS ts FROM c WHERE k % 3 <> 0"
+
+
+@query(
+    "X5",
+    with_views(
+        "trail",
+        "SELECT call_id, ts AS asked_at FROM c "
+        "WHERE NOT EXISTS (FROM a WHERE a.call_id = c.call_id AND a.ts BETWEEN c.ts AND c.ts + interval 10 minute) "
+        "AND ts + interval 10 minute < least((SELECT max(ts) FROM c), (SELECT max(ts) FROM a)) - interval 5 minute",
+        c=_CALLED,
+        a=_ANSWERED,
+    ),
+)
 def stream_unanswered(spark, sf):
     called = _follow(spark, sf).filter("correlation_id IS NOT NULL").selectExpr("correlation_id AS call_id", "ts")
     answers = _follow(spark, sf).filter("correlation_id IS NOT NULL AND k % 3 <> 0").selectExpr(

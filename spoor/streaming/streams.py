@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spoor.functions import fixed
-from spoor.operators.quality import dedupe_ids
+from spoor.operators.quality import dedupe_ids, merge_new
 from spoor.operators.stats import OUTCOMES
 
 
@@ -53,34 +53,35 @@ def follow(
 def append_new(path: str, order: tuple[str, ...] = ("ts",)) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that appends rows whose id the table does not hold yet.
 
-    A batch writes its own folder and replaces it when it is run again, so a batch repeated after
-    a failure leaves no second copy.
+    Stored ids are first cut down to those of the batch, which Spark sends to all tasks while the
+    batch is small: the table is scanned for one column and not shuffled. A batch writes its own
+    folder and replaces it when it is run again, so a batch repeated after a failure leaves no
+    second copy.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = dedupe_ids(batch, order)
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
             stored = spark.read.parquet(path)
             if "batch" in stored.columns:
                 stored = stored.filter(F.col("batch") != batch_id)
-            fresh = fresh.join(stored.select("id"), "id", "left_anti")
+            fresh = merge_new(stored, batch, order)
+        else:
+            fresh = dedupe_ids(batch, order)
         fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
-def stream_ingest(
-    source: DataFrame, path: str, checkpoint: str, late: str = "10 minutes", every: str | None = None
-):
+def stream_ingest(source: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """X2. Ingest a stream into a table, each id once; re-deliveries are dropped.
 
-    Copies inside the watermark are dropped by state, older ones by the anti join with the table.
-    ``every`` sets the batch interval; without it the query takes what is there and stops.
+    The stored ids alone decide, so a receipt of any age is taken, a backlog delivered after an
+    outage as well. ``every`` sets the batch interval; without it the query takes what is there
+    and stops.
     """
-    unique = event_time(source).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
-    writer = unique.writeStream.foreachBatch(append_new(path)).option("checkpointLocation", checkpoint)
+    writer = event_time(source).writeStream.foreachBatch(append_new(path)).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
@@ -100,10 +101,11 @@ _EARLY_VALUE = "id string, previous_receipt_hash string, receipt_hash string"
 
 class _ChainHead(StatefulProcessor):
     """Expected place and hash of one chain. Rows that come early wait in keyed state, one entry
-    per place, and are given up as a gap when nothing arrived for ``wait_ms``."""
+    per place, and are given up as a gap when nothing arrived for ``wait_ms``, on the clock or in
+    event time."""
 
-    def __init__(self, wait_ms: int | None):
-        self.wait_ms = wait_ms
+    def __init__(self, wait_ms: int | None, event_time: bool):
+        self.wait_ms, self.event_time = wait_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -132,9 +134,11 @@ class _ChainHead(StatefulProcessor):
         return head
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head = self._head()
+        head, now = self._head(), None
         for batch in rows:
             out = []
+            if self.event_time:
+                now = max(now or 0, int(batch["at_ms"].max()))
             fields = ["sequence", "id", "previous_receipt_hash", "receipt_hash"]
             for sequence, *row in batch.sort_values("sequence")[fields].itertuples(index=False, name=None):
                 sequence = int(sequence)
@@ -157,7 +161,10 @@ class _ChainHead(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if any(True for _ in self.early.keys()):
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+            now = now if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+            # A chain whose news are older than the watermark is due as soon as it moves.
+            due = now + self.wait_ms
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1) if self.event_time else due)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         head, out = self._head(), []
@@ -187,19 +194,25 @@ def _time_mode(limit_ms: int | None) -> str:
     return "None" if limit_ms is None else "ProcessingTime"
 
 
-def stream_chain_head(source: DataFrame, wait_ms: int | None = 60_000) -> DataFrame:
+def stream_chain_head(source: DataFrame, wait_ms: int = 60_000, late: str | None = None) -> DataFrame:
     """X3. Verdict on every receipt as it arrives: ok, bad_link, gap or repeated.
 
-    ``source``: chain_id, sequence, id, previous_receipt_hash, receipt_hash. A receipt behind a
-    missing one waits; after ``wait_ms`` without news of its chain it is reported as ``gap``.
-    With None it waits for good, which suits a run over what is stored: a query with timers
-    never runs out of batches, so it cannot be driven with ``availableNow``.
+    ``source``: chain_id, sequence, id, previous_receipt_hash, receipt_hash and, with ``late``, ts.
+    A receipt behind a missing one waits; after ``wait_ms`` without news of its chain it is
+    reported as ``gap``, and the receipts that follow it are judged by their links. With ``late``
+    the wait is over when the watermark (the latest ts less ``late``) is ``wait_ms`` past the
+    chain's last news, which suits runs over what is stored; otherwise the clock counts, and the
+    query never runs out of batches.
     """
     keep_state_in_rocksdb(source.sparkSession)
-    return (
-        source.select("chain_id", "sequence", "id", "previous_receipt_hash", "receipt_hash")
-        .groupBy("chain_id")
-        .transformWithStateInPandas(_ChainHead(wait_ms), HEAD_OUTPUT, "Append", _time_mode(wait_ms))
+    columns = ["chain_id", "sequence", "id", "previous_receipt_hash", "receipt_hash"]
+    if late is None:
+        keyed, mode = source.select(*columns), "ProcessingTime"
+    else:
+        timed = event_time(source).withWatermark("ts", late)
+        keyed, mode = timed.select(*columns, "ts", F.unix_millis("ts").alias("at_ms")), "EventTime"
+    return keyed.groupBy("chain_id").transformWithStateInPandas(
+        _ChainHead(wait_ms, late is not None), HEAD_OUTPUT, "Append", mode
     )
 
 

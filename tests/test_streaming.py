@@ -135,3 +135,14 @@ def test_rates_equal_the_batch_operator(spark, tmp_path):
     stream = {str(r.bucket): (r.accepted, r.error) for r in out.withColumn("bucket", F.col("bucket").cast("timestamp_ntz")).collect()}
     assert stream and all(batch[k] == v for k, v in stream.items())
     assert len(stream) == len(batch) - 1
+
+
+def test_late_receipts_are_stored(spark, tmp_path):
+    path = str(tmp_path / "in")
+    schema = "id string, ts timestamp_ntz"
+    seen = []
+    for name, day in (("new", 20), ("mid", 10), ("late", 1), ("new", 20)):
+        spark.sql(f"SELECT '{name}' AS id, timestamp_ntz '2024-01-{day:02d} 00:00:00' AS ts").coalesce(1).write.mode("append").parquet(path)
+        X.stream_ingest(X.follow(spark, path, spark.createDataFrame([], schema).schema), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        seen.append(sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert seen == [["new"], ["mid", "new"], ["late", "mid", "new"], ["late", "mid", "new"]]
