@@ -11,24 +11,54 @@ from pyspark.sql import types as T
 
 from spoor.functions import fixed
 
-# The columns a receipt hash covers, in this order.
+# The columns of a receipt's content, by name. A receipt hash covers those that the table has; only
+# the hashes themselves and the proof are left out.
 HASH_COLUMNS = (
-    "id",
+    "action_type",
+    "after_hash",
+    "agent_id",
+    "before_hash",
     "chain_id",
-    "sequence",
-    "ts",
+    "chain_status",
+    "correlation_id",
+    "delegator_id",
+    "drop_count",
+    "error",
+    "exe_path",
+    "grant_ref",
+    "id",
+    "idempotency_key",
     "issuer_id",
+    "model",
+    "parent_chain_id",
+    "parent_receipt_id",
+    "peer_gid",
+    "peer_pid",
+    "peer_platform",
+    "peer_uid",
     "principal_id",
-    "action_type",
-    "tool_name",
+    "resource",
+    "response_hash",
+    "reversal_of",
+    "reversal_window_seconds",
+    "reversible",
     "risk_level",
+    "sequence",
+    "session_id",
     "status",
-    "resource",
+    "target_system",
     "terminal",
-    "chain_status",
+    "tool_name",
+    "ts",
+    "version",
 )
 
 
+def hashed_columns(df: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
+    """``columns``, or all content columns of the table; in either case sorted by name."""
+    return sorted(columns if columns is not None else set(HASH_COLUMNS) & set(df.columns))
+
+
 def risk_rank(risk: Column) -> Column:
     """low = 1 .. critical = 4, null for anything else."""
     out = F.lit(None).cast("int")
@@ -59,10 +89,14 @@ def hash_field(value: Column) -> Column:
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def hash_content(columns: Sequence[str] = HASH_COLUMNS, times: Sequence[str] = ("ts",)) -> Column:
-    return F.concat(
-        *[hash_field(instant_text(F.col(c)) if c in times else F.col(c)) for c in columns]
-    )
+def hash_content(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """The hashed columns of a table as one text; times are written the same in any session zone."""
+
+    def text(name: str) -> Column:
+        timed = isinstance(df.schema[name].dataType, T.TimestampType | T.TimestampNTZType)
+        return instant_text(F.col(name)) if timed else F.col(name)
+
+    return F.concat(*[hash_field(text(c)) for c in hashed_columns(df, columns)])
 
 
 def sha256_ref(text: Column) -> Column:
@@ -70,9 +104,9 @@ def sha256_ref(text: Column) -> Column:
 
 
 def receipt_hash(
-    columns: Sequence[str] = HASH_COLUMNS, previous: str = "previous_receipt_hash"
+    df: DataFrame, columns: Sequence[str] | None = None, previous: str = "previous_receipt_hash"
 ) -> Column:
-    return sha256_ref(F.concat(hash_content(columns), hash_field(F.col(previous))))
+    return sha256_ref(F.concat(hash_content(df, columns), hash_field(F.col(previous))))
 
 
 def is_one_json(text: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from spoor.functions import fixed
 from spoor.functions.carry import along, fold_along
-from spoor.functions.exprs import HASH_COLUMNS, first_of, hash_content, receipt_hash
+from spoor.functions.exprs import first_of, hash_content, receipt_hash
 from spoor.session import scratch_path
 
 CHAIN = ("chain_id",)
@@ -19,9 +19,12 @@ IN_CHAIN = ("sequence", "id")
 SEAL_SLICE_ROWS = 20_000_000
 
 
-def content_hash(df: DataFrame, columns: Sequence[str] = HASH_COLUMNS) -> DataFrame:
-    """V1. Recompute every receipt's hash from its own columns and its stored previous hash."""
-    return df.withColumn("computed_hash", receipt_hash(columns))
+def content_hash(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """V1. Recompute every receipt's hash from its own columns and its stored previous hash.
+
+    ``columns`` are those it was sealed with; by default all content columns of the table.
+    """
+    return df.withColumn("computed_hash", receipt_hash(df, columns))
 
 
 def _seal_step(state, content, first_previous):
@@ -42,7 +45,7 @@ _SEAL_OUTPUT = T.StructType(
 def seal_chains(
     df: DataFrame,
     order: Sequence[str] = ("sequence",),
-    columns: Sequence[str] = HASH_COLUMNS,
+    columns: Sequence[str] | None = None,
     slice_rows: int = SEAL_SLICE_ROWS,
 ) -> DataFrame:
     """V2. Number each chain 1..n along ``order`` and link every row to its predecessor's hash.
@@ -55,7 +58,7 @@ def seal_chains(
     spark = df.sparkSession
     numbered = along(df, CHAIN, order, position="__seq")
     numbered = numbered.withColumn("sequence", F.col("__seq")).drop("__seq")
-    numbered = numbered.withColumn("__content", hash_content(columns))
+    numbered = numbered.withColumn("__content", hash_content(numbered, columns))
     longest = df.groupBy(*CHAIN).count().agg(F.max("count")).first()[0] or 0
     rounds = -(-longest // slice_rows)
     if rounds <= 1:
@@ -99,14 +102,15 @@ def check_links(
     df: DataFrame,
     signature_col: str | None = None,
     slice_rows: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """V3. Per-receipt checks along every chain.
+    """V3. Per-receipt checks along every chain; ``columns`` are those the chains were sealed with.
 
     ``index`` is the 0-based place in the chain. A receipt's link holds when its stored previous
     hash equals the hash recomputed from its neighbour, or is absent at the start; its sequence
     holds when it is one above the neighbour's, or at least 1 at the start.
     """
-    rows = content_hash(df)
+    rows = content_hash(df, columns)
     placed = along(
         rows,
         CHAIN,
@@ -157,13 +161,14 @@ def verify_chains(
     signature_col: str | None = None,
     rotation_ok_col: str | None = None,
     slice_rows: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """V4. One verdict per chain: valid, length, status, where and why it breaks first.
 
     At one index signature outranks rotation, hash link, sequence and schema. A receipt after a
     terminal one breaks the chain at its index when that is the lowest.
     """
-    return chain_verdicts(check_links(df, signature_col, slice_rows), rotation_ok_col)
+    return chain_verdicts(check_links(df, signature_col, slice_rows, columns), rotation_ok_col)
 
 
 def chain_verdicts(checked: DataFrame, rotation_ok_col: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -172,12 +174,13 @@ def provenance_verdicts(
     allowlist: DataFrame | None = None,
     signature_col: str | None = None,
     slice_rows: int | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """V18. Six checks per receipt and the provenance verdict they give.
 
     ``allowlist``: exe_path. A path outside it warns; it never lowers the verdict.
     """
-    checked = check_links(df, signature_col, slice_rows)
+    checked = check_links(df, signature_col, slice_rows, columns)
     plain_ok = F.col("signature_ok") & F.col("hash_link_ok") & F.col("sequence_ok")
     rows = along(
         checked,

@@ -215,6 +215,7 @@ def tampered_columns(d: Dialect, columns: list[str]) -> list[str]:
     changed = {
         "status": f"CASE WHEN {EDIT} AND event_id % 61 = 7 THEN CASE WHEN status = 'success' THEN 'failure' "
         "ELSE 'success' END ELSE status END",
+        "grant_ref": f"CASE WHEN {EDIT} AND event_id % 67 = 19 THEN 'grant-forged' ELSE grant_ref END",
         "sequence": f"CASE WHEN {EDIT} AND event_id % 89 = 13 THEN sequence + 1 ELSE sequence END",
         "previous_receipt_hash": f"CASE WHEN {EDIT} AND event_id % 83 = 17 THEN 'sha256:' || {d.sha256(chr(39) + 'forged' + chr(39))} "
         f"WHEN {EDIT} AND user_id % 20 = 5 AND sequence = 3 THEN splice_hash ELSE previous_receipt_hash END",
@@ -287,7 +288,7 @@ def _hash_field(expr: str) -> str:
 
 def duck_content(prefix: str = "") -> str:
     parts = []
-    for c in HASH_COLUMNS:
+    for c in sorted(set(HASH_COLUMNS) & set(_names())):
         expr = DUCK.instant_text(f"{prefix}{c}") if c == "ts" else f"cast({prefix}{c} as string)"
         parts.append(_hash_field(expr))
     return " || ".join(parts)

@@ -28,7 +28,7 @@ def _field(value) -> str:
 
 
 def digest(row: dict) -> str:
-    text = "".join(_field(row[c]) for c in HASH_COLUMNS) + _field(row["previous_receipt_hash"])
+    text = "".join(_field(row[c]) for c in sorted(set(HASH_COLUMNS) & set(NAMES))) + _field(row["previous_receipt_hash"])
     return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 

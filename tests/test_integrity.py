@@ -304,3 +304,21 @@ def test_health(spark):
 
 def test_schema_of_fixture(spark):
     assert table(spark, chain("c", 1)).schema == spark.createDataFrame([], SCHEMA).schema
+
+
+@pytest.mark.parametrize("column", ["response_hash", "idempotency_key", "resource", "tool_name"])
+def test_a_change_of_any_content_column_breaks_the_chain(spark, column):
+    forged = table(spark, chain("a", 4), chain("b", 4)).withColumn(
+        column, F.when((F.col("chain_id") == "a") & (F.col("sequence") == 2), F.lit("forged")).otherwise(F.col(column))
+    )
+    got = {r.chain_id: (r.valid, r.broken_at, r.cause) for r in I.verify_chains(forged).collect()}
+    assert got == {"a": (False, 2, "hash_link"), "b": (True, -1, None)}
+
+
+def test_chains_sealed_with_own_columns(spark):
+    columns = ["id", "chain_id", "sequence", "ts", "signature_valid"]
+    sealed = I.seal_chains(table(spark, chain("a", 5), chain("b", 3)), columns=columns)
+    assert all(r.valid for r in I.verify_chains(sealed, columns=columns).collect())
+    assert not any(r.valid for r in I.verify_chains(sealed).collect())
+    changed = sealed.withColumn("signature_valid", F.col("sequence") == 2)
+    assert not any(r.valid for r in I.verify_chains(changed, columns=columns).collect())
