@@ -222,6 +222,8 @@ def delegation_tree(edges: DataFrame, chains: DataFrame, max_rounds: int = 40) -
             F.when(F.col("done"), F.col("depth")).otherwise(F.col("depth") + F.col("__d")).alias("depth"),
             (F.col("done") | F.col("__done")).alias("done"),
         )
+    else:
+        raise RuntimeError(f"delegations are still open after {max_rounds} rounds")
     return state.select(
         "chain_id",
         F.when(F.col("done"), F.col("up")).alias("root_chain_id"),

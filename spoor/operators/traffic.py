@@ -77,11 +77,6 @@ def version_metrics(versions: DataFrame) -> DataFrame:
     )
 
 
-def _percent(share: Column) -> Column:
-    # bround: half to even, as the text format of the reports does.
-    return F.concat(F.bround(share * 100, 0).cast("long").cast("string"), F.lit("%"))
-
-
 def traffic_verdict(
     metrics: DataFrame, versions: DataFrame | None = None, mirrors: DataFrame | None = None, entities: DataFrame | None = None
 ) -> DataFrame:
@@ -240,17 +235,22 @@ _TAG = r"^(.*?)[/-]v?(\d[\w.\-]*)$"
 _BARE = r"^v?(\d[\w.\-]*)$"
 
 
+def _number_key(digits: Column) -> Column:
+    significant = F.regexp_replace(digits, "^0+", "")
+    return F.concat(F.lit("0"), F.lpad(F.length(significant).cast("string"), 10, "0"), significant)
+
+
 def version_key(version: Column) -> Column:
     """A text that sorts as versions do: numeric parts by value, a pre-release before its release.
 
-    The parts are padded; a part that is no number sorts behind all numbers. Ends of parts sort
-    before more parts.
+    A number is written with its length before it, so one of any size sorts by value; a part that
+    is no number sorts behind all numbers. Ends of parts sort before more parts.
     """
     base = F.split_part(version, F.lit("-"), F.lit(1))
     pre = F.when(version.contains("-"), F.regexp_replace(version, r"^[^-]*-", "")).otherwise(F.lit(""))
     parts = F.transform(
         F.split(base, r"\."),
-        lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("0"), F.lpad(p, 20, "0"))).otherwise(F.concat(F.lit("1"), p)),
+        lambda p: F.when(p.rlike(r"^\d+$"), _number_key(p)).otherwise(F.concat(F.lit("1"), p)),
     )
     return F.concat(
         F.array_join(parts, "."), F.lit(" "), F.when(pre == "", F.lit("1")).otherwise(F.concat(F.lit("0"), pre))
@@ -273,8 +273,8 @@ def release_timeline(split: DataFrame) -> DataFrame:
         "ci",
         "swept",
     )
-    keyed = placed.withColumn("__key", version_key(F.col("version"))).withColumn("__one", F.lit(0))
-    return along(keyed, ("module",), ("__one", "__key", "release"), position="place").drop("__key", "__one")
+    keyed = placed.withColumn("__key", version_key(F.col("version")))
+    return along(keyed, ("module",), ("__key", "release"), position="place").drop("__key")
 
 
 def release_verdict(metrics: DataFrame) -> DataFrame:

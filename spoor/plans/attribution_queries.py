@@ -176,9 +176,9 @@ def delegation_tree(spark, sf):
 
 
 _DEPENDS = (
-    "SELECT 'order-' || cast(l_orderkey as string) AS src, 'part-' || cast(l_partkey as string) AS dst FROM {l} WHERE l_returnflag = 'R' UNION "
+    "SELECT 'order-' || cast(l_orderkey as string) AS src, 'part-' || cast(l_partkey as string) AS dst FROM {l} UNION "
     "SELECT 'part-' || cast(p_partkey as string), 'part-' || cast(cast(floor(p_partkey / 12) as bigint) as string) FROM {p} UNION "
-    "SELECT 'part-' || cast(l_partkey as string), 'supplier-' || cast(l_suppkey as string) FROM {l} WHERE l_linenumber = 1"
+    "SELECT 'part-' || cast(l_partkey as string), 'supplier-' || cast(l_suppkey as string) FROM {l}"
 )
 _ROOTS = "SELECT 'order-' || cast(o_orderkey as string) AS name FROM {o} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
 

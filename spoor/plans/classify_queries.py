@@ -395,9 +395,9 @@ def enrich_usage(spark, sf):
     return C.enrich_usage(events, parse_transcripts(transcript_lines(trail))).select("id", "turn_model", "turn_usage", "turn_found")
 
 
-_INTENT = "SELECT cast(conv_id as string) || '-' || cast(turn as string) AS call_id, substr(text, 1, 20) AS args, turn AS at FROM {c} WHERE role = 'user'"
+_INTENT = "SELECT cast(conv_id as string) || '-' || cast(turn as string) AS call_id, text AS args, turn AS at FROM {c} WHERE role = 'user'"
 _RESULT = (
-    "SELECT cast(conv_id as string) || '-' || cast(turn - 1 as string) AS call_id, CASE WHEN turn % 4 = 1 THEN substr(text, 1, 10) ELSE cast(null as string) END AS args, "
+    "SELECT cast(conv_id as string) || '-' || cast(turn - 1 as string) AS call_id, CASE WHEN turn % 4 = 1 THEN text ELSE cast(null as string) END AS args, "
     "CASE WHEN length(text) % 2 = 0 THEN 'success' ELSE 'failure' END AS status, turn AS at FROM {c} WHERE role = 'assistant'"
 )
 

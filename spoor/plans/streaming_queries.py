@@ -27,9 +27,9 @@ def _run(spark, stream, name):
     return out.withColumns({t: F.col(t).cast("timestamp_ntz") for t in times})
 
 
-@query("X1", with_views("trail", "SELECT id, chain_id, sequence FROM trail WHERE risk_level = 'high'"))
+@query("X1", with_views("trail", "SELECT id, chain_id, sequence FROM trail WHERE risk_level = 'high' AND ts BETWEEN '2024-01-05' AND '2024-01-20'"))
 def follow(spark, sf):
-    stream = _follow(spark, sf, risk_level="high").select("id", "chain_id", "sequence")
+    stream = _follow(spark, sf, risk_level="high", after="2024-01-05", before="2024-01-20").select("id", "chain_id", "sequence")
     return _run(spark, stream, "follow")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor import schema
+from spoor.functions.exprs import is_one_json
 
 CORRUPT = "_corrupt"
 _CORRUPTIBLE = T.StructType([*schema.RECEIPT.fields, T.StructField(CORRUPT, T.StringType())])
@@ -104,13 +105,14 @@ def read_transcripts(spark: SparkSession, path: str, max_len: int = 1 << 20) ->
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
     )
-    return parse_transcripts(lines.filter(F.octet_length("value") <= max_len).filter(F.col("value").contains('"tool_use"')))
+    return parse_transcripts(lines.filter(F.octet_length("value") <= max_len)).filter("entry_ok").drop("entry_ok")
 
 
 def parse_transcripts(lines: DataFrame) -> DataFrame:
-    """Transcript entries from text lines (file, block, row, value)."""
+    """Transcript entries from text lines (file, block, row, value); ``entry_ok``: the line is JSON."""
     entry = F.from_json("value", schema.TRANSCRIPT_LINE)
     return lines.withColumn("e", entry).select(
+        is_one_json(F.col("value")).alias("entry_ok"),
         "file",
         "block",
         "row",

@@ -9,7 +9,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spoor.functions.carry import along
+from spoor.functions.carry import along, estimated_bytes
+
+FILE_BYTES, FILE_ROWS = 256 << 20, 5_000_000
+MOST_ESTIMATE = 1 << 60
 
 
 def write_trail(df: DataFrame, path: str, mode: str = "append", files: int | None = None) -> None:
@@ -20,11 +23,14 @@ def write_trail(df: DataFrame, path: str, mode: str = "append", files: int | Non
     """
     dated = df.withColumn("chain_date", F.to_date("ts"))
     order = ("chain_date", "chain_id", "sequence")
-    if files:
-        spread = dated.repartitionByRange(files, *order)
-    else:
-        spread = dated.repartitionByRange(*order)
-    spread.sortWithinPartitions(*order).write.mode(mode).partitionBy("chain_date").parquet(path)
+    if not files:
+        size = estimated_bytes(df) or MOST_ESTIMATE
+        # Catalyst knows nothing of some inputs and says so with an enormous number.
+        files = -(-size // FILE_BYTES) if size < MOST_ESTIMATE else 0
+        files = max(files, df.sparkSession.sparkContext.defaultParallelism)
+    writer = dated.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode(mode)
+    writer = writer.option("parquet.bloom.filter.enabled#id", "true").option("maxRecordsPerFile", FILE_ROWS)
+    writer.partitionBy("chain_date").parquet(path)
 
 
 Writers = Mapping[str, Callable[[DataFrame], None]]

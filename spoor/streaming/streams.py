@@ -33,10 +33,18 @@ def keep_state_in_rocksdb(spark: SparkSession) -> None:
 
 
 def follow(
-    spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None, **equal: str | None
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    files_per_trigger: int | None = None,
+    after: str | None = None,
+    before: str | None = None,
+    **equal: str | None,
 ) -> DataFrame:
     """X1. The trail as a stream: what is stored, then whatever is added, each row once.
 
+    Filters are those of the listing: ``after`` and ``before`` bound ``ts``, both ends included.
+
     The query's checkpoint takes the place of a row watermark, so nothing falls between the
     snapshot and the tail.
     """
@@ -47,6 +55,10 @@ def follow(
     for name, value in equal.items():
         if value is not None:
             out = out.filter(F.col(name) == value)
+    if after is not None:
+        out = out.filter(F.col("ts") >= F.lit(after).cast(schema["ts"].dataType))
+    if before is not None:
+        out = out.filter(F.col("ts") <= F.lit(before).cast(schema["ts"].dataType))
     return out
 
 

@@ -3,6 +3,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from spoor.functions import fixed
 from spoor.operators import traffic as T
@@ -136,3 +137,11 @@ def test_spikes_near_publish(spark):
     published = spark.createDataFrame([("a", MONDAY), ("a", MONDAY + datetime.timedelta(days=1)), ("a", MONDAY + datetime.timedelta(days=7))], "entity string, published date")
     got = [(r.day.day, r.explained) for r in T.spikes_near_publish(window, published).orderBy("day").collect()]
     assert got == [(3, True), (6, False), (8, True)]
+
+
+def test_versions_of_any_length_sort_by_value(spark):
+    from spoor.operators.traffic import version_key
+
+    ordered = ["0.9", "1.2", "1.10", "1.010.1", "9" * 25, "1" + "0" * 25, "1" + "0" * 25 + ".1", "x"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(ordered)], "i int, v string")
+    assert [r.i for r in df.orderBy(version_key(F.col("v")), "i").collect()] == list(range(len(ordered)))
