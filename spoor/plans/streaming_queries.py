@@ -75,9 +75,17 @@ def stream_chain_head(spark, sf):
     return _run(spark, X.stream_chain_head(source, 3_600_000, late="10 minutes"), "head")
 
 
-@query("X4", with_views("sealed", "SELECT chain_id, sequence, receipt_hash, 'cadence' AS reason FROM sealed WHERE sequence % 20 = 0"))
+@query(
+    "X4",
+    with_views(
+        "sealed",
+        "SELECT chain_id, sequence, receipt_hash, CASE WHEN sequence % 20 = 0 THEN 'cadence' ELSE 'elapsed' END AS reason FROM "
+        "(SELECT *, max(sequence) OVER (PARTITION BY chain_id) AS last, max(ts) OVER (PARTITION BY chain_id) AS last_ts FROM sealed) s "
+        "WHERE sequence % 20 = 0 OR (sequence = last AND last_ts + interval 1 hour <= (SELECT max(ts) - interval 10 minute FROM sealed))",
+    ),
+)
 def stream_checkpoints(spark, sf):
-    return _run(spark, X.stream_checkpoints(_follow(spark, sf, "sealed"), 20, None), "witness")
+    return _run(spark, X.stream_checkpoints(_follow(spark, sf, "sealed"), 20, 3_600_000, late="10 minutes"), "witness")
 
 
 _CALLED = "SELECT correlation_id AS call_id, ts, k FROM trail WHERE correlation_id IS NOT NULL"

@@ -202,10 +202,6 @@ class _ChainHead(StatefulProcessor):
         pass
 
 
-def _time_mode(limit_ms: int | None) -> str:
-    return "None" if limit_ms is None else "ProcessingTime"
-
-
 def stream_chain_head(source: DataFrame, wait_ms: int = 60_000, late: str | None = None) -> DataFrame:
     """X3. Verdict on every receipt as it arrives: ok, bad_link, gap or repeated.
 
@@ -241,8 +237,8 @@ WITNESS_OUTPUT = T.StructType(
 class _Witness(StatefulProcessor):
     """Counts a chain's receipts since its last checkpoint; a timer covers slow chains."""
 
-    def __init__(self, every: int, after_ms: int | None):
-        self.every, self.after_ms = every, after_ms
+    def __init__(self, every: int, after_ms: int, event_time: bool):
+        self.every, self.after_ms, self.event_time = every, after_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -250,8 +246,10 @@ class _Witness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         since, last, digest, anchored = tuple(self.state.get()) if self.state.exists() else (0, 0, None, 0)
-        out = []
+        out, now = [], None
         for batch in rows:
+            if self.event_time:
+                now = max(now or 0, int(batch["at_ms"].max()))
             ordered = batch.sort_values("sequence")
             for sequence, own in zip(ordered["sequence"].tolist(), ordered["receipt_hash"].tolist()):
                 since += 1
@@ -263,9 +261,13 @@ class _Witness(StatefulProcessor):
                         anchored = last
                         out.append((key[0], last, digest, "cadence"))
         self.state.update((since, last, digest, anchored))
-        timed = self.after_ms is not None
-        if timed and last > anchored and not list(self.handle.listTimers()):
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.after_ms)
+        if last > anchored and not list(self.handle.listTimers()):
+            if self.event_time:
+                # News older than the watermark are due as soon as it moves.
+                due = max(now + self.after_ms, timerValues.getCurrentWatermarkInMs() + 1)
+            else:
+                due = timerValues.getCurrentProcessingTimeInMs() + self.after_ms
+            self.handle.registerTimer(due)
         if out:
             yield pd.DataFrame(out, columns=WITNESS_OUTPUT.names)
 
@@ -279,16 +281,21 @@ class _Witness(StatefulProcessor):
         pass
 
 
-def stream_checkpoints(source: DataFrame, every: int = 1000, after_ms: int | None = 300_000) -> DataFrame:
+def stream_checkpoints(source: DataFrame, every: int = 1000, after_ms: int = 300_000, late: str | None = None) -> DataFrame:
     """X4. A checkpoint after every ``every`` receipts of a chain, or ``after_ms`` after activity.
 
-    None leaves the time rule out; see ``stream_chain_head`` on timers.
+    ``source``: chain_id, sequence, receipt_hash and, with ``late``, ts: then the time is that of
+    the watermark, the latest ts less ``late``; otherwise it is the clock's.
     """
     keep_state_in_rocksdb(source.sparkSession)
-    return (
-        source.select("chain_id", "sequence", "receipt_hash")
-        .groupBy("chain_id")
-        .transformWithStateInPandas(_Witness(every, after_ms), WITNESS_OUTPUT, "Append", _time_mode(after_ms))
+    columns = ["chain_id", "sequence", "receipt_hash"]
+    if late is None:
+        keyed, mode = source.select(*columns), "ProcessingTime"
+    else:
+        timed = event_time(source).withWatermark("ts", late)
+        keyed, mode = timed.select(*columns, "ts", F.unix_millis("ts").alias("at_ms")), "EventTime"
+    return keyed.groupBy("chain_id").transformWithStateInPandas(
+        _Witness(every, after_ms, late is not None), WITNESS_OUTPUT, "Append", mode
     )
 
 
