@@ -177,13 +177,14 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """doc_id, node and ``class_id`` of every row of (doc_id, text).
+    """doc_id, node, ``class_id``, ``kept`` and ``has_words`` of every row of (doc_id, text).
 
     ``class_id`` is the least doc_id among the documents that equal texts and verified links of
     similarity ``least`` or more connect; links join classes, so two members of one class may be
-    less similar to each other. Null texts and texts without words are in no one's class: their
-    class_id is their own doc_id. Null ids count as greater than all others. Repeated rows are
-    copies like others. Bands miss a pair of similarity 0.8 with a chance of 5 in 100,000.
+    less similar to each other. Null ids count as greater than all others. ``kept`` marks the
+    document of that id (of several with it, the text of least MD5), and all its repeated rows.
+    Null texts and texts without words are in no one's class: their class_id is their own doc_id,
+    and they are kept. Bands miss a pair of similarity 0.8 with a chance of 5 in 100,000.
     """
     signed = store(_sign(docs.select("doc_id", "text"), shingle), "signed")
     nodes = store(
@@ -195,11 +196,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAS
     rooted = nodes.select("node", "rep").join(root, "node", "left").select(
         F.col("node").alias("_node"), "rep", F.coalesce("root", "node").alias("root")
     )
-    least_rep = rooted.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("class_id"))
-    classes = rooted.join(least_rep, F.col("root") == F.col("_root")).select("_node", "class_id")
+    first = F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("_node"))).alias("first")
+    firsts = rooted.groupBy(F.col("root").alias("_root")).agg(first)
+    classes = rooted.join(firsts, F.col("root") == F.col("_root")).select(
+        "_node", F.col("first.rep").alias("class_id"), F.col("first._node").alias("class_node")
+    )
     has_words = F.col("bands").isNotNull()
+    is_first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node"))
     return signed.join(classes, has_words & (F.col("node") == F.col("_node")), "left").select(
-        "doc_id", "node", F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), has_words.alias("has_words")
+        "doc_id",
+        "node",
+        F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        (~has_words | is_first).alias("kept"),
+        has_words.alias("has_words"),
     )
 
 
@@ -211,11 +220,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = store(near_duplicates(own), "classes")
-    keep = ~F.col("has_words") | F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = found.filter(~keep).select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
+    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
     # Repeated rows of a kept document: taken out as well, and one of them is put back.
     repeated = (
-        found.filter(keep & F.col("has_words"))
+        found.filter("kept AND has_words")
         .groupBy(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
         .count().filter("count > 1").drop("count")
     )

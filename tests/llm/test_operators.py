@@ -118,6 +118,14 @@ def test_near_duplicates_on_odd_rows(spark, odd_docs):
     assert near_dedup.keep_one(odd_docs.limit(0)).count() == 0
 
 
+def test_one_document_stays_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text), (None, text), (None, text + " x"), (7, text + " y"), (7, text + " z"), (None, "other words"), (None, "other words")]
+    for some, left in ((rows, 2), (rows[:3], 1), (rows[3:], 2)):
+        docs = spark.createDataFrame(some, "doc_id long, text string")
+        assert near_dedup.keep_one(docs).count() == left
+
+
 def test_components(spark):
     rng = random.Random(8)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
