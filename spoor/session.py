@@ -42,6 +42,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/spoor-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/spoor-{uuid.uuid4().hex}/{name}"
+    """A new, unused path in the shared folder, below one folder per application."""
+    return f"{_scratch_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder.
+
+    Results may be read from there, so this is for the end of a job, when its results are written
+    where they belong.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
