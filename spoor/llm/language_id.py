@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spoor.llm.common import free_name, with_columns_last
 from spoor.llm.words import chunks, text_bytes
@@ -34,6 +35,7 @@ _byte = np.arange(256)
 _LETTER = ((_byte >= 97) & (_byte <= 122)) | ((_byte >= 65) & (_byte <= 90)) | (_byte >= 128)
 # Letters in lower case (A-Z only), everything else a blank.
 _FOLD = np.where(_LETTER, np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte), 32).astype(np.uint8)
+_BLANK = np.array([32], dtype=np.uint8)
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data, bounds = text_bytes(texts)
     folded = _FOLD[data]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        own = np.concatenate([[32], folded[a:b], [32]]).astype(np.uint8)
+        own = np.concatenate([_BLANK, folded[a:b], _BLANK])
         own = own[np.concatenate([[True], (own[1:] != 32) | (own[:-1] != 32)])]  # one blank between words
         if len(own) < GRAM:
             own = np.concatenate([own, np.full(GRAM - len(own), 32, np.uint8)])
@@ -56,9 +58,7 @@ def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for k in range(1, GRAM):
             code = (code << np.uint32(8)) | wide[k : len(own) - GRAM + 1 + k]
         slot = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - 16)
-        number = np.bincount(slot, minlength=1)
-        found = np.flatnonzero(number)
-        yield found, number[found]
+        yield np.unique(slot, return_counts=True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,33 +139,45 @@ def mixture(model: Model, slot: np.ndarray, number: np.ndarray, penalty: float =
     return chosen, shares
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", outputs=("lang_pred", "score", "langs")) -> DataFrame:
+def identify(
+    docs: DataFrame, model: Model, text: str = "text", outputs=("lang_pred", "score", "langs"), keep_text: bool = True
+) -> DataFrame:
     """Add the main language, its share (0 to 1) and all selected languages, the main one first.
 
     Null texts and texts without a letter are ``und`` with score 0 and no languages, as is every
     text when no language was learned. Columns of the input with an output's name give way.
+    ``keep_text=False`` leaves the text out, so that it is not sent back from Python.
     """
     name, score, langs = outputs
-    none = {name: F.lit(UNKNOWN), score: F.lit(0.0), langs: F.array().cast("array<string>")}
-    out = with_columns_last(docs, none)
-    if not model.languages:
-        return out
+    unknown = {name: UNKNOWN, score: 0.0, langs: []}
+    letter = free_name([*docs.columns, *outputs], "_letter")
+    # A letter is what Unicode calls one; the bytes alone cannot tell.
+    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
+    none = {name: F.lit(UNKNOWN), score: F.lit(0.0), langs: F.array().cast("array<string>"), letter: has_letter}
+    asked = with_columns_last(docs, none)
+    kept = [f for f in asked.schema.fields if f.name != letter and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text):
                 names = part.schema.names
                 found = []
-                for slot, number in features(part.column(names.index(text))):
-                    chosen, shares = mixture(model, slot, number)
-                    found.append((model.languages[chosen[0]], float(shares[chosen[0]]), [model.languages[i] for i in chosen]))
+                for known, (slot, number) in zip(
+                    part.column(names.index(letter)).to_pylist(), features(part.column(names.index(text)))
+                ):
+                    if known:
+                        chosen, shares = mixture(model, slot, number)
+                        own = [model.languages[i] for i in chosen]
+                        found.append((own[0], float(shares[chosen[0]]), own))
+                    else:
+                        found.append(tuple(unknown.values()))
                 new = {c: pa.array([f[i] for f in found], type=part.schema.field(c).type) for i, c in enumerate(outputs)}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(names)], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [new[f.name] if f.name in new else part.column(names.index(f.name)) for f in kept],
+                    names=[f.name for f in kept],
+                )
 
-    seen = out.mapInArrow(run, out.schema)
-    # A letter is what Unicode calls one; the bytes alone cannot tell.
-    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
-    return with_columns_last(seen, {c: F.when(has_letter, F.col(c)).otherwise(v) for c, v in none.items()})
+    return asked.mapInArrow(run, T.StructType(kept))
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

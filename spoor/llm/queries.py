@@ -123,7 +123,7 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("keep"))
+    return found.select("doc_id", "class_id", F.col("kept").alias("keep"))
 
 
 @query(
@@ -163,7 +163,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = language_id.held_out(F.col("doc_id"))
     model = language_id.learn(docs.filter(~held))
-    found = language_id.identify(docs.select("doc_id", "text"), model)
+    found = language_id.identify(docs.select("doc_id", "text"), model, keep_text=False)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", F.concat_ws(",", "langs").alias("langs"))
 
 
