@@ -112,8 +112,7 @@ def receipt_hash(
 def is_one_json(text: Column) -> Column:
     """True when the text is exactly one JSON value; the parser alone would ignore what follows it."""
     listed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    only = F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
-    return F.coalesce(only, F.lit(False))
+    return F.coalesce(F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1, F.lit(False))
 
 
 def canonical_uri(raw: Column) -> Column:

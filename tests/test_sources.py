@@ -1,6 +1,8 @@
 """Readers and writers on literal files."""
 
 import json
+
+import pytest
 import logging
 
 from pyspark.sql import functions as F
@@ -104,3 +106,11 @@ def test_presentations_split_long_chains(spark, tmp_path):
     S.export_presentations(df, str(tmp_path / "vp"), documents_per_part=3)
     parts = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "vp")).collect()), key=lambda p: p["verifiableCredential"][0]["id"])
     assert [[d["id"] for d in p["verifiableCredential"]] for p in parts] == [[1, 2, 3], [4, 5, 6], [7]]
+
+
+def test_large_array_files_are_refused(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2"}]')
+    assert R.read_receipts(spark, str(tmp_path), layout="array").count() == 2
+    monkeypatch.setattr(R, "MOST_ARRAY_BYTES", 10)
+    with pytest.raises(ValueError, match="a.json"):
+        R.read_receipts(spark, str(tmp_path), layout="array")
