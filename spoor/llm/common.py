@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spoor.session import checkpoint_dir, scratch_path
 
-__all__ = ["checkpoint_dir", "free_name", "read_table", "store", "with_columns_last"]
+__all__ = ["checkpoint_dir", "draw", "free_name", "free_prefix", "read_table", "store", "with_columns_last"]
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,13 @@ def free_name(taken: list[str], wish: str) -> str:
     return wish
 
 
+def free_prefix(taken: list[str], wish: str) -> str:
+    """A prefix that no column name of ``taken`` begins with, whatever their case."""
+    while any(t.lower().startswith(wish.lower()) for t in taken):
+        wish += "_"
+    return wish
+
+
 def with_columns_last(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     """Add columns; a column of the input that has one of their names gives way."""
     low = {n.lower() for n in added}
@@ -34,3 +41,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def draw(df: DataFrame, rows: int, *key: str, exact: bool = True) -> DataFrame:
+    """``rows`` rows of least hash of ``key``: the same ones however the table is laid out.
+
+    Rows are first cut down to little more than ``rows`` by their hash, so that not every task
+    sends that many to the one that sorts them. Without ``exact`` that is all, and about ``rows``
+    rows are returned, in no order.
+    """
+    n = df.count()
+    spare = 10 * rows**0.5 + 100 if exact else 0
+    bits = 40
+    drawn = F.pmod(F.xxhash64(F.lit("draw"), *key), F.lit(1 << bits))
+    some = df if rows + spare >= n else df.filter(drawn < int((rows + spare) / n * (1 << bits)))
+    return some.orderBy(drawn, *key).limit(rows) if exact else some

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import free_name, store
+from spoor.llm.common import free_name, free_prefix, store
 from spoor.llm.slices import SLICE_ROWS, even_hash, run_along, slice_of
 
 MOST_REPEATS = 3
@@ -216,9 +216,10 @@ def mix_documents(docs: DataFrame, schedules_of, most: int = MOST_REPEATS) -> Da
         plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*on).orderBy(F.to_json("takes"))))
         rows = rows.withColumn(key["nth"], F.row_number().over(Window.partitionBy(*[key[c] for c in on]).orderBy(F.lit(0))))
         on.append("nth")
-    wanted = plan.select(*[F.col(c).alias(f"_wanted_{c}") for c in on], F.col("takes").alias("_wanted_takes"))
-    met = rows.join(wanted, [F.col(key[c]).eqNullSafe(F.col(f"_wanted_{c}")) for c in on])
+    wish = free_prefix(docs.columns, "_wanted")
+    wanted = plan.select(*[F.col(c).alias(f"{wish}_{c}") for c in [*on, "takes"]])
+    met = rows.join(wanted, [F.col(key[c]).eqNullSafe(F.col(f"{wish}_{c}")) for c in on])
     own = [F.col(f"`{c}`") for c in docs.columns]
     time = free_name(docs.columns, "_time")
-    each = met.select(*own, F.explode(F.transform("_wanted_takes", lambda t: t["time"])).alias(time))
+    each = met.select(*own, F.explode(F.transform(f"{wish}_takes", lambda t: t["time"])).alias(time))
     return each.orderBy(time, F.col("doc_id")).select(*own)

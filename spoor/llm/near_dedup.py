@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spoor.llm.bagminhash import bags, band_keys, overlaps, signatures, similarity, sizes
-from spoor.llm.common import store
+from spoor.llm.common import free_prefix, store
 from spoor.llm.components import components
 from spoor.llm.words import chunks, words_of
 
@@ -220,15 +220,13 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     found = store(near_duplicates(own), "classes")
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node")).distinct()
+    gone_id, gone_node = (f"{free_prefix(docs.columns, '_gone')}_{c}" for c in ("id", "node"))
+    named = [F.col("doc_id").alias(gone_id), F.col("node").alias(gone_node)]
+    gone = found.filter("NOT kept").select(*named).distinct()
     # Repeated rows of a kept document: taken out as well, and one of them is put back.
-    repeated = (
-        found.filter("kept AND has_words")
-        .groupBy(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone_node"))
-        .count().filter("count > 1").drop("count")
-    )
+    repeated = found.filter("kept AND has_words").groupBy(*named).count().filter("count > 1").drop("count")
     node = F.unhex(F.md5(F.col(f"`{text}`").cast("binary")))
-    at = F.col(f"`{doc_id}`").eqNullSafe(F.col("_gone_id")) & (node == F.col("_gone_node"))
+    at = F.col(f"`{doc_id}`").eqNullSafe(F.col(gone_id)) & (node == F.col(gone_node))
     if gone.count() <= BROADCAST_NODES:
         gone = F.broadcast(gone)
     if repeated.isEmpty():

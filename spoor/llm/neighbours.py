@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import store
+from spoor.llm.common import draw, store
 
 # The codebooks are fitted on this many vectors at most; all vectors are indexed.
 SAMPLE = 20_000
@@ -120,7 +120,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def fit(entries: DataFrame, sample: int = SAMPLE) -> Codebooks:
     """Codebooks from the ``sample`` entries of least hash."""
-    rows = entries.orderBy(F.xxhash64("vec"), "entry").limit(sample).select("vec").toArrow()["vec"].combine_chunks()
+    rows = draw(entries, sample, "entry").select("vec").toArrow()["vec"].combine_chunks()
     vectors = _matrix(rows)
     k = int(np.clip(np.sqrt(entries.count() / ENTRIES_PER_CELL), 1, MOST_CENTROIDS))
     half = (vectors.shape[1] + 1) // 2
@@ -160,7 +160,7 @@ def _exact(entries: DataFrame, queries: np.ndarray, k: int) -> dict[int, list[in
 
 def candidates_needed(index: DataFrame, queries: DataFrame, books: Codebooks, sizes: np.ndarray, k: int) -> int:
     """Entries that a walk has to visit to reach ``REACH`` of the true neighbours."""
-    some = queries.orderBy(F.xxhash64("vec"), "entry").limit(CALIBRATION).select("vec").toArrow()["vec"].combine_chunks()
+    some = draw(queries, CALIBRATION, "entry").select("vec").toArrow()["vec"].combine_chunks()
     vectors = _matrix(some)
     depths = []
     for q, cells in _exact(index, vectors, k + 1).items():

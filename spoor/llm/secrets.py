@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spoor.llm.common import store
+from spoor.llm.common import draw, store
 
 # Labelled findings of each class that the forest is trained on, those of least hash.
 TRAIN_FINDINGS = 4_000
@@ -77,8 +77,8 @@ def find_candidates(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
 
 
 def dictionary(docs: DataFrame, text: str = "text", docs_read: int = DICTIONARY_DOCS, words: int = DICTIONARY_WORDS) -> list[str]:
-    """Frequent words of a bounded sample of texts, those of least hash."""
-    sample = docs.filter(F.col(text).isNotNull()).orderBy(F.xxhash64(text)).limit(docs_read)
+    """Frequent words of about ``docs_read`` texts, drawn by hash of id and text."""
+    sample = draw(docs.filter(F.col(text).isNotNull()), docs_read, "doc_id", text, exact=False)
     each = sample.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
     top = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words)
     return [r["word"] for r in top.collect()]
@@ -142,10 +142,9 @@ def train(labelled: DataFrame, key: list[str], each: int = TRAIN_FINDINGS) -> Ra
     The ``each`` findings of either class that are least by hash of ``key`` are used, so the sample
     and with it the forest are the same each time.
     """
-    order = [F.xxhash64(*key), *key]
     columns = ["label", *FEATURES, *key]
-    some = [labelled.filter(F.col("label") == c).select(*columns).orderBy(*order).limit(each) for c in (0.0, 1.0)]
-    sample = store(some[0].union(some[1]).coalesce(1).sortWithinPartitions("label", *order), "labelled")
+    some = [draw(labelled.filter(F.col("label") == c).select(*columns), each, *key) for c in (0.0, 1.0)]
+    sample = store(some[0].union(some[1]).coalesce(1).sortWithinPartitions("label", *key, *FEATURES), "labelled")
     if sample.select("label").distinct().count() < 2:
         return None
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)

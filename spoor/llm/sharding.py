@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import free_name, store
+from spoor.llm.common import free_name, free_prefix, store
 from spoor.llm.slices import even_hash, run_along, slice_of
 
 SEED = 20260101
@@ -148,10 +148,9 @@ def shard_rows(
     else:
         same = Window.partitionBy(*[names[c] for c in on[:-1]]).orderBy(F.lit(0))
         rows = rows.withColumn(names["copy"], F.row_number().over(same).cast("long"))
-    right = placed.select(
-        *[F.col(c).alias(f"_placed_{c}") for c in on], F.col("shard").alias("_to_shard"), F.col("slot").alias("_to_slot")
-    )
-    match = [F.col(names[c]).eqNullSafe(F.col(f"_placed_{c}")) for c in on]
+    to = free_prefix(docs.columns, "_placed")
+    right = placed.select(*[F.col(c).alias(f"{to}_{c}") for c in [*on, "shard", "slot"]])
+    match = [F.col(names[c]).eqNullSafe(F.col(f"{to}_{c}")) for c in on]
     return rows.join(right, match).select(
-        *[F.col(f"`{c}`") for c in kept], F.col("_to_shard").alias(outputs[0]), F.col("_to_slot").alias(outputs[1])
+        *[F.col(f"`{c}`") for c in kept], F.col(f"{to}_shard").alias(outputs[0]), F.col(f"{to}_slot").alias(outputs[1])
     )

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import with_columns_last
+from spoor.llm.common import free_name, free_prefix
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TOKEN = "[a-z0-9]+"
@@ -112,33 +112,35 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[Rule] = tuple(RULE
     url and one without ``://`` have an empty host and path and fit no rule. Repeated urls and rows
     are judged alike; columns of the input with an output's name give way.
     """
-    keyed = with_columns_last(pages, {"_url": F.coalesce(F.col(f"`{url}`"), F.lit(""))})
-    host, path, tail = url_parts(F.col("_url"))
-    urls = keyed.select("_url").distinct().withColumns({"subject": F.concat(host, tail)})
+    key, to = free_name(pages.columns, "_key"), free_prefix(pages.columns, "_judged")
+    keyed = pages.withColumn(key, F.coalesce(F.col(f"`{url}`"), F.lit("")))
+    host, path, tail = url_parts(F.col(key))
+    urls = keyed.select(key).distinct().select(F.col(key).alias("url"), F.concat(host, tail).alias("subject"))
     urls = urls.withColumn("tokens", F.array_distinct(F.regexp_extract_all(fold(F.col("subject")), F.lit(_TOKEN), F.lit(0))))
     index = build_index(urls, rules)
     if len(rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
     fits = (
-        urls.select("_url", "subject", F.explode("tokens").alias("token"))
+        urls.select("url", "subject", F.explode("tokens").alias("token"))
         .join(index, "token")
         .filter(F.expr("subject RLIKE pattern"))
     )
     length = F.when(F.col("site"), F.length("rule"))
     other = lambda verdict: F.min(F.when(~F.col("site") & (F.col("rule_verdict") == verdict), F.col("rule")))
-    judged = fits.groupBy(F.col("_url").alias("_judged")).agg(
-        F.max(F.when(F.col("site"), F.struct(length.alias("n"), "rule", "rule_verdict"))).alias("site"),
-        other("block").alias("blocks"),
-        other("allow").alias("allows"),
+    judged = fits.groupBy(F.col("url").alias(f"{to}_url")).agg(
+        F.max(F.when(F.col("site"), F.struct(length.alias("n"), "rule", "rule_verdict"))).alias(f"{to}_site"),
+        other("block").alias(f"{to}_blocks"),
+        other("allow").alias(f"{to}_allows"),
     )
-    filter_ = F.when(F.col("allows").isNull(), F.col("blocks"))
-    joined = keyed.join(judged, F.col("_url") == F.col("_judged"), "left")
+    filter_ = F.when(F.col(f"{to}_allows").isNull(), F.col(f"{to}_blocks"))
+    site = F.col(f"{to}_site")
+    joined = keyed.join(judged, F.col(key) == F.col(f"{to}_url"), "left")
     out = {
         "host": host,
         "path": path,
-        "rule": F.col("site.rule"),
-        "verdict": F.coalesce(F.col("site.rule_verdict"), F.when(filter_.isNotNull(), F.lit("block")), F.lit(default)),
+        "rule": site["rule"],
+        "verdict": F.coalesce(site["rule_verdict"], F.when(filter_.isNotNull(), F.lit("block")), F.lit(default)),
         "filter": filter_,
     }
-    kept = [c for c in keyed.columns if c != "_url" and c.lower() not in out]
+    kept = [c for c in pages.columns if c.lower() not in out]
     return joined.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(n) for n, v in out.items()])

@@ -415,3 +415,23 @@ def test_forest_learns_from_given_labels(spark):
     labelled = found.withColumn("label", (F.col("start") % 2 == 0).cast("double"))
     model = secrets.train(labelled.filter("doc_id < 200"), ["doc_id", "start"])
     assert model is None or secrets.score(labelled, model).count() == found.count()
+
+
+# --- clashing names ----------------------------------------------------------------------------
+
+
+def test_columns_with_internal_names_stay(spark):
+    names = ["_gone_id", "_wanted_takes", "_placed_doc_id", "_key_copy", "_key", "_judged_url", "site", "subject", "_time", "_letter", "node", "N_WORDS"]
+    rows = [(1, f"http://a.com/en/{' word' * 9}", "s", *names), (2, f"http://b.net/fr/{' text' * 9}", None, *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    model = language_id.learn(docs.withColumn("lang", F.lit("en")))
+    items = spark.createDataFrame([(1, "nothing of this")], "item_id long, text string")
+    for out in (
+        near_dedup.keep_one(docs),
+        mixing.mix_documents(docs, mixing.cycled_schedules),
+        sharding.shard_rows(docs, 2),
+        url_filter.judge(docs, url="text"),
+        decontaminate.decontaminate(docs, items),
+        language_id.keep_identified(docs, model),
+    ):
+        assert rows_of(out.select(*names).distinct()) == [tuple(names)]
