@@ -136,9 +136,3 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         stop = max(begin + 1, int(np.searchsorted(total, before + most, side="right")))
         yield batch.slice(begin, stop - begin)
         begin = stop
-
-
-def segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of the values of each text."""
-    running = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return running[first[1:]] - running[first[:-1]]
