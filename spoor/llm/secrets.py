@@ -79,7 +79,9 @@ def find_candidates(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
 def dictionary(docs: DataFrame, text: str = "text", docs_read: int = DICTIONARY_DOCS, words: int = DICTIONARY_WORDS) -> list[str]:
     """Frequent words of about ``docs_read`` texts, drawn by hash of id and text."""
     sample = draw(docs.filter(F.col(text).isNotNull()), docs_read, "doc_id", text, exact=False)
-    each = sample.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))).alias("word"))
+    # Whole words only: pieces of keys are no dictionary.
+    alone = F.regexp_extract_all(F.lower(text), F.lit("(?<![0-9a-z])[a-z]{4,}+(?![0-9a-z])"), F.lit(0))
+    each = sample.select(F.explode(alone).alias("word"))
     top = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words)
     return [r["word"] for r in top.collect()]
 
