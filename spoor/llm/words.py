@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 # A longer run is hashed by itself, so that one long word does not add passes for all.
 LONG_WORD = 256
 
