@@ -26,10 +26,17 @@ TREES, DEPTH = 20, 5
 NEAR = 48  # characters on either side in which neighbouring words are read
 
 _NAME = r"token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key"
-# (?:...) runs without backtracking: long texts cost their length.
-_KEYED = rf"(?i:(?<![A-Za-z])(?:{_NAME})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"']{{6,}}+"
-_RUN = r"(?<![A-Za-z0-9+/=_.@-])(?=[A-Za-z+/=_.@-]*+[0-9])[A-Za-z0-9+/=_.@-]{14,}+"
+_SET = r"(?:" + _NAME + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?"  # a credential's name and its assignment
+_CHAR = r"[A-Za-z0-9+/=_.@-]"
+# A value ends before the next assignment of a list: a=..&b=.. or a=..,b=..
+_VALUE = rf"(?:(?![&;,?|]{_CHAR}*?(?i:{_SET}))[^\s\"']){{6,}}+"
+# Possessive and lazy loops over single characters: long texts cost their length. A name may stand
+# behind a prefix in the same run (DB_PASSWORD=, spring.datasource.password=).
+_KEYED = rf"(?<!{_CHAR}){_CHAR}*?(?i:{_SET}){_VALUE}"
+_RUN = rf"(?<!{_CHAR})(?=[A-Za-z+/=_.@-]*+[0-9]){_CHAR}{{14,}}+"
 _CANDIDATE = rf"{_KEYED}|{_RUN}"
+# What stands before the value in a candidate: a credential's name, or any other assigned name.
+_LEAD = rf"^(?:{_CHAR}*?(?i:{_SET})(?={_VALUE})|[A-Za-z_][A-Za-z0-9_.-]*+=(?=[^=]))"
 _GAP = rf"(?s)(.*?)({_CANDIDATE}|\z)"
 
 FEATURES = [
@@ -60,7 +67,7 @@ def find_candidates(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     )
     each = found.withColumn("ends", ends).select(*keep, "gaps", F.posexplode(F.arrays_zip("hits", "ends")).alias("nth", "hit"))
     whole = F.col("hit.hits")
-    lead = F.regexp_extract(whole, rf"^(?i:(?:{_NAME})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)", 0)
+    lead = F.regexp_extract(whole, _LEAD, 0)
     value = F.substr(whole, F.length(lead) + 1)
     before = F.concat(F.substr(F.get("gaps", F.col("nth")), F.lit(-NEAR)), lead)
     return (

@@ -1,0 +1,42 @@
+"""Candidates, labels and features of the secret scan."""
+
+from spoor.llm import secrets
+
+VALUE = "Xk29fj3kd93jd93jQ1"
+
+
+def found(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.add_features(secrets.find_candidates(docs, ["doc_id"]), ["lorem"], "doc_id").collect()
+    assert all(texts[r.doc_id][r.start :].startswith(r.value) for r in rows)
+    return {i: sorted(((r.value, r.named, r.assigned) for r in rows if r.doc_id == i)) for i in range(len(texts))}
+
+
+def test_a_prefixed_name_is_no_part_of_the_value(spark):
+    named = [
+        f"DB_PASSWORD={VALUE}",
+        f"spring.datasource.password={VALUE}",
+        f"run --db-password={VALUE} now",
+        f"GITHUB_TOKEN={VALUE}",
+        f"export PGPASSWORD={VALUE}",
+        f"dbPassword={VALUE}",
+        f'AWS_S3_BUCKET_PASSWORD="{VALUE}"',
+        f"https://a.example/b?api_key={VALUE}",
+        f"password={VALUE}",
+        f"SECRET_KEY={VALUE}",
+    ]
+    for i, rows in found(spark, named).items():
+        assert rows == [(VALUE, 1.0, 1.0)], named[i]
+
+
+def test_values_end_where_the_next_assignment_begins(spark):
+    other = "hunter2hunter2"
+    got = found(spark, [f"A_TOKEN={VALUE},B_PASSWORD={other}", f"?token={VALUE}&user_password={other}", f"BUILD_COMMIT={VALUE}", "QWxhZGRpbjpvcGVuIHNlc2FtZTE=="])
+    both = sorted([(VALUE, 1.0, 1.0), (other, 1.0, 1.0)])
+    assert got[0] == got[1] == both
+    assert got[2] == [(VALUE, 0.0, 1.0)] and got[3] == [("QWxhZGRpbjpvcGVuIHNlc2FtZTE==", 0.0, 0.0)]
+
+
+def test_long_runs_are_read_in_linear_time(spark):
+    texts = ["a" * 500_000, "a_1" * 200_000, ",a" * 200_000, "token=" + ",b1" * 200_000, "token=" * 100_000, "a=" * 200_000 + "1"]
+    assert set(found(spark, texts)) == set(range(6))
