@@ -29,14 +29,38 @@ _NAME = r"token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|crede
 _SET = r"(?:" + _NAME + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?"  # a credential's name and its assignment
 _CHAR = r"[A-Za-z0-9+/=_.@-]"
 # A value ends before the next assignment of a list: a=..&b=.. or a=..,b=..
-_VALUE = rf"(?:(?![&;,?|]{_CHAR}*?(?i:{_SET}))[^\s\"']){{6,}}+"
+_VALUE = rf"(?!-----BEGIN )(?:(?![&;,?|]{_CHAR}*?(?i:{_SET}))[^\s\"']){{6,}}+"
 # Possessive and lazy loops over single characters: long texts cost their length. A name may stand
 # behind a prefix in the same run (DB_PASSWORD=, spring.datasource.password=).
 _KEYED = rf"(?<!{_CHAR}){_CHAR}*?(?i:{_SET}){_VALUE}"
 _RUN = rf"(?<!{_CHAR})(?=[A-Za-z+/=_.@-]*+[0-9]){_CHAR}{{14,}}+"
-_CANDIDATE = rf"{_KEYED}|{_RUN}"
+# Formats that say by themselves what they are: no name is needed.
+_KNOWN = (
+    r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{36,}+|glpat-[A-Za-z0-9_-]{20,}+"
+    r"|xox[abeprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|[rs]k_live_[A-Za-z0-9]{16,}+|npm_[A-Za-z0-9]{36}"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+)
+_KNOWN = rf"(?<![A-Za-z0-9])(?:{_KNOWN})(?![A-Za-z0-9])"
+_PEM_HEAD = rf"{_CHAR}*?-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:\s|\\[rn])*+"
+_B64, _BREAK = "[A-Za-z0-9+/=]", r"(?:\s|\\[rn])++"
+# The body of a private key, whole: lines of 16 or more, the last one may be shorter.
+_PEM = rf"(?<!{_CHAR}){_PEM_HEAD}{_B64}{{16,}}+(?:{_BREAK}{_B64}{{16,}}+)*+(?:{_BREAK}{_B64}{{1,15}}+(?=(?:{_BREAK})?+-----END))?+"
+_CANDIDATE = rf"{_PEM}|{_KEYED}|{_RUN}|{_KNOWN}"
 # What stands before the value in a candidate: a credential's name, or any other assigned name.
-_LEAD = rf"^(?:{_CHAR}*?(?i:{_SET})(?={_VALUE})|[A-Za-z_][A-Za-z0-9_.-]*+=(?=[^=]))"
+_LEAD = rf"^(?:{_PEM_HEAD}|{_CHAR}*?(?i:{_SET})(?={_VALUE})|[A-Za-z_][A-Za-z0-9_.-]*+=(?=[^=]))"
+# Values that stand for a secret to be put in, or read one from elsewhere.
+_BLANKS = (
+    r"(?i)^(?:[$%]?[{<(\[]|\$[A-Z_][A-Z0-9_]*+[;,)]*$|%[a-z_]+%|os\.|process\.|env[.(\[]|getenv|changeme|change[_-]me|placeholder|redacted"
+    r"|your[_-]|example|x{6,}|\*{6,}|(?:null|none|true|false|undefined)[,;)}]*$)"
+)
+# A call or an index in program text, or a name with its dots.
+_CODE = r"^[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)*+[\[(]|^[A-Za-z_]++(?:\.[A-Za-z_]++)++[,;)]*$"
+# Mail addresses; numbers, dates, versions, network addresses; UUIDs; paths of lower-case names.
+_OTHER = (
+    r"^[A-Za-z0-9._+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++\.?$|^[0-9.+/_=-]++$|^[0-9T.+/_-]++Z?$"
+    r"|^(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})$|^[a-z0-9_.-]*+(?:/[a-z0-9_.-]*+){2,}+$"
+)
+_DIGEST_NAME = r"(?i)(?:sha-?\d*|md5|hash|digest|checksum|commit|revision|etag|integrity)[\"']?[\s:=(]{0,4}[\"']?$"
 _GAP = rf"(?s)(.*?)({_CANDIDATE}|\z)"
 
 FEATURES = [
@@ -134,15 +158,34 @@ def add_features(findings: DataFrame, words: list[str], path: str) -> DataFrame:
     return findings.withColumns(added)
 
 
+def is_known(findings: DataFrame) -> Column:
+    """Whether a value's own format says that it is a secret: vendor keys, JWT, a private key's body."""
+    pem = findings["before"].rlike(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:\s|\\[rn])*+$")
+    return F.coalesce(findings["value"].rlike(_KNOWN) | pem, F.lit(False))
+
+
 def weak_label(findings: DataFrame) -> DataFrame:
-    """``label`` for findings that nobody has looked at: 1 for a random value under a credential's name.
+    """``label`` for findings that nobody has looked at: 1, 0, or null where nothing tells.
 
-    Random: 16 characters or more, at least 3 bits of entropy a character and hardly any
-    dictionary words. Such labels know the named secrets; the forest learns what their values look
-    like beside the numbers, addresses and words that are not secrets.
+    1: values of known formats, named or not, and random values under a credential's name: 16
+    characters or more with at least 3 bits of entropy a character, or fewer, with a digit among
+    others, with 2.2; program text is neither. 0: placeholders, addresses, numbers and dates, UUIDs,
+    paths, digests that are called so and values mostly of dictionary words.
     """
-    good = (F.col("named") > 0) & (F.col("assigned") > 0) & (F.col("length") >= 16) & (F.col("entropy") >= 3) & (F.col("covered") < 0.3)
-    return findings.withColumn("label", good.cast("double"))
+    value, before = F.col("value"), F.col("before")
+    given = (F.col("named") > 0) & (F.col("assigned") > 0)
+    mixed = value.rlike("[0-9]") & value.rlike("[^0-9]")
+    long = (F.col("length") >= 16) & (F.col("entropy") >= 3)
+    short = (F.col("length") < 16) & (F.col("entropy") >= 2.2) & mixed
+    blank = value.rlike(_BLANKS)
+    digest = before.rlike(_DIGEST_NAME) & value.rlike("^[0-9a-fA-F]{32,128}$")
+    label = (
+        F.when(is_known(findings), 1.0)
+        .when(blank | digest | (F.col("covered") >= 0.6), 0.0)
+        .when(given & (long | short) & (F.col("covered") < 0.3) & ~value.rlike(_CODE), 1.0)
+        .when(~given & value.rlike(_OTHER), 0.0)
+    )
+    return findings.withColumn("label", label)
 
 
 def train(labelled: DataFrame, key: list[str], each: int = TRAIN_FINDINGS) -> RandomForestClassificationModel | None:
@@ -162,11 +205,16 @@ def train(labelled: DataFrame, key: list[str], each: int = TRAIN_FINDINGS) -> Ra
 
 
 def score(findings: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
-    """Add ``score``, the forest's share of votes for a secret; without a forest the weak label."""
+    """Add ``score``, the forest's share of votes for a secret; without a forest the weak label.
+
+    Values of known formats are secrets whatever the votes. Undecided ones without a forest have 0.
+    """
     if model is None:
-        return weak_label(findings).withColumn("score", F.col("label")).drop("label")
+        return weak_label(findings).withColumn("score", F.coalesce("label", F.lit(0.0))).drop("label")
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings)
-    voted = model.transform(assembled).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+    share = F.get(vector_to_array("probability"), F.lit(1))
+    voted = model.transform(assembled)
+    voted = voted.withColumn("score", F.when(is_known(voted), 1.0).otherwise(share))
     return voted.drop("features", "rawPrediction", "probability", "prediction")
 
 
@@ -174,7 +222,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str
     """doc_id, start, length, value, named, score, is_secret of every candidate in every text.
 
     ``labels`` are labelled findings (``FEATURES``, ``label``, doc_id, start); without them the
-    candidates' weak labels are used. Null ids, null paths and repeated rows are scanned like
+    candidates' weak labels are used, and those that have none are only judged. Null ids, null paths and repeated rows are scanned like
     others; an empty table and one without candidates give no rows.
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{path}`").alias("path"))
