@@ -20,8 +20,8 @@ from spoor.llm.common import draw, store
 
 # Labelled findings of each class that the forest is trained on, those of least hash.
 TRAIN_FINDINGS = 4_000
-# Words that count as dictionary: the most frequent of at least four letters in a sample of texts.
-DICTIONARY_WORDS, DICTIONARY_DOCS = 500, 2_000
+# Words that count as dictionary: of at least four letters, in at least this share of all texts.
+DICTIONARY_SHARE = 0.001
 TREES, DEPTH = 20, 5
 NEAR = 48  # characters on either side in which neighbouring words are read
 
@@ -107,33 +107,42 @@ def find_candidates(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     )
 
 
-def dictionary(docs: DataFrame, text: str = "text", docs_read: int = DICTIONARY_DOCS, words: int = DICTIONARY_WORDS) -> list[str]:
-    """Frequent words of about ``docs_read`` texts, drawn by hash of id and text."""
-    sample = draw(docs.filter(F.col(text).isNotNull()), docs_read, "doc_id", text, exact=False)
+def dictionary(docs: DataFrame, text: str = "text", share: float = DICTIONARY_SHARE) -> DataFrame:
+    """Words (``word``) that stand in at least ``share`` of all texts, and in two; all texts are read."""
+    texts = docs.filter(F.col(text).isNotNull()).select(text)
     # Whole words only: pieces of keys are no dictionary.
     alone = F.regexp_extract_all(F.lower(text), F.lit("(?<![0-9a-z])[a-z]{4,}+(?![0-9a-z])"), F.lit(0))
-    each = sample.select(F.explode(alone).alias("word"))
-    top = each.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    each = texts.select(F.explode(F.array_distinct(alone)).alias("word"))
+    counted = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("n") >= max(2.0, share * texts.count())).select("word")
+
+
+def _add_covered(findings: DataFrame, words: DataFrame) -> DataFrame:
+    """Add ``covered``, the share of each value that dictionary words of four letters or more cover."""
+    values = findings.select(F.col("value").alias("_of")).distinct()
+    runs = values.select("_of", F.explode(F.regexp_extract_all(F.lower("_of"), F.lit("[a-z]{4,}+"), F.lit(0))).alias("word"))
+    known = runs.join(words, "word", "left_semi").groupBy("_of").agg(F.sum(F.length("word")).alias("_known"))
+    joined = findings.join(known, F.col("value") == F.col("_of"), "left")
+    return joined.withColumn("covered", F.coalesce("_known", F.lit(0)) / F.length("value")).drop("_of", "_known")
 
 
 def _share(value: Column, pattern: str) -> Column:
     return F.regexp_count(value, F.lit(pattern)) / F.length(value)
 
 
-def add_features(findings: DataFrame, words: list[str], path: str) -> DataFrame:
-    """Add ``FEATURES`` to candidates; ``path`` names the column that says where the text is from."""
+def add_features(findings: DataFrame, words: DataFrame | list[str], path: str) -> DataFrame:
+    """Add ``FEATURES`` to candidates; ``path`` names the column that says where the text is from.
+
+    ``words``: the dictionary, a table of distinct words (``word``) or a list.
+    """
+    if isinstance(words, list):
+        words = findings.sparkSession.createDataFrame([(w,) for w in sorted(set(words))], "word string")
     value = F.col("value")
     chars = F.array_distinct(F.split(value, ""))
     share = lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value)
     entropy = F.aggregate(
         F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda a, c: a - share(c) * F.log2(F.greatest(share(c), F.lit(1e-9)))
     )
-    known = F.split(F.lit(" ".join(words)), " ")
-    runs = F.regexp_extract_all(F.lower(value), F.lit("[a-z]{4,}"), F.lit(0))
-    covered = F.aggregate(
-        F.filter(runs, lambda w: F.array_contains(known, w)), F.lit(0), lambda a, w: a + F.length(w)
-    ) / F.length(value)
     switches = r"(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
     place = F.coalesce(F.col(f"`{path}`").cast("string"), F.lit(""))
     flag = lambda column, pattern: column.rlike(pattern).cast("double")
@@ -146,7 +155,6 @@ def add_features(findings: DataFrame, words: list[str], path: str) -> DataFrame:
         "hex": _share(value, "[0-9a-fA-F]"),
         "transitions": F.regexp_count(value, F.lit(switches)) / F.greatest(F.length(value) - 1, F.lit(1)),
         "entropy": entropy,
-        "covered": covered,
         "path_depth": F.regexp_count(place, F.lit("/")).cast("double"),
         "path_test": flag(place, "(?i)test|example|sample|fixture|mock|doc"),
         "named": flag(F.col("before"), rf"(?i)(?:{_NAME})"),
@@ -155,7 +163,7 @@ def add_features(findings: DataFrame, words: list[str], path: str) -> DataFrame:
         "word_before": flag(F.col("before"), r"\p{L}\s*$"),
         "word_after": flag(F.col("after"), r"^\s*\p{L}"),
     }
-    return findings.withColumns(added)
+    return _add_covered(findings, words).withColumns(added)
 
 
 def is_known(findings: DataFrame) -> Column:
