@@ -139,6 +139,11 @@ def mixture(model: Model, slot: np.ndarray, number: np.ndarray, penalty: float =
     return chosen, shares
 
 
+def _has_letter(text: str) -> Column:
+    """A letter is what Unicode calls one; the bytes alone cannot tell."""
+    return F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False))
+
+
 def identify(
     docs: DataFrame, model: Model, text: str = "text", outputs=("lang_pred", "score", "langs"), keep_text: bool = True
 ) -> DataFrame:
@@ -151,8 +156,7 @@ def identify(
     name, score, langs = outputs
     unknown = {name: UNKNOWN, score: 0.0, langs: []}
     letter = free_name([*docs.columns, *outputs], "_letter")
-    # A letter is what Unicode calls one; the bytes alone cannot tell.
-    has_letter = F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))
+    has_letter = _has_letter(text) & F.lit(bool(model.languages))
     none = {name: F.lit(UNKNOWN), score: F.lit(0.0), langs: F.array().cast("array<string>"), letter: has_letter}
     asked = with_columns_last(docs, none)
     kept = [f for f in asked.schema.fields if f.name != letter and (keep_text or f.name != text)]
@@ -181,6 +185,11 @@ def identify(
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents in some language, with their own columns; those without a letter go."""
+    """The documents in some language, with their own columns; those without a letter go.
+
+    When no language was learned, every document with a letter stays.
+    """
+    if not model.languages:
+        return docs.filter(_has_letter(text))
     outputs = tuple(free_name(docs.columns, c) for c in ("lang_pred", "score", "langs"))
-    return identify(docs, model, text, outputs).filter(F.col(outputs[0]) != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return identify(docs, model, text, outputs).filter(F.size(outputs[2]) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
