@@ -26,7 +26,10 @@ GRAM = 4
 SMOOTH = 0.05
 # About so many labelled documents of each language are read, drawn by hash of the id.
 SAMPLE_DOCS = 10_000
-MOST_LANGUAGES = 128
+# Up to so many languages the model is one dense table; of more, only what was seen is kept.
+DENSE_LANGUAGES = 128
+# Counts of n-grams that a task holds before it adds equal ones up or passes them on.
+HELD_COUNTS = 1 << 21
 ROUNDS = 25
 PENALTY = 6.0
 UNKNOWN = "und"
@@ -38,10 +41,50 @@ _FOLD = np.where(_LETTER, np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _b
 _BLANK = np.array([32], dtype=np.uint8)
 
 
+class Sparse:
+    """A table of chances: one value per column for n-grams it never saw, and what it saw beyond that."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, more: np.ndarray, least: np.ndarray, rows: int):
+        self.row, self.column, self.more, self.least, self.rows = row, column, more, least, rows
+        self.shape = (rows, len(least))
+
+    def __matmul__(self, shares: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.more * shares[self.column], self.rows) + self.least @ shares
+
+    def weigh(self, number: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, self.more * number[self.row], len(self.least)) + self.least * number.sum()
+
+    def log_sums(self, number: np.ndarray) -> np.ndarray:
+        beyond = number[self.row] * np.log1p(self.more / self.least[self.column])
+        return np.bincount(self.column, beyond, len(self.least)) + number.sum() * np.log(self.least)
+
+    def of_columns(self, some: np.ndarray) -> Sparse:
+        place = np.full(len(self.least), -1)
+        place[some] = np.arange(len(some))
+        own = place[self.column] >= 0
+        return Sparse(self.row[own], place[self.column[own]], self.more[own], self.least[some], self.rows)
+
+
+@dataclass(frozen=True)
+class SparseRows:
+    """The chances of all n-grams, by n-gram: those of ``slot`` begin at ``start[slot]``."""
+
+    start: np.ndarray
+    column: np.ndarray
+    more: np.ndarray
+    least: np.ndarray
+
+    def __getitem__(self, slot: np.ndarray) -> Sparse:
+        first, many = self.start[slot], self.start[slot + 1] - self.start[slot]
+        row = np.repeat(np.arange(len(slot)), many)
+        at = np.arange(len(row)) + np.repeat(first - (np.cumsum(many) - many), many)
+        return Sparse(row, self.column[at], self.more[at], self.least, len(slot))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
-    chance: np.ndarray  # (FEATURES, languages)
+    chance: np.ndarray | SparseRows  # (FEATURES, languages)
 
 
 def features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -70,44 +113,72 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from rows of (doc_id, text, lang): about ``sample_docs`` rows of each language.
 
     Rows are drawn by hash of the id, so the sample is the same each time; a null id is drawn like
-    any other. The ``MOST_LANGUAGES`` most frequent languages are learned, which bounds the model.
+    any other. Every language is learned; the model's size is that of the n-grams seen in each.
     """
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    counted = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counted)
+    counted = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())
+    languages = [name for name, _ in counted]
     if not languages:
         return Model([], np.zeros((FEATURES, 0)))
-    share = F.create_map(*[F.lit(x) for r in counted for x in (r["lang"], min(1.0, sample_docs / r["count"]))])
+    known = [(name, i, min(1.0, sample_docs / n)) for i, (name, n) in enumerate(counted)]
+    known = labelled.sparkSession.createDataFrame(known, "lang string, _rank int, _share double")
     draw = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(draw < F.coalesce(share[F.col("lang")], F.lit(0.0))).select("lang", "text")
-    rank = {name: i for i, name in enumerate(languages)}
+    # One row per language, and the driver holds all.
+    drawn = labelled.select("lang", "text", draw.alias("_draw")).join(F.broadcast(known), "lang")
+    sample = drawn.filter(F.col("_draw") < F.col("_share")).select("_rank", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(rank), FEATURES), dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            for name, (slot, number) in zip(batch.column(0).to_pylist(), features(batch.column(1))):
-                sums[rank[name], slot] += number
-        lang, slot = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(lang.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(sums[lang, slot])],
-            names=["lang", "slot", "number"],
-        )
+            for rank, (slot, number) in zip(batch.column(0).to_pylist(), features(batch.column(1))):
+                held.append((slot.astype(np.int64) + rank * FEATURES, number))
+                size += len(slot)
+                if size >= HELD_COUNTS:
+                    held = [_add_up(held)]
+                    size = len(held[0][0])
+                    if size >= HELD_COUNTS // 2:
+                        yield _counts(*held[0])
+                        held, size = [], 0
+        if held:
+            yield _counts(*_add_up(held))
 
     counts = sample.mapInArrow(run, "lang int, slot int, number bigint").groupBy("lang", "slot").agg(F.sum("number").alias("n"))
-    # At most MOST_LANGUAGES * FEATURES rows.
+    # One row per language and n-gram seen in it.
     table = counts.toArrow()
-    number = np.full((FEATURES, len(languages)), SMOOTH)
-    number[table["slot"].to_numpy(), table["lang"].to_numpy()] += table["n"].to_numpy()
-    return Model(languages, number / number.sum(axis=0))
+    lang, slot, n = (table[c].to_numpy() for c in ("lang", "slot", "n"))
+    total = np.bincount(lang, n, len(languages)) + SMOOTH * FEATURES
+    if len(languages) <= DENSE_LANGUAGES:
+        number = np.full((FEATURES, len(languages)), SMOOTH)
+        number[slot, lang] += n
+        return Model(languages, number / total)
+    order = np.lexsort((lang, slot))
+    lang, slot, n = lang[order], slot[order], n[order]
+    start = np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=FEATURES))])
+    return Model(languages, SparseRows(start, lang.astype(np.int32), n / total[lang], SMOOTH / total))
+
+
+def _add_up(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return key, np.bincount(place, np.concatenate([n for _, n in held]), len(key)).astype(np.int64)
+
+
+def _counts(key: np.ndarray, number: np.ndarray) -> pa.RecordBatch:
+    lang, slot = (key // FEATURES).astype(np.int32), (key % FEATURES).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(lang), pa.array(slot), pa.array(number)], names=["lang", "slot", "number"])
+
+
+def _weigh(chance: np.ndarray | Sparse, number: np.ndarray) -> np.ndarray:
+    return chance.weigh(number) if isinstance(chance, Sparse) else chance.T @ number
 
 
-def _fit(chance: np.ndarray, number: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+def _fit(chance: np.ndarray | Sparse, number: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Shares of the languages (columns) and the log likelihood."""
     total, k = number.sum(), chance.shape[1]
     shares = np.full(k, 1.0 / k)
     for _ in range(rounds if k > 1 else 0):
         mixed = chance @ shares
-        shares_new = shares * (chance.T @ (number / mixed)) / total
+        shares_new = shares * _weigh(chance, number / mixed) / total
         done = np.abs(shares_new - shares).max() < 1e-4
         shares = shares_new
         if done:
@@ -122,7 +193,8 @@ def mixture(model: Model, slot: np.ndarray, number: np.ndarray, penalty: float =
     """
     chance = model.chance[slot]
     shares, likelihood = _fit(chance, number)
-    single = number @ np.log(chance)
+    sparse = isinstance(chance, Sparse)
+    single = chance.log_sums(number) if sparse else number @ np.log(chance)
     best = int(np.argmax(single))
     chosen, top = [best], single[best] / GRAM
     # No set of languages does better than all together.
@@ -132,7 +204,7 @@ def mixture(model: Model, slot: np.ndarray, number: np.ndarray, penalty: float =
             if likelihood / GRAM - penalty * (k - 1) <= top:
                 break
             some = ranked[:k]
-            own, fit = _fit(chance[:, some], number)
+            own, fit = _fit(chance.of_columns(some) if sparse else chance[:, some], number)
             if fit / GRAM - penalty * (k - 1) > top:
                 top = fit / GRAM - penalty * (k - 1)
                 chosen = [int(x) for x in some[np.argsort(-own, kind="stable")]]
