@@ -123,6 +123,8 @@ class _ChainHead(StatefulProcessor):
         self.handle = handle
         self.head = handle.getValueState("head", _HEAD_STATE)
         self.early = handle.getMapState("early", _EARLY_KEY, _EARLY_VALUE)
+        if self.event_time:
+            self.news = handle.getValueState("news", "at_ms long")
 
     def _head(self):
         return tuple(self.head.get()) if self.head.exists() else (0, None)
@@ -168,6 +170,10 @@ class _ChainHead(StatefulProcessor):
             if out:
                 yield self._frame(key, out)
         self.head.update(head)
+        if self.event_time:
+            # A backlog brings older times than the chain's last news.
+            now = max(now, self.news.get()[0]) if self.news.exists() else now
+            self.news.update((now,))
         if self.wait_ms is None:
             return
         for timer in list(self.handle.listTimers()):
@@ -218,7 +224,8 @@ def stream_chain_head(source: DataFrame, wait_ms: int = 60_000, late: str | None
         keyed, mode = source.select(*columns), "ProcessingTime"
     else:
         timed = event_time(source).withWatermark("ts", late)
-        keyed, mode = timed.select(*columns, "ts", F.unix_millis("ts").alias("at_ms")), "EventTime"
+        # Without the watermark's own column: it would take away rows older than the watermark.
+        keyed, mode = timed.select(*columns, F.unix_millis("ts").alias("at_ms")), "EventTime"
     return keyed.groupBy("chain_id").transformWithStateInPandas(
         _ChainHead(wait_ms, late is not None), HEAD_OUTPUT, "Append", mode
     )
@@ -293,7 +300,8 @@ def stream_checkpoints(source: DataFrame, every: int = 1000, after_ms: int = 300
         keyed, mode = source.select(*columns), "ProcessingTime"
     else:
         timed = event_time(source).withWatermark("ts", late)
-        keyed, mode = timed.select(*columns, "ts", F.unix_millis("ts").alias("at_ms")), "EventTime"
+        # Without the watermark's own column: it would take away rows older than the watermark.
+        keyed, mode = timed.select(*columns, F.unix_millis("ts").alias("at_ms")), "EventTime"
     return keyed.groupBy("chain_id").transformWithStateInPandas(
         _Witness(every, after_ms, late is not None), WITNESS_OUTPUT, "Append", mode
     )
