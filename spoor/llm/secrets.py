@@ -32,8 +32,9 @@ _CHAR = r"[A-Za-z0-9+/=_.@-]"
 _VALUE = rf"(?!-----BEGIN )(?:(?![&;,?|]{_CHAR}*?(?i:{_SET}))[^\s\"']){{6,}}+"
 # Possessive and lazy loops over single characters: long texts cost their length. A name may stand
 # behind a prefix in the same run (DB_PASSWORD=, spring.datasource.password=).
-_KEYED = rf"(?<!{_CHAR}){_CHAR}*?(?i:{_SET}){_VALUE}"
-_RUN = rf"(?<!{_CHAR})(?=[A-Za-z+/=_.@-]*+[0-9]){_CHAR}{{14,}}+"
+# The look-ahead passes over runs without an assignment at their own cost.
+_KEYED = rf"(?=[A-Za-z0-9+/_.@-]*+[\"']?\s{{0,3}}[:=]){_CHAR}*?(?i:{_SET}){_VALUE}"
+_RUN = rf"(?=[A-Za-z+/=_.@-]*+[0-9]){_CHAR}{{14,}}+"
 # Formats that say by themselves what they are: no name is needed.
 _KNOWN = (
     r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{36,}+|glpat-[A-Za-z0-9_-]{20,}+"
@@ -44,8 +45,8 @@ _KNOWN = rf"(?<![A-Za-z0-9])(?:{_KNOWN})(?![A-Za-z0-9])"
 _PEM_HEAD = rf"{_CHAR}*?-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:\s|\\[rn])*+"
 _B64, _BREAK = "[A-Za-z0-9+/=]", r"(?:\s|\\[rn])++"
 # The body of a private key, whole: lines of 16 or more, the last one may be shorter.
-_PEM = rf"(?<!{_CHAR}){_PEM_HEAD}{_B64}{{16,}}+(?:{_BREAK}{_B64}{{16,}}+)*+(?:{_BREAK}{_B64}{{1,15}}+(?=(?:{_BREAK})?+-----END))?+"
-_CANDIDATE = rf"{_PEM}|{_KEYED}|{_RUN}|{_KNOWN}"
+_PEM = rf"(?={_CHAR}*+ [A-Z ]{{0,30}}PRIVATE KEY-----){_PEM_HEAD}{_B64}{{16,}}+(?:{_BREAK}{_B64}{{16,}}+)*+(?:{_BREAK}{_B64}{{1,15}}+(?=(?:{_BREAK})?+-----END))?+"
+_CANDIDATE = rf"(?<!{_CHAR})(?:{_PEM}|{_KEYED}|{_RUN})|{_KNOWN}"
 # What stands before the value in a candidate: a credential's name, or any other assigned name.
 _LEAD = rf"^(?:{_PEM_HEAD}|{_CHAR}*?(?i:{_SET})(?={_VALUE})|[A-Za-z_][A-Za-z0-9_.-]*+=(?=[^=]))"
 # Values that stand for a secret to be put in, or read one from elsewhere.
