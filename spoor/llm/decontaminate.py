@@ -172,40 +172,41 @@ def find_spans(
     have a name of ``outputs`` give way.
 
     Test items are a stated set: they are read to the driver in blocks of about ``pass_bytes``,
-    each searched for in one pass over the batches of the same scan.
+    each searched for by a column of its own in one pass over the batches of the same scan. Texts
+    go to Python, and only what is found comes back.
     """
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(item_text).alias("t")).filter(
         F.col("i").isNotNull() & F.col("t").isNotNull()
     ).distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = max(1, -(-total // pass_bytes))
-    out = with_columns_last(docs, {outputs[0]: F.lit(0).cast("long"), outputs[1]: F.array().cast(SPANS)})
+    found = []
     for k in range(passes):
         mine = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).sort("i", "t").collect()
-        out = _search_pass(out, text, [(r.i, r.t) for r in mine], window, outputs)
-    return out
+        found.append(_search_column(F.col(f"`{text}`"), [(r.i, r.t) for r in mine], window))
+    spans = found[0]["spans"] if passes == 1 else F.concat(*[one["spans"] for one in found])
+    return with_columns_last(docs, {outputs[0]: found[0]["n_words"], outputs[1]: spans})
 
 
-def _search_pass(
-    docs: DataFrame, text: str, items: list[tuple[str, str]], window: int, outputs: tuple[str, str]
-) -> DataFrame:
-    n_words, spans = outputs
+def _search_column(text: Column, items: list[tuple[str, str]], window: int) -> Column:
+    """A struct of the text's number of words and of the items' spans in it."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(f"struct<n_words:bigint,spans:{SPANS}>")
+    def search_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         groups, spelled = build_patterns(items, window)
-        for batch in batches:
-            for part in chunks(batch, text):
-                names = part.schema.names
-                words = words_of(part.column(names.index(text)))
-                found = _spans_of(words, groups, spelled)
-                earlier = part.column(names.index(spans))
-                if any(found):
-                    both = [e + f for e, f in zip(earlier.to_pylist(), found)]
-                    earlier = pa.array(both, type=earlier.type)
-                new = {n_words: pa.array(words.counts.astype(np.int64)), spans: earlier}
-                yield pa.RecordBatch.from_arrays([new.get(c, part.column(i)) for i, c in enumerate(names)], names=names)
-
-    return docs.mapInArrow(run, docs.schema)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item", pa.string())]))
+        for texts in batches:
+            counts, spans = [], []
+            for part in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+                words = words_of(part.column(0))
+                counts.append(words.counts.astype(np.int64))
+                spans += _spans_of(words, groups, spelled)
+            n_words = pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))
+            yield pa.StructArray.from_arrays([n_words, pa.array(spans, kind)], names=["n_words", "spans"])
+            del texts
+            pa.default_memory_pool().release_unused()
+
+    return search_texts(text)
 
 
 def hit_words(spans: Column) -> Column:

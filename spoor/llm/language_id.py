@@ -9,7 +9,7 @@ a penalty for every language beyond the first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ DENSE_LANGUAGES = 128
 HELD_COUNTS = 1 << 21
 ROUNDS = 25
 PENALTY = 6.0
+# A text is kept for its main language if that makes up so much of it.
+LEAST_SHARE = 1 / 3
 UNKNOWN = "und"
 
 _byte = np.arange(256)
@@ -256,12 +258,38 @@ def identify(
     return asked.mapInArrow(run, T.StructType(kept))
 
 
-def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The documents in some language, with their own columns; those without a letter go.
+def keep_identified(
+    docs: DataFrame,
+    model: Model,
+    text: str = "text",
+    languages: Collection[str] | None = None,
+    least_share: float = LEAST_SHARE,
+) -> DataFrame:
+    """The documents whose main language is one of ``languages`` (all learned ones when None) and
+    makes up ``least_share`` of the text or more, with their own columns.
 
-    When no language was learned, every document with a letter stays.
+    Null texts and texts without a letter go. When no language was learned, nothing can be told of
+    the others, and every document with a letter stays. Texts are sent to Python and only the
+    prediction comes back.
     """
     if not model.languages:
         return docs.filter(_has_letter(text))
-    outputs = tuple(free_name(docs.columns, c) for c in ("lang_pred", "score", "langs"))
-    return identify(docs, model, text, outputs).filter(F.size(outputs[2]) > 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    wanted = None if languages is None else set(languages)
+    accepted = [name for name in model.languages if wanted is None or name in wanted]
+
+    @F.arrow_udf(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
+    def main_language(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            names, main = [], []
+            for some in chunks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+                for slot, number in features(some.column(0)):
+                    chosen, shares = mixture(model, slot, number)
+                    names.append(model.languages[chosen[0]])
+                    main.append(float(shares[chosen[0]]))
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(main, pa.float64())], names=["lang", "share"])
+            del texts
+            pa.default_memory_pool().release_unused()
+
+    found = main_language(F.col(f"`{text}`"))
+    lettered = docs.filter(_has_letter(text))
+    return lettered.filter(found["lang"].isin(accepted) & (found["share"] >= least_share))
