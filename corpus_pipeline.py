@@ -1,6 +1,6 @@
 """A training corpus from raw documents, in five stages.
 
-1. ``language``: texts in no language (null, or without a letter) go.
+1. ``language``: texts without a letter go, and those whose main language makes up less than a third.
 2. ``near``: one document of each class of near duplicates stays.
 3. ``decontaminate``: documents with benchmark passages go.
 4. ``mix``: sources are brought to their weights: documents of a source above its target are left
