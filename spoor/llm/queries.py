@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, secrets, sharding, url_filter
+from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, repeats, secrets, sharding, url_filter
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,29 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     # The value itself is not passed on.
     return found.withColumn("value_sha256", F.sha2(F.col("value").cast("binary"), 256)).drop("value")
+
+
+@query(
+    """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (SELECT r, doc_id, p, md5_number(substr(x, 2 * p + 1, 200)) AS s
+        FROM (SELECT *, unnest(range(0, length(x) // 2 - 99)) AS p FROM d WHERE length(x) >= 200)),
+    f AS (SELECT s, min(doc_id) AS first_doc FROM w GROUP BY s HAVING count(*) > 1),
+    g AS (SELECT r, p FROM (SELECT r, p, doc_id > first_doc AS other, row_number() OVER (PARTITION BY r, s ORDER BY p) AS nth
+        FROM w JOIN f USING (s)) WHERE other OR nth > 1),
+    k AS (SELECT r, p, sum(opens) OVER (PARTITION BY r ORDER BY p) AS k FROM (SELECT r, p,
+        CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 0 ELSE 1 END AS opens FROM g)),
+    s AS (SELECT r, min(p) AS a, max(p) + 100 AS b FROM k GROUP BY r, k),
+    t AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS past FROM s),
+    h AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS ends,
+            string_agg(substr(x, 2 * past + 1, 2 * (a - past)), '' ORDER BY a) AS head
+        FROM t JOIN d USING (r) GROUP BY r)
+    SELECT doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+        sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(ends, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN h USING (r)
+    """
+)
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.find_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
