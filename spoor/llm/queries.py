@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spoor.llm import decontaminate as decon
-from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, repeats, secrets, sharding, url_filter
+from spoor.llm import language_id, licenses, lm_score, mixing, near_dedup, neighbours, prefix_trie, repeats, secrets
+from spoor.llm import sharding, spelling, url_filter
 from spoor.llm.common import read_table, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,13 @@ WORDS_SQL = (
 )
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    byte = f"list_transform(range(0, strlen({text})), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))"
+    bits = "list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {byte}), lambda c, b: {bits}), 4294967295)"
+
+
 def query(oracle: str | None = None):
     def register(fn):
         QUERIES[fn.__name__] = fn
@@ -277,3 +285,56 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.find_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query(
+    rf"""
+    WITH r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+            '{spelling.UPPER}', '{spelling.LOWER}') AS run FROM documents),
+    d AS (SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS told FROM r GROUP BY doc_id, run),
+    h AS (SELECT run, n, {crc32_sql("told")} AS h FROM d),
+    w AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n
+        FROM h),
+    v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+    g AS (SELECT word, n, substr(word, 1, j) || '_' || substr(word, j + 2) AS gap, substr(word, 1, j) || substr(word, j + 2) AS cut
+        FROM (SELECT *, unnest(range(0, length(word))) AS j FROM v)),
+    p AS (SELECT DISTINCT a.word AS a, b.word AS b FROM g AS a JOIN g AS b USING (gap) WHERE a.word <> b.word
+        UNION SELECT g.word, v.word FROM g JOIN v ON g.cut = v.word UNION SELECT v.word, g.word FROM g JOIN v ON g.cut = v.word),
+    f AS (SELECT a AS word, count(*) AS n_near, arg_min(b, (-v.n, b)) AS best, max(v.n) AS best_n FROM p JOIN v ON b = v.word GROUP BY a),
+    m AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * v.n THEN best END AS form,
+        CASE WHEN best_n >= 5 * v.n THEN best_n END AS form_n FROM v LEFT JOIN f USING (word)),
+    c AS (WITH RECURSIVE t AS (SELECT word, word AS root, form AS onward FROM m
+        UNION ALL SELECT t.word, t.onward, m.form FROM t JOIN m ON t.onward = m.word) SELECT * FROM t WHERE onward IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM m JOIN c USING (word)
+    """
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    f"""
+    WITH x AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    i AS (SELECT conv_id, turn, md5(strlen(role) || ':' || role || text) AS id, strlen(text) AS size FROM x),
+    t AS (SELECT conv_id, id, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id, size) AS k FROM i),
+    c AS (SELECT conv_id, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+    r AS (SELECT c.conv_id, 0 AS own, k, id, size FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND k <= h
+        UNION ALL SELECT conv_id, 1, k, id, size FROM c JOIN t USING (conv_id) WHERE k > h),
+    s AS (SELECT conv_id, size, row_number() OVER o AS d, string_agg(id, '') OVER o AS prefix FROM r
+        WINDOW o AS (PARTITION BY conv_id ORDER BY own, k)),
+    m AS (SELECT conv_id, d, prefix, size FROM s UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+    e AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM m),
+    n AS (SELECT prefix, any_value(d) AS d, any_value(size) AS size, min(conv_id) AS conv_id, count(*) AS n_convs,
+        string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids FROM e GROUP BY prefix),
+    k AS (SELECT left(prefix, 32 * (d - 1)) AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+    u AS (SELECT left(n.prefix, 32 * a) AS prefix, count(*) FILTER (n_children IS NULL) AS n_leaves,
+            sum((n_convs - 1) * size) AS saved_tokens
+        FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM n) AS n LEFT JOIN k ON n.prefix = k.prefix GROUP BY 1)
+    SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+        CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+    FROM n JOIN u USING (prefix) LEFT JOIN k USING (prefix) LEFT JOIN n AS p ON n.d > 0 AND p.prefix = left(n.prefix, 32 * (n.d - 1))
+    """
+)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.conversation_turns(read_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.shared_heads(turns))
