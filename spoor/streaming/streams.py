@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from spoor.functions import fixed
-from spoor.operators.quality import dedupe_ids, merge_new
 from spoor.operators.stats import OUTCOMES
+from spoor.streaming.ledger import BUCKET_IDS, IngestTable
 
 
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
@@ -62,26 +62,18 @@ def follow(
     return out
 
 
-def append_new(path: str, order: tuple[str, ...] = ("ts",)) -> Callable[[DataFrame, int], None]:
+def append_new(path: str, order: tuple[str, ...] = ("ts",), bucket_ids: int = BUCKET_IDS) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` writer that appends rows whose id the table does not hold yet.
 
-    Stored ids are first cut down to those of the batch, which Spark sends to all tasks while the
-    batch is small: the table is scanned for one column and not shuffled. A batch writes its own
-    folder and replaces it when it is run again, so a batch repeated after a failure leaves no
-    second copy.
+    A batch is known by its query, which Spark names by the checkpoint, and its number, so a batch
+    repeated after a failure is taken once, and a new checkpoint, whose numbers begin again, finds the
+    stored ids and adds to them. A batch reads the part of the id index that its own ids lie in.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            stored = spark.read.parquet(path)
-            if "batch" in stored.columns:
-                stored = stored.filter(F.col("batch") != batch_id)
-            fresh = merge_new(stored, batch, order)
-        else:
-            fresh = dedupe_ids(batch, order)
-        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+        IngestTable(spark, path, bucket_ids).append(batch, query, batch_id, order)
 
     return write
 
