@@ -2,16 +2,18 @@
 
 1. Every window of ``length`` bytes has an anchor, the least of its grams by hash. Neighbouring windows
    with the same anchor are one context: the bytes they cover. Equal windows have equal anchors, so
-   contexts are dealt out by anchor and equal windows meet.
-2. A task takes the contexts it got in shards of bounded size. A shard is one byte string, whose
-   suffix array is built by induced sorting; its permuted common prefixes tell which neighbours in order
-   share ``length`` bytes. Such windows are one class, and all but its earliest are repeats.
+   contexts are dealt out by anchor, at first as hashes only. Of equal contexts all but the earliest
+   are repeats as a whole; a context that is alone with its anchor has none. What is left are different
+   contexts of one anchor: the borders of copies and of shared passages.
+2. Their bytes are read from the texts and dealt out by anchor again. A task takes them in shards of
+   bounded size. A shard is one byte string, whose suffix array is built by induced sorting; its
+   permuted common prefixes tell which neighbours in order share ``length`` bytes. Such windows are one
+   class, and all but its earliest are repeats.
 3. Repeats go back to their documents, where the bytes they cover are joined to spans.
 
-Equal contexts are settled before any exchange and again in each shard: all but the earliest
-are repeats as a whole, so copies of a text cost a row or two. Contexts of an anchor that a sample
-shows to be frequent, or that turns out larger than a shard, are judged by aggregation instead:
-first whole contexts, then the windows of what is left, by 128-bit hash. No text is held by a task.
+Equal contexts are settled in every batch before they are sent. Contexts of an anchor that a sample
+shows to be frequent, or that turns out larger than a shard, are judged by aggregation: first whole
+contexts, then the windows of what is left, by 128-bit hash. No group is held by a task.
 """
 
 from __future__ import annotations
@@ -44,8 +46,13 @@ FREQUENT = 1 / 500
 _LAST_ID = (1 << 63) - 1
 _SEPARATOR = 255  # no byte of UTF-8
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
-_CUT = "hash bigint, frequent boolean, doc bigint, row bigint, start bigint, n bigint, context binary"
-_FOUND = "doc bigint, row bigint, start bigint, n bigint, context binary"
+# A task holds so many contexts' hashes at once; an anchor with more is settled by aggregation.
+SHARD_HASHES = 500_000
+_PLACE = "doc bigint, row bigint, start bigint, n bigint"
+_HASHED = f"key bigint, hash bigint, digest bigint, frequent boolean, {_PLACE}"
+_SETTLED = f"hash bigint, digest bigint, frequent boolean, {_PLACE}"
+_CUT = f"hash bigint, frequent boolean, {_PLACE}, context binary"
+_FOUND = f"{_PLACE}, context binary"
 _SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _COVER = T.StructType(
     [
@@ -178,10 +185,17 @@ def _binary(data: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)])
 
 
-def _verdicts(doc, row, start, n) -> list[pa.Array]:
-    """Columns of ``_FOUND`` for stretches of repeated windows."""
-    doc, row, start, n = _runs(doc, row, start, n)
-    return [*[pa.array(c.astype(np.int64)) for c in (doc, row, start, n)], pa.nulls(len(doc), pa.binary())]
+def _stretches(doc, row, start, n, fields: list[pa.Field]) -> pa.RecordBatch:
+    """Stretches of repeated windows as rows whose other fields are null."""
+    found = dict(zip(("doc", "row", "start", "n"), _runs(doc, row, start, n)))
+    many = len(found["doc"])
+    columns = [pa.array(found[f.name].astype(np.int64)) if f.name in found else pa.nulls(many, f.type) for f in fields]
+    return pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+
+
+_PLACES = [pa.field(c, pa.int64()) for c in ("doc", "row", "start", "n")]
+_HASHES = [pa.field("hash", pa.int64()), pa.field("digest", pa.int64()), pa.field("frequent", pa.bool_())]
+_FOUND_FIELDS = [*_PLACES, pa.field("context", pa.binary())]
 
 
 def _pieces(texts: pa.Array, length: int):
@@ -196,14 +210,13 @@ def _pieces(texts: pa.Array, length: int):
             yield data[s:end], np.array([0, end - s]), np.array([i]), np.array([s - a])
 
 
-def _cut(docs: DataFrame, length: int, frequent: list[int]) -> DataFrame:
-    """The contexts of all texts (doc, row, text), and stretches that are repeats already (no context)."""
+def _hashed(docs: DataFrame, length: int, frequent: list[int]) -> DataFrame:
+    """The contexts of all texts (doc, row, text), and stretches that are repeats already (no hash)."""
     size = _gram_size(length)
-    names = ["hash", "frequent", "doc", "row", "start", "n", "context"]
+    names = [part.split()[0] for part in _HASHED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.array(sorted(frequent), dtype=np.int64).view(np.uint64)
-        often.sort()
+        often = np.sort(np.array(frequent, dtype=np.int64).view(np.uint64))
         for batch in batches:
             for part in chunks(batch, "text"):
                 docs_, rows = (part.column(i).to_numpy().astype(np.int64) for i in (0, 1))
@@ -215,34 +228,99 @@ def _cut(docs: DataFrame, length: int, frequent: list[int]) -> DataFrame:
                     doc, row, start = docs_[text[own]], rows[text[own]], first - bounds[own] + base[own]
                     digest = _digests(grams, size, first, n + length - 1)
                     kept, repeated = _settle([anchor, digest], doc, row, start)
-                    yield from _with_hash(_verdicts(doc[repeated], row[repeated], start[repeated], n[repeated]), names)
+                    gone = _stretches(doc[repeated], row[repeated], start[repeated], n[repeated], _HASHES + _PLACES)
+                    spread = mix(gone.column(3).to_numpy().view(np.uint64) + gone.column(5).to_numpy().view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), *gone.columns], names=names)
                     at = np.flatnonzero(kept)
-                    often_at = np.searchsorted(often, anchor[at])
-                    is_often = np.zeros(len(at), bool)
+                    hash_, is_often = anchor[at], np.zeros(len(at), bool)
                     if len(often):
-                        is_often = often[np.minimum(often_at, len(often) - 1)] == anchor[at]
-                    held, _ = _gather(data, first[at], n[at] + length - 1)
-                    hash_ = np.where(is_often, digest[at], anchor[at]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(hash_),
-                            pa.array(is_often),
-                            *[pa.array(c[at].astype(np.int64)) for c in (doc, row, start, n)],
-                            _binary(held, n[at] + length - 1),
-                        ],
-                        names=names,
-                    )
+                        is_often = often[np.minimum(np.searchsorted(often, hash_), len(often) - 1)] == hash_
+                    # Equal contexts meet either way; those of a frequent anchor do not all go to one task.
+                    key = np.where(is_often, mix(hash_ ^ digest[at]), hash_)
+                    columns = [key.view(np.int64), hash_.view(np.int64), digest[at].view(np.int64), is_often]
+                    columns += [c[at].astype(np.int64) for c in (doc, row, start, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
             del batch
             pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, _CUT)
+    return docs.mapInArrow(run, _HASHED)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], most: int, size) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Rows in order of their first column: several whole groups together, and whether they are whole.
+
+    A group whose ``size`` is above ``most`` comes in parts instead.
+    """
+    held, too_large = None, None
+    for batch in batches:
+        if too_large is not None:
+            more = int(np.searchsorted(batch.column(0).to_numpy(), too_large, side="right"))
+            yield batch.slice(0, more), False
+            batch = batch.slice(more)
+        held = batch if held is None else pa.concat_batches([held, batch])
+        if not held.num_rows or size(held) < most:
+            continue
+        key = held.column(0).to_numpy()
+        cut_at = int(np.searchsorted(key, key[-1], side="left"))
+        if cut_at:
+            yield held.slice(0, cut_at), True
+            held = held.slice(cut_at)
+        else:
+            too_large = key[-1]
+            yield held, False
+            held = None
+    if held is not None and held.num_rows:
+        yield held, True
+
+
+def _settle_hashes(hashed: DataFrame, most: int) -> DataFrame:
+    """Stretches (no hash), contexts whose bytes have to be read (no digest), and those yet to settle."""
+    names = [part.split()[0] for part in _SETTLED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, whole in _groups(batches, most, lambda b: b.num_rows):
+            known = pc.is_null(group.column(1)) if whole else None
+            yield group.filter(known).select(names) if whole else group.select(names)
+            if not whole:
+                continue
+            group = group.filter(pc.invert(known))
+            key, hash_, digest = (group.column(i).to_numpy() for i in range(3))
+            often = group.column(3).to_numpy(zero_copy_only=False)
+            place = [group.column(i).to_numpy() for i in range(4, 8)]
+            kept, repeated = _settle([hash_, digest], *place[:3])
+            yield _stretches(*[c[repeated] for c in place], _HASHES + _PLACES)
+            at = np.flatnonzero(kept)
+            alone = np.ones(len(at), bool)
+            alone[_not_alone(key[at])] = False
+            at = at[~alone | often[at]]
+            columns = [pa.array(hash_[at]), pa.nulls(len(at), pa.int64()), pa.array(often[at]), *[pa.array(c[at]) for c in place]]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return hashed.repartition("key").sortWithinPartitions("key").mapInArrow(run, _SETTLED)
+
+
+def _cut(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
+    """The bytes of contexts (doc, row, start, n, hash, frequent), read from the texts."""
+    wanted = open_.groupBy("doc", "row").agg(F.collect_list(F.struct("hash", "frequent", "start", "n")).alias("wanted"))
+    found = docs.join(wanted, ["doc", "row"]).select("doc", "row", "wanted", "text")
+    names = [part.split()[0] for part in _CUT.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                data, bounds = text_bytes(part.column(3))
+                listed = part.column(2)
+                many = pc.list_value_length(listed).to_numpy().astype(np.int64)
+                text = np.repeat(np.arange(part.num_rows), many)
+                hash_, often, start, n = (listed.flatten().field(i) for i in range(4))
+                size = n.to_numpy() + length - 1
+                held, _ = _gather(data, bounds[text] + start.to_numpy(), size)
+                own = [pa.array(part.column(i).to_numpy()[text]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([hash_, often, *own, start, n, _binary(held, size)], names=names)
+            del batch
+            pa.default_memory_pool().release_unused()
 
-def _with_hash(found: list[pa.Array], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Stretches are sent along with the contexts, dealt out evenly."""
-    if len(found[0]):
-        spread = mix(found[1].to_numpy().view(np.uint64) + found[2].to_numpy().view(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(np.zeros(len(spread), bool)), *found], names=names)
+    return found.mapInArrow(run, _CUT)
 
 
 def _frequent(docs: DataFrame, length: int) -> list[int]:
@@ -272,58 +350,38 @@ def _frequent(docs: DataFrame, length: int) -> list[int]:
 
 def _meet(cut: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     """Stretches of repeated windows, and the contexts that aggregation has to judge."""
-    names = ["doc", "row", "start", "n", "context"]
+    names = [f.name for f in _FOUND_FIELDS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, too_large = None, None
-        for batch in batches:
-            aside = pc.or_(batch.column(1), pc.is_null(batch.column(6)))
-            yield from _columns(batch.filter(aside), names)
-            batch = batch.filter(pc.invert(aside))
-            if too_large is not None:
-                more = int(np.searchsorted(batch.column(0).to_numpy(), too_large, side="right"))
-                yield from _columns(batch.slice(0, more), names)
-                batch = batch.slice(more)
-            held = batch if held is None else pa.concat_batches([held, batch])
-            if not held.num_rows or held.column(6).nbytes < shard_bytes:
-                continue
-            hash_ = held.column(0).to_numpy()
-            cut_at = int(np.searchsorted(hash_, hash_[-1], side="left"))
-            if cut_at:
-                yield _judge(held.slice(0, cut_at), length, names)
-                held = held.slice(cut_at)
-            else:
-                too_large = hash_[-1]
-                yield from _columns(held, names)
-                held = None
-        if held is not None and held.num_rows:
-            yield _judge(held, length, names)
+        # A frequent anchor's contexts are dealt out by another key than its hash, and judged elsewhere.
+        rare = []
 
-    return cut.repartition("hash").sortWithinPartitions("hash").mapInArrow(run, _FOUND)
+        def aside() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                often = batch.column(2)
+                if pc.any(often).as_py():
+                    rare.append(batch.filter(often).select(names))
+                    batch = batch.filter(pc.invert(often))
+                yield batch
 
+        for group, whole in _groups(aside(), shard_bytes, lambda b: b.column(7).nbytes):
+            while rare:
+                yield rare.pop()
+            yield _judge(group, length) if whole else group.select(names)
+        yield from rare
 
-def _columns(batch: pa.RecordBatch, names: list[str]) -> Iterator[pa.RecordBatch]:
-    if batch.num_rows:
-        yield batch.select(names)
+    key = F.when(F.col("frequent"), F.xxhash64("doc", "row", "start")).otherwise(F.col("hash"))
+    keyed = cut.select(key.alias("key"), "*")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
 
 
-def _judge(batch: pa.RecordBatch, length: int, names: list[str]) -> pa.RecordBatch:
+def _judge(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
     """The repeated windows of a shard, which has all contexts of its anchors."""
-    hash_, doc, row, start, n = (batch.column(i).to_numpy() for i in (0, 2, 3, 4, 5))
-    data, bounds = text_bytes(batch.column(6).cast(pa.large_binary()).view(pa.large_string()))
-    some = _not_alone(hash_)
-    hash_, doc, row, start, n, first = (c[some] for c in (hash_, doc, row, start, n, bounds[:-1]))
-    bytes_ = n + length - 1
-    found = []
-    data, first = _gather(data, first, bytes_)
-    size = _gram_size(length)
-    kept, repeated = _settle([hash_, _digests(_gram_hashes(data, size), size, first, bytes_)], doc, row, start)
-    found.append([c[repeated] for c in (doc, row, start, n)])
-    kept = np.flatnonzero(kept)
-    kept = kept[_not_alone(hash_[kept])]
-    if len(kept):
-        doc, row, start, n = (c[kept] for c in (doc, row, start, n))
-        text, first = _gather(data, first[kept], bytes_[kept], gap=1)
+    hash_, doc, row, start, n = (batch.column(i).to_numpy() for i in (1, 3, 4, 5, 6))
+    data, bounds = text_bytes(batch.column(7).cast(pa.large_binary()).view(pa.large_string()))
+    first, found = bounds[:-1], []
+    if len(hash_):
+        text, first = _gather(data, first, n + length - 1, gap=1)
         order = suffix_array(text)
         shared = permuted_prefixes(text, order)
         class_ = np.empty(len(text), dtype=np.int64)
@@ -335,8 +393,8 @@ def _judge(batch: pa.RecordBatch, length: int, names: list[str]) -> pa.RecordBat
         class_, context, nth = class_[several], context[several], nth[several]
         doc, row, start = doc[context], row[context], start[context] + nth
         _, repeated = _settle([class_], doc, row, start)
-        found.append([doc[repeated], row[repeated], start[repeated], np.ones(repeated.sum(), np.int64)])
-    return pa.RecordBatch.from_arrays(_verdicts(*[np.concatenate(c) for c in zip(*found)]), names=names)
+        found = [doc[repeated], row[repeated], start[repeated], np.ones(repeated.sum(), np.int64)]
+    return _stretches(*(found or [np.zeros(0, np.int64)] * 4), _FOUND_FIELDS)
 
 
 def _not_alone(sorted_: np.ndarray) -> np.ndarray:
@@ -439,6 +497,7 @@ def find_repeats(
     length: int = LENGTH,
     outputs: tuple[str, str, str, str] = ("n_bytes", "n_removed", "kept_sha256", "spans"),
     shard_bytes: int = SHARD_BYTES,
+    shard_hashes: int = SHARD_HASHES,
 ) -> DataFrame:
     """Every document with its ``spans``: byte ranges (end excluded) of the UTF-8 text to remove.
 
@@ -454,12 +513,21 @@ def find_repeats(
     """
     pre = free_prefix([*docs.columns, *outputs], "_rep_")
     doc = F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(_LAST_ID))
-    row = F.xxhash64(F.col(f"`{text}`"))
+    several = docs.groupBy(doc.alias("doc")).count().filter("count > 1")
+    # Only rows of equal ids have to be told apart.
+    row = F.lit(0).cast("long") if several.isEmpty() else F.xxhash64(F.col(f"`{text}`"))
     texts = docs.select(doc.alias("doc"), row.alias("row"), F.col(f"`{text}`").alias("text")).filter(
         F.octet_length("text") >= length
     )
-    found = store(_meet(_cut(texts, length, _frequent(texts, length)), length, shard_bytes), "repeats")
-    stretches = found.filter("context IS NULL").select("doc", "row", "start", "n")
+    settled = store(_settle_hashes(_hashed(texts, length, _frequent(texts, length)), shard_hashes), "settled")
+    late = _settle_rows(settled.filter("digest IS NOT NULL"), ["hash", "digest"])
+    open_ = settled.filter("hash IS NOT NULL AND digest IS NULL").unionByName(
+        late.filter("NOT later").dropDuplicates(["hash", "digest", "doc", "row"]).select(*settled.columns)
+    )
+    found = store(_meet(_cut(texts, open_, length), length, shard_bytes), "repeats")
+    places = ["doc", "row", "start", "n"]
+    stretches = settled.filter("hash IS NULL").select(*places).unionByName(late.filter("later").select(*places))
+    stretches = stretches.unionByName(found.filter("context IS NULL").select(*places))
     large = found.filter("context IS NOT NULL")
     if not large.isEmpty():
         stretches = stretches.unionByName(_judge_by_aggregation(large, length))

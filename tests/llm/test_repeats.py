@@ -109,7 +109,8 @@ def test_large_and_frequent_anchors_and_pieces_give_the_same(spark, monkeypatch)
     # Every anchor that is not alone is larger than a shard.
     assert found(spark, rows, 20, shard_bytes=1) == want
     # Some shards, some too large.
-    assert found(spark, rows, 20, shard_bytes=700) == want
+    assert found(spark, rows, 20, shard_bytes=700, shard_hashes=50) == want
+    assert found(spark, rows, 20, shard_hashes=1) == want
     # Every anchor of three documents is frequent.
     monkeypatch.setattr(repeats, "FREQUENT", 0.0)
     assert found(spark, rows, 20) == want
@@ -117,6 +118,11 @@ def test_large_and_frequent_anchors_and_pieces_give_the_same(spark, monkeypatch)
     assert found(spark, rows, 20) == want
 
 
+def test_ids_that_differ(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(odd_rows())]
+    assert found(spark, rows, 20) == brute(rows, 20)
+
+
 def test_empty_table(spark):
     assert found(spark, [], 100) == []
     assert found(spark, [(1, "short")], 100) == brute([(1, "short")], 100)
