@@ -35,11 +35,11 @@ def follow(spark, sf):
 
 @query("X2", with_views("trail", "SELECT id, count(*) AS copies FROM trail GROUP BY 1"))
 def stream_ingest(spark, sf):
-    """The newest receipts come first, then all of them twice: late ones and re-deliveries in one run."""
+    """The newer half comes first; a second checkpoint brings the older half late and a quarter again."""
     path, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-state")
-    newest = demo.trail(spark, sf).agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    middle, later = demo.trail(spark, sf).agg(F.percentile_approx("event_id", [0.5, 0.75])).first()[0]
     again = F.explode(F.array(F.lit(0), F.lit(1)))
-    for run, part in (("first", F.col("event_id") > newest), ("second", F.lit(True))):
+    for run, part in (("first", F.col("event_id") > middle), ("second", F.col("event_id") <= later)):
         twice = _follow(spark, sf).filter(part).select("id", "chain_id", "sequence", "ts").withColumn("delivery", again)
         X.stream_ingest(twice, path, f"{state}-{run}").awaitTermination()
     return spark.read.parquet(path).groupBy("id").agg(F.count(F.lit(1)).alias("copies"))
@@ -69,6 +69,7 @@ _HOLED = f"(SELECT *, min(CASE WHEN sequence > 1 AND before <> sequence - 1 THEN
     ),
 )
 def stream_chain_head(spark, sf):
+    X.keep_state_in_rocksdb(spark)
     source = _follow(spark, sf, "sealed").filter(_STREAMED).selectExpr(
         "chain_id", "sequence", "id", _FORGED, "receipt_hash", "ts"
     )
@@ -85,6 +86,7 @@ def stream_chain_head(spark, sf):
     ),
 )
 def stream_checkpoints(spark, sf):
+    X.keep_state_in_rocksdb(spark)
     return _run(spark, X.stream_checkpoints(_follow(spark, sf, "sealed"), 20, 3_600_000, late="10 minutes"), "witness")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
-    """X3 and X4 keep several states per chain, which only this store can; call before starting."""
+    """X3 and X4 keep several states per chain, which only this store can; for the caller's session."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _needs_rocksdb(spark: SparkSession) -> None:
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKSDB:
+        raise ValueError("this stream needs the RocksDB state store: call keep_state_in_rocksdb(spark) first")
+
+
 def follow(
     spark: SparkSession,
     path: str,
@@ -98,101 +104,154 @@ HEAD_OUTPUT = T.StructType(
         T.StructField("head_sequence", T.LongType()),
     ]
 )
-_HEAD_STATE = "sequence long, receipt_hash string"
-_EARLY_KEY = "sequence long"
-_EARLY_VALUE = "id string, previous_receipt_hash string, receipt_hash string"
+_HEAD_STATE = "sequence long, receipt_hash string, waiting long, news_ms long"
+# Rows that came early, by blocks of places, so that state is read and written a block at a time.
+EARLY_BLOCK = 256
+_EARLY_KEY = "block long"
+_EARLY_VALUE = "sequence array<bigint>, id array<string>, previous array<string>, own array<string>"
+
+
+class _Early:
+    """A chain's early rows in one call: blocks are read when asked for and written back at the end."""
+
+    def __init__(self, state):
+        self.state, self.blocks, self.changed = state, {}, set()
+
+    def _block(self, sequence: int) -> dict[int, tuple]:
+        number = sequence // EARLY_BLOCK
+        if number not in self.blocks:
+            held = self.state.getValue((number,)) if self.state.containsKey((number,)) else None
+            self.blocks[number] = {s: row for s, *row in zip(*held)} if held else {}
+        return self.blocks[number]
+
+    def add(self, sequence: int, row: tuple) -> bool:
+        """False if the place is taken."""
+        block = self._block(sequence)
+        if sequence in block:
+            return False
+        block[sequence] = row
+        self.changed.add(sequence // EARLY_BLOCK)
+        return True
+
+    def pop(self, sequence: int) -> tuple | None:
+        row = self._block(sequence).pop(sequence, None)
+        if row is not None:
+            self.changed.add(sequence // EARLY_BLOCK)
+        return row
+
+    def places(self) -> list[int]:
+        return sorted(s for key in list(self.state.keys()) for s in self._block(key[0] * EARLY_BLOCK))
+
+    def write(self) -> None:
+        for number in self.changed:
+            block = self.blocks[number]
+            if block:
+                places = sorted(block)
+                columns = zip(*(block[s] for s in places))
+                self.state.updateValue((number,), (places, *[list(c) for c in columns]))
+            elif self.state.containsKey((number,)):
+                self.state.removeKey((number,))
+
+
+def _texts(column: pd.Series) -> np.ndarray:
+    """An array of strings and None."""
+    return column.astype(object).where(column.notna(), None).to_numpy()
 
 
 class _ChainHead(StatefulProcessor):
-    """Expected place and hash of one chain. Rows that come early wait in keyed state, one entry
-    per place, and are given up as a gap when nothing arrived for ``wait_ms``, on the clock or in
-    event time."""
+    """Expected place and hash of one chain. Rows that come early wait in keyed state and are given up
+    as a gap when nothing arrived for ``wait_ms``, on the clock or in event time. Rows that come in
+    order are compared as arrays."""
 
     def __init__(self, wait_ms: int | None, event_time: bool):
         self.wait_ms, self.event_time = wait_ms, event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.head = handle.getValueState("head", _HEAD_STATE)
+        self.state = handle.getValueState("head", _HEAD_STATE)
         self.early = handle.getMapState("early", _EARLY_KEY, _EARLY_VALUE)
-        if self.event_time:
-            self.news = handle.getValueState("news", "at_ms long")
-
-    def _head(self):
-        return tuple(self.head.get()) if self.head.exists() else (0, None)
-
-    def _take(self, head, sequence, row, gap=False):
-        """The verdict on one row and the head behind it."""
-        rid, previous, own = row
-        if gap:
-            verdict = "gap"
-        else:
-            verdict = "ok" if (None if pd.isna(previous) else previous) == head[1] else "bad_link"
-        return (sequence, rid, verdict, sequence), (sequence, own)
-
-    def _drain(self, head, out):
-        while self.early.containsKey((head[0] + 1,)):
-            sequence = head[0] + 1
-            row = tuple(self.early.getValue((sequence,)))
-            self.early.removeKey((sequence,))
-            result, head = self._take(head, sequence, row)
-            out.append(result)
-        return head
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        head, now = self._head(), None
+        sequence, digest, waited, news = self.state.get() or (0, None, 0, None)
+        head, waiting, early = (sequence, digest), waited, _Early(self.early)
         for batch in rows:
-            out = []
             if self.event_time:
-                now = max(now or 0, int(batch["at_ms"].max()))
-            fields = ["sequence", "id", "previous_receipt_hash", "receipt_hash"]
-            for sequence, *row in batch.sort_values("sequence")[fields].itertuples(index=False, name=None):
-                sequence = int(sequence)
-                row = tuple(None if pd.isna(v) else v for v in row)
-                if sequence <= head[0]:
-                    out.append((sequence, row[0], "repeated", head[0]))
-                elif sequence == head[0] + 1:
-                    result, head = self._take(head, sequence, row)
-                    out.append(result)
-                    head = self._drain(head, out)
-                elif self.early.containsKey((sequence,)):
-                    out.append((sequence, row[0], "repeated", head[0]))
+                # A backlog brings older times than the chain's last news; rows without time bring none.
+                latest = batch["at_ms"].max()
+                news = news if pd.isna(latest) else max(int(latest), news or 0)
+            numbered = batch["sequence"].notna()
+            if not numbered.all():
+                lost = _texts(batch.loc[~numbered, "id"])
+                yield self._frame(key, [None] * len(lost), lost, ["no_sequence"] * len(lost), [head[0]] * len(lost))
+                batch = batch[numbered]
+            batch = batch.sort_values("sequence", kind="stable")
+            places = batch["sequence"].to_numpy().astype(np.int64)
+            ids, before, own = (_texts(batch[c]) for c in ("id", "previous_receipt_hash", "receipt_hash"))
+            first = np.append(True, places[1:] != places[:-1])[: len(places)]
+            ahead = np.flatnonzero(first & (places > head[0]))
+            straight = 0 if waiting else int(np.argmin(np.append(places[ahead] == head[0] + 1 + np.arange(len(ahead)), False)))
+            taken = ahead[:straight]
+            out = []
+            if straight:
+                linked = before[taken] == np.append(np.array([head[1]], object), own[taken[:-1]])
+                yield self._frame(key, places[taken], ids[taken], np.where(linked, "ok", "bad_link"), places[taken])
+                head = (int(places[taken[-1]]), own[taken[-1]])
+            for i in np.setdiff1d(np.arange(len(places)), taken, assume_unique=True).tolist():
+                place, row = int(places[i]), (ids[i], before[i], own[i])
+                if place <= head[0]:
+                    out.append((place, ids[i], "repeated", head[0]))
+                elif place == head[0] + 1:
+                    head = self._take(head, place, row, out)
+                    head, waiting = self._drain(head, early, waiting, out)
+                elif early.add(place, row):
+                    waiting += 1
                 else:
-                    self.early.updateValue((sequence,), row)
+                    out.append((place, ids[i], "repeated", head[0]))
             if out:
-                yield self._frame(key, out)
-        self.head.update(head)
-        if self.event_time:
-            # A backlog brings older times than the chain's last news.
-            now = max(now, self.news.get()[0]) if self.news.exists() else now
-            self.news.update((now,))
-        if self.wait_ms is None:
+                yield self._frame(key, *zip(*out))
+        early.write()
+        self.state.update((*head, waiting, news))
+        if self.wait_ms is None or not (waited or waiting):
             return
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if any(True for _ in self.early.keys()):
-            now = now if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+        if waiting:
+            clock = timerValues.getCurrentProcessingTimeInMs()
+            due = (clock if news is None else news) + self.wait_ms
             # A chain whose news are older than the watermark is due as soon as it moves.
-            due = now + self.wait_ms
             self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1) if self.event_time else due)
 
+    @staticmethod
+    def _take(head, place, row, out, gap=False):
+        """Add the verdict on one row; returns the head behind it."""
+        rid, before, own = row
+        out.append((place, rid, "gap" if gap else "ok" if before == head[1] else "bad_link", place))
+        return place, own
+
+    def _drain(self, head, early, waiting, out):
+        while waiting and (row := early.pop(head[0] + 1)) is not None:
+            head = self._take(head, head[0] + 1, row, out)
+            waiting -= 1
+        return head, waiting
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        head, out = self._head(), []
-        for (sequence,) in sorted(tuple(k) for k in self.early.keys()):
-            if not self.early.containsKey((sequence,)):
+        sequence, digest, waiting, news = self.state.get()
+        head, early, out = (sequence, digest), _Early(self.early), []
+        for place in early.places():
+            row = early.pop(place)
+            if row is None:
                 continue  # drained behind an earlier gap
-            row = tuple(self.early.getValue((sequence,)))
-            self.early.removeKey((sequence,))
-            result, head = self._take(head, sequence, row, gap=True)
-            out.append(result)
-            head = self._drain(head, out)
-        self.head.update(head)
+            head = self._take(head, place, row, out, gap=True)
+            head, waiting = self._drain(head, early, waiting - 1, out)
+        early.write()
+        self.state.update((*head, 0, news))
         if out:
-            yield self._frame(key, out)
+            yield self._frame(key, *zip(*out))
 
     @staticmethod
-    def _frame(key, out) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["sequence", "id", "verdict", "head_sequence"])
+    def _frame(key, *columns) -> pd.DataFrame:
+        frame = pd.DataFrame(dict(zip(["sequence", "id", "verdict", "head_sequence"], columns)))
+        frame["sequence"] = frame["sequence"].astype("Int64")
         frame.insert(0, "chain_id", key[0])
         return frame
 
@@ -201,16 +260,18 @@ class _ChainHead(StatefulProcessor):
 
 
 def stream_chain_head(source: DataFrame, wait_ms: int = 60_000, late: str | None = None) -> DataFrame:
-    """X3. Verdict on every receipt as it arrives: ok, bad_link, gap or repeated.
+    """X3. Verdict on every receipt as it arrives: ok, bad_link, gap, repeated or no_sequence.
 
     ``source``: chain_id, sequence, id, previous_receipt_hash, receipt_hash and, with ``late``, ts.
+    A receipt without a sequence has no place in its chain and is reported at once; one without a time
+    is judged like any other, but is no news for the wait, which then counts from the clock if there are none.
     A receipt behind a missing one waits; after ``wait_ms`` without news of its chain it is
     reported as ``gap``, and the receipts that follow it are judged by their links. With ``late``
     the wait is over when the watermark (the latest ts less ``late``) is ``wait_ms`` past the
     chain's last news, which suits runs over what is stored; otherwise the clock counts, and the
     query never runs out of batches.
     """
-    keep_state_in_rocksdb(source.sparkSession)
+    _needs_rocksdb(source.sparkSession)
     columns = ["chain_id", "sequence", "id", "previous_receipt_hash", "receipt_hash"]
     if late is None:
         keyed, mode = source.select(*columns), "ProcessingTime"
@@ -241,40 +302,44 @@ class _Witness(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("progress", "since long, sequence long, receipt_hash string, anchored long")
+        self.state = handle.getValueState("progress", "since long, sequence long, receipt_hash string, anchored long, timed boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        since, last, digest, anchored = tuple(self.state.get()) if self.state.exists() else (0, 0, None, 0)
-        out, now = [], None
+        since, last, digest, anchored, timed = self.state.get() or (0, 0, None, 0, False)
+        out, news = [], None
         for batch in rows:
-            if self.event_time:
-                now = max(now or 0, int(batch["at_ms"].max()))
-            ordered = batch.sort_values("sequence")
-            for sequence, own in zip(ordered["sequence"].tolist(), ordered["receipt_hash"].tolist()):
-                since += 1
-                if sequence > last:
-                    last, digest = sequence, own
-                if since >= self.every:
-                    since = 0
-                    if last > anchored:
-                        anchored = last
-                        out.append((key[0], last, digest, "cadence"))
-        self.state.update((since, last, digest, anchored))
-        if last > anchored and not list(self.handle.listTimers()):
-            if self.event_time:
-                # News older than the watermark are due as soon as it moves.
-                due = max(now + self.after_ms, timerValues.getCurrentWatermarkInMs() + 1)
-            else:
-                due = timerValues.getCurrentProcessingTimeInMs() + self.after_ms
-            self.handle.registerTimer(due)
+            if self.event_time and not pd.isna(batch["at_ms"].max()):
+                news = max(news or 0, int(batch["at_ms"].max()))
+            ordered = batch.sort_values("sequence", kind="stable", na_position="first")
+            places = ordered["sequence"].fillna(0).to_numpy().astype(np.int64)
+            digests = _texts(ordered["receipt_hash"])
+            # Every so many rows a checkpoint, at the highest place so far.
+            for end in [*range(self.every - since, len(places) + 1, self.every), None]:
+                upto = len(places) if end is None else end
+                if upto and places[upto - 1] > last:
+                    last = int(places[upto - 1])
+                    digest = digests[np.searchsorted(places, last)]
+                if end is not None and last > anchored:
+                    anchored = last
+                    out.append((key[0], last, digest, "cadence"))
+            since = (since + len(places)) % self.every
+        if last > anchored and not timed:
+            timed = True
+            clock = timerValues.getCurrentProcessingTimeInMs()
+            due = (clock if news is None else news) + self.after_ms
+            # News older than the watermark are due as soon as it moves.
+            self.handle.registerTimer(max(due, timerValues.getCurrentWatermarkInMs() + 1) if self.event_time else due)
+        self.state.update((since, last, digest, anchored, timed))
         if out:
             yield pd.DataFrame(out, columns=WITNESS_OUTPUT.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        since, last, digest, anchored = tuple(self.state.get())
+        since, last, digest, anchored, _ = self.state.get()
         if last > anchored:
-            self.state.update((0, last, digest, last))
+            self.state.update((0, last, digest, last, False))
             yield pd.DataFrame([(key[0], last, digest, "elapsed")], columns=WITNESS_OUTPUT.names)
+        else:
+            self.state.update((since, last, digest, anchored, False))
 
     def close(self) -> None:
         pass
@@ -284,9 +349,11 @@ def stream_checkpoints(source: DataFrame, every: int = 1000, after_ms: int = 300
     """X4. A checkpoint after every ``every`` receipts of a chain, or ``after_ms`` after activity.
 
     ``source``: chain_id, sequence, receipt_hash and, with ``late``, ts: then the time is that of
-    the watermark, the latest ts less ``late``; otherwise it is the clock's.
+    the watermark, the latest ts less ``late``; otherwise it is the clock's. Receipts without a
+    sequence count, but a checkpoint names the highest sequence seen, and is not made before there is
+    one; receipts without a time count as coming by the clock.
     """
-    keep_state_in_rocksdb(source.sparkSession)
+    _needs_rocksdb(source.sparkSession)
     columns = ["chain_id", "sequence", "receipt_hash"]
     if late is None:
         keyed, mode = source.select(*columns), "ProcessingTime"

@@ -9,6 +9,11 @@ from spoor.streaming import streams as X
 SCHEMA = "chain_id string, sequence long, id string, previous_receipt_hash string, receipt_hash string, ts timestamp_ntz"
 
 
+@pytest.fixture(autouse=True)
+def state_store(spark):
+    X.keep_state_in_rocksdb(spark)
+
+
 def row(chain, n, hours):
     before = f"{chain}{n - 1}" if n > 1 else None
     return (chain, n, f"{chain}-{n}", before, f"{chain}{n}", dt.datetime(2024, 1, 1) + dt.timedelta(hours=hours))

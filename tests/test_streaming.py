@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from spoor.streaming import streams as X
 
 
+@pytest.fixture(autouse=True)
+def state_store(spark):
+    X.keep_state_in_rocksdb(spark)
+
+
 def write(spark, rows, path):
     spark.createDataFrame([tuple(r[n] for n in NAMES) for r in rows], SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
