@@ -1,10 +1,11 @@
 """Ordered per-key computations that stay parallel when one key holds a large share of the rows.
 
 ``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. For large inputs the
-functions here cut every key's order into slices, run the window inside a slice, reduce each
-slice to one summary row, run a second window over the summaries, and join the carried values
-back. The result equals the plain window's, whatever the order column holds: nulls, repeated
-values, bursts or strings.
+functions here scan prefixes in a distributed way: rows are range-partitioned once on key and order,
+whole values of whatever type, so every slice has about as many rows, however many of them one key
+holds and however alike they are. Windows run inside a slice. Only the first and the last key of a
+slice can go on in another; these, two rows a slice at most, are summed up, scanned over the
+slices, and sent to all tasks, which add what came before. The result equals the plain window's.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from spoor.session import scratch_path
 # An input estimated below this fits one task whatever its keys, so slicing buys nothing.
 SMALL_INPUT_BYTES = 256 << 20
 SLICE_ROWS = 2_000_000
-# A key of more rows than a slice is cut into so many of about equal size.
-CUTS = 256
 _NULL_KEY = "\u0000null"
 
 
@@ -47,58 +46,24 @@ def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return size is not None and size <= limit
 
 
-def _order_number(df: DataFrame, name: str) -> Column:
-    """A double that never falls along the order of a column; nulls come first, as in a sort.
+def _ranged(df: DataFrame, ks: list[str], by: Sequence[str], slice_rows: int) -> DataFrame:
+    """The rows in slices of about ``slice_rows``, ``_al_slice``, in order of keys and ``by``.
 
-    Equal numbers for different values are fine: such rows stay in one slice.
+    Spark draws the cuts anew each time the plan is run, so the rows are written.
     """
-    dtype = df.schema[name].dataType
-    col = F.col(name)
-    if isinstance(dtype, T.TimestampType):
-        number = F.unix_micros(col)
-    elif isinstance(dtype, T.TimestampNTZType):
-        number = F.unix_date(F.to_date(col)).cast("long") * 86400 + F.hour(col) * 3600 + F.minute(col) * 60 + F.second(col)
-    elif isinstance(dtype, T.DateType):
-        number = F.unix_date(col)
-    elif isinstance(dtype, T.StringType | T.BinaryType):
-        # Strings sort by their bytes; the first six, as a number.
-        number = F.conv(F.rpad(F.hex(F.substring(col.cast("binary"), 1, 6)), 12, "0"), 16, 10)
-    elif isinstance(dtype, T.NumericType | T.BooleanType):
-        number = F.when(F.isnan(col.cast("double")), F.lit(float("inf"))).otherwise(col.cast("double"))
-    else:
-        return F.lit(0.0)
-    return F.coalesce(number.cast("double"), F.lit(float("-inf")))
+    slices = max(1, -(-df.count() // slice_rows))
+    ranged = df.repartitionByRange(slices, *ks, *by).withColumn("_al_slice", F.spark_partition_id())
+    path = scratch_path(df.sparkSession, "slices")
+    ranged.write.parquet(path)
+    return df.sparkSession.read.schema(ranged.schema).parquet(path)
 
 
-def _with_slices(
-    df: DataFrame, keys: list[str], by: Sequence[str], slice_rows: int, dense: bool
-) -> DataFrame:
-    if dense and isinstance(df.schema[by[0]].dataType, T.IntegralType):
-        # The order column counts up by about one per row, so its own range bounds a slice. Rows
-        # without a number come before all others, as in a sort.
-        return df.withColumn("_al_slice", F.coalesce(F.floor(F.col(by[0]) / F.lit(slice_rows)), F.lit(-(1 << 62))))
-    df = df.withColumn("_al_at", _order_number(df, by[0]))
-    # At most rows / slice_rows keys can be this large, which bounds what is broadcast. Cuts are
-    # ranks, not distances, so a burst is cut as often as a quiet time with as many rows.
-    hot = (
-        df.groupBy(*keys)
-        .agg(
-            F.count(F.lit(1)).alias("_al_n"),
-            F.percentile_approx("_al_at", [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("_al_cuts"),
-        )
-        .filter(F.col("_al_n") > slice_rows)
-        .select(*keys, F.array_distinct("_al_cuts").alias("_al_cuts"))
-    )
-    # Approximate ranks may differ when computed again, and every use must see the same cuts.
-    path = scratch_path(df.sparkSession, "cuts")
-    hot.write.parquet(path)
-    hot = df.sparkSession.read.schema(hot.schema).parquet(path)
-    slice_ = F.size(F.filter("_al_cuts", lambda cut: cut < F.col("_al_at"))).cast("long")
-    return (
-        df.join(F.broadcast(hot), keys, "left")
-        .withColumn("_al_slice", F.when(F.col("_al_cuts").isNotNull(), slice_).otherwise(F.lit(0).cast("long")))
-        .drop("_al_cuts", "_al_at")
-    )
+def _going_on(ranged: DataFrame, ks: list[str]) -> DataFrame:
+    """The keys that lie in more than one slice; fewer than there are slices."""
+    key = F.struct(*ks)
+    edges = ranged.groupBy("_al_slice").agg(F.min(key).alias("_al_first"), F.max(key).alias("_al_last"))
+    before = F.lag("_al_last").over(Window.orderBy("_al_slice"))  # one row per slice
+    return edges.select("_al_first", before.alias("_al_before")).filter("_al_first = _al_before").select("_al_first.*").distinct()
 
 
 def along(
@@ -114,7 +79,6 @@ def along(
     last_seen: Mapping[str, Column] | None = None,
     next_seen: Mapping[str, Column] | None = None,
     lowest: Mapping[str, Column] | None = None,
-    dense: bool = False,
     slice_rows: int | None = None,
 ) -> DataFrame:
     """Add columns computed along ``by`` within ``keys``.
@@ -124,9 +88,8 @@ def along(
     ``next_seen``: nearest non-null value strictly before/after the row. ``lowest``: the minimum
     over the whole key.
 
-    ``by`` must end in a column unique within the key. ``dense`` says its first column counts up
-    by about one per row. ``slice_rows`` forces slicing; by default only inputs that may not fit
-    one task are sliced.
+    ``by`` must end in a column unique within the key. ``slice_rows`` forces slicing; by default only
+    inputs that may not fit one task are sliced.
     """
     lag, lead = dict(lag or {}), dict(lead or {})
     running, last_seen, next_seen = dict(running or {}), dict(last_seen or {}), dict(next_seen or {})
@@ -141,7 +104,7 @@ def along(
         ks = [f"_al_k{i}" for i in range(len(keys))]
         for k, key in zip(ks, keys):
             source = source.withColumn(k, F.coalesce(F.col(key).cast("string"), F.lit(_NULL_KEY)))
-        source = _with_slices(source, ks, by, slice_rows or SLICE_ROWS, dense)
+        source = _ranged(source, ks, by, slice_rows or SLICE_ROWS)
         part = [*ks, "_al_slice"]
     else:
         ks, part = list(keys), list(keys)
@@ -154,11 +117,10 @@ def along(
     added: list[Column] = []
     if position or sliced:
         added.append(F.row_number().over(up).cast("long").alias("_al_pos"))
-    if not sliced:
-        whole = Window.partitionBy(*part)
-        if total:
-            added.append(F.count(F.lit(1)).over(whole).alias(total))
-        added += [F.min(f"_al_in_{name}").over(whole).alias(name) for name in lowest]
+    whole = Window.partitionBy(*part)
+    if total:
+        added.append(F.count(F.lit(1)).over(whole).alias(total))
+    added += [F.min(f"_al_in_{name}").over(whole).alias(name) for name in lowest]
     for name, src in lag.items():
         added.append(F.lag(src).over(up).alias(name))
     for name, src in lead.items():
@@ -199,18 +161,19 @@ def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_
         aggs.append(F.min_by(seen, F.when(seen.isNotNull(), order)).alias(f"_al_next_{name}"))
     for name in lowest:
         aggs.append(F.min(f"_al_in_{name}").alias(f"_al_low_{name}"))
-    summary = source.groupBy(*ks, "_al_slice").agg(*aggs)
+    spread = F.broadcast(_going_on(source, ks))
+    summary = source.join(spread, ks, "left_semi").groupBy(*ks, "_al_slice").agg(*aggs)
 
-    # One row per slice from here on.
+    # Two rows per slice at most from here on.
     fore = Window.partitionBy(*ks).orderBy("_al_slice")
     back = Window.partitionBy(*ks).orderBy(F.desc("_al_slice"))
     earlier = fore.rowsBetween(Window.unboundedPreceding, -1)
     later = back.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_al_n").over(earlier), F.lit(0)).alias("_al_c_pos")]
     if total:
-        carried.append(F.sum("_al_n").over(Window.partitionBy(*ks)).alias(total))
+        carried.append(F.sum("_al_n").over(Window.partitionBy(*ks)).alias("_al_c_total"))
     for name in lowest:
-        carried.append(F.min(f"_al_low_{name}").over(Window.partitionBy(*ks)).alias(name))
+        carried.append(F.min(f"_al_low_{name}").over(Window.partitionBy(*ks)).alias(f"_al_c_{name}"))
     if lag:
         carried.append(F.lag("_al_tail").over(fore).alias("_al_c_tail"))
     if lead:
@@ -221,9 +184,16 @@ def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_
         carried.append(F.last(f"_al_last_{name}", ignorenulls=True).over(earlier).alias(f"_al_c_{name}"))
     for name in next_seen:
         carried.append(F.last(f"_al_next_{name}", ignorenulls=True).over(later).alias(f"_al_c_{name}"))
+    path = scratch_path(source.sparkSession, "carried")
     carry = summary.select(*ks, "_al_slice", *carried)
+    carry.write.parquet(path)
+    carry = F.broadcast(source.sparkSession.read.schema(carry.schema).parquet(path))
 
-    out = out.join(carry, [*ks, "_al_slice"], "inner")
+    out = out.join(carry, [*ks, "_al_slice"], "left")
+    if total:
+        out = out.withColumn(total, F.coalesce("_al_c_total", total))
+    for name in lowest:
+        out = out.withColumn(name, F.least(f"_al_c_{name}", name))
     for name in lag:
         # Inside a slice a null is a real null of the row before, so only the first row looks back.
         value = F.when(F.col("_al_pos") == 1, F.col(f"_al_c_tail.{name}")).otherwise(F.col(name))
@@ -238,7 +208,7 @@ def _add_carried(source, out, ks, by, position, total, lag, lead, running, last_
         )
     for name in (*last_seen, *next_seen):
         out = out.withColumn(name, F.coalesce(F.col(name), F.col(f"_al_c_{name}")))
-    out = out.withColumn("_al_pos", F.col("_al_pos") + F.col("_al_c_pos"))
+    out = out.withColumn("_al_pos", F.col("_al_pos") + F.coalesce("_al_c_pos", F.lit(0)))
     return out.drop(*[c for c in out.columns if c.startswith("_al_c_")])
 
 

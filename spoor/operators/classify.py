@@ -13,7 +13,7 @@ from spoor.functions.exprs import canonical_uri as canonical_uri_expr
 
 
 def taxonomy_table(spark: SparkSession) -> DataFrame:
-    return fixed_table(spark, fixed.TAXONOMY, "type string, description string, risk_level string")
+    return fixed_table(spark, fixed.TAXONOMY, "type string, risk_level string")
 
 
 def classify_actions(df: DataFrame, mapping: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -197,6 +197,14 @@ def validate_rules(spark: SparkSession, rules: DataFrame | Sequence[Mapping]) ->
     return fixed_table(spark, rows, "rule_order long, name string, action string, problem string")
 
 
+def rule_hits(validated: DataFrame, judged: DataFrame) -> DataFrame:
+    """C7. How many calls each rule decided; takes ``validate_rules`` and ``evaluate_policy`` output."""
+    # Behind explode() the optimizer cannot copy the CASE over all rules into a filter of its own.
+    decided = judged.select(F.explode(F.array("policy_rule")).alias("name"))
+    hits = decided.groupBy("name").agg(F.count(F.lit(1)).alias("hits"))
+    return validated.join(hits, "name", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
 def describe_rules(validated: DataFrame) -> DataFrame:
     """C7. Rules per action, disabled ones apart; takes ``validate_rules`` output."""
     group = F.when(F.col("problem").isNotNull(), F.lit("off")).otherwise(F.col("action"))

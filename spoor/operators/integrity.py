@@ -117,7 +117,6 @@ def check_links(
         IN_CHAIN,
         position="__pos",
         lag={"__prev_hash": "computed_hash", "__prev_seq": "sequence", "__prev_terminal": "terminal"},
-        dense=True,
         slice_rows=slice_rows,
     )
     start = F.col("__pos") == 1
@@ -223,7 +222,7 @@ def chain_verdicts(checked: DataFrame, rotation_ok_col: str | None = None) -> Da
 
 def after_terminal(df: DataFrame, slice_rows: int | None = None) -> DataFrame:
     """V5. Receipts placed right behind a terminal receipt."""
-    placed = along(df, CHAIN, IN_CHAIN, position="__pos", lag={"__t": "terminal"}, dense=True, slice_rows=slice_rows)
+    placed = along(df, CHAIN, IN_CHAIN, position="__pos", lag={"__t": "terminal"}, slice_rows=slice_rows)
     return placed.filter("__t").select("chain_id", "sequence", "id", (F.col("__pos") - 1).alias("index"))
 
 
@@ -262,7 +261,7 @@ def duplicate_operations(df: DataFrame, slice_rows: int | None = None) -> DataFr
     One row per receipt with its index and the number of sharers, so a hot key makes rows, not
     one long array.
     """
-    placed = along(df, CHAIN, IN_CHAIN, position="__pos", dense=True, slice_rows=slice_rows)
+    placed = along(df, CHAIN, IN_CHAIN, position="__pos", slice_rows=slice_rows)
     keyed = placed.filter(F.coalesce(F.col("idempotency_key"), F.lit("")) != "")
     shared = (
         df.filter(F.coalesce(F.col("idempotency_key"), F.lit("")) != "")

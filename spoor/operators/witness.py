@@ -56,7 +56,7 @@ def checkpoint_regressions(checkpoints: DataFrame, slice_rows: int | None = None
 
 def plan_checkpoints(df: DataFrame, every: int, slice_rows: int | None = None) -> DataFrame:
     """V15. Every ``every``-th receipt of a chain and its last one."""
-    placed = along(df, CHAIN, IN_CHAIN, position="__pos", total="__n", dense=True, slice_rows=slice_rows)
+    placed = along(df, CHAIN, IN_CHAIN, position="__pos", total="__n", slice_rows=slice_rows)
     last = F.col("__pos") == F.col("__n")
     return placed.filter((F.col("__pos") % every == 0) | last).select(
         "chain_id",
@@ -121,7 +121,7 @@ def key_epochs(df: DataFrame, rotations: DataFrame, genesis: DataFrame, slice_ro
     )
     rows = df.select("chain_id", "sequence", "id").join(folded, ["chain_id", "sequence"], "left")
     placed = along(
-        rows, CHAIN, IN_CHAIN, last_seen={"__key": F.col("key_after")}, dense=True, slice_rows=slice_rows
+        rows, CHAIN, IN_CHAIN, last_seen={"__key": F.col("key_after")}, slice_rows=slice_rows
     )
     return placed.join(genesis.select("chain_id", "genesis_fp"), "chain_id", "left").select(
         "chain_id",
@@ -192,7 +192,6 @@ def provenance_verdicts(
             "__plain_ok": plain_ok,
             "__whole": F.col("status_problem").isNull() & ~F.col("follows_terminal"),
         },
-        dense=True,
         slice_rows=slice_rows,
     )
     platform = F.coalesce(F.col("peer_platform"), F.lit(""))

@@ -12,7 +12,7 @@ from spoor.plans.demo import with_views
 from spoor.plans.registry import query
 from spoor.sources.receipts import parse_transcripts
 
-_TAXONOMY = ", ".join(f"('{t}', '{r}')" for t, _, r in fixed.TAXONOMY)
+_TAXONOMY = ", ".join(f"('{t}', '{r}')" for t, r in fixed.TAXONOMY)
 MAPPING = (
     ("get_file_contents", "data.api.read"),
     ("mcp__fs__read_file", "filesystem.file.read"),
@@ -181,6 +181,13 @@ HYGIENE_RULES = (
 )
 
 
+_RULES_MADE = (
+    "SELECT tool_name, risk_level, cast(min(event_id) as bigint) AS o, count(*) % 3 <> 0 AS enabled, "
+    "CASE risk_level WHEN 'low' THEN 'pass' WHEN 'medium' THEN 'flag' WHEN 'high' THEN 'pause' WHEN 'critical' THEN 'block' ELSE 'stop' END AS action "
+    "FROM {trail} WHERE tool_name IS NOT NULL AND risk_level IS NOT NULL GROUP BY tool_name, risk_level"
+)
+
+
 @query(
     "C7",
     with_views(
@@ -193,12 +200,26 @@ HYGIENE_RULES = (
 )
 def rule_hygiene(spark, sf):
     judged = C.evaluate_policy(C.operation_type(C.score_risk(calls(spark, sf))), HYGIENE_RULES)
-    hits = judged.groupBy(F.col("policy_rule").alias("name")).agg(F.count(F.lit(1)).alias("hits"))
-    return (
-        C.validate_rules(spark, HYGIENE_RULES)
-        .join(hits, "name", "left")
-        .select("name", "problem", F.coalesce("hits", F.lit(0)).alias("hits"))
+    return C.rule_hits(C.validate_rules(spark, HYGIENE_RULES), judged).select("name", "problem", "hits")
+
+
+@query(
+    "C7",
+    with_views(
+        "trail",
+        "SELECT grp AS \"group\", count(*) AS n, string_agg(name, ',' ORDER BY o, name) AS names FROM "
+        "(SELECT tool_name || '-' || risk_level AS name, o, CASE WHEN NOT enabled THEN 'off' WHEN action NOT IN ('pass', 'flag', 'pause', 'block') THEN 'off' ELSE action END AS grp "
+        "FROM rules) r GROUP BY 1",
+        rules=_RULES_MADE.format(trail="trail"),
+    ),
+)
+def describe_rules(spark, sf):
+    """A rule for every tool and risk that the trail knows, some off and some with an unknown action."""
+    made = spark.sql(_RULES_MADE, trail=demo.trail(spark, sf)).selectExpr(
+        "o AS rule_order", "tool_name || '-' || risk_level AS name", "'' AS description", "enabled", "tool_name AS tool_pattern",
+        "CAST(NULL AS string) AS server_pattern", "CAST(NULL AS array<string>) AS operation_types", "CAST(NULL AS int) AS min_risk_score", "action",
     )
+    return C.describe_rules(C.validate_rules(spark, made))
 
 
 # (arguments, the resource expected of them)
@@ -367,7 +388,7 @@ def transcript_lines(trail):
     """Two lines per correlated call: the turn that made it and a later echo by another model."""
     block = F.struct(F.lit("tool_use").alias("type"), F.col("correlation_id").alias("id"))
     text = F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("id"))
-    calls_ = trail.filter("correlation_id IS NOT NULL AND k % 6 <> 0").withColumn("echo", F.explode(F.array(F.lit(0), F.lit(1))))
+    calls_ = trail.filter("correlation_id IS NOT NULL").withColumn("echo", F.explode(F.array(F.lit(0), F.lit(1))))
     entry = F.struct(
         F.when(F.col("event_id") % 5 == 0, "user").otherwise("assistant").alias("type"),
         F.struct(
@@ -386,7 +407,7 @@ def transcript_lines(trail):
     with_views(
         "trail",
         "SELECT id, CASE WHEN f THEN 'model-' || cast(k as string) END AS turn_model, CASE WHEN f THEN '{\"input_tokens\":' || cast(k * 2 as string) || '}' END AS turn_usage, f AS turn_found "
-        "FROM (SELECT id, k, coalesce(correlation_id IS NOT NULL AND k % 6 <> 0 AND event_id % 5 <> 0, false) AS f FROM trail) t",
+        "FROM (SELECT id, k, correlation_id IS NOT NULL AND event_id % 5 <> 0 AS f FROM trail) t",
     ),
 )
 def enrich_usage(spark, sf):

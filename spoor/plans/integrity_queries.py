@@ -42,6 +42,12 @@ def verify_chains(spark, sf):
     return I.verify_chains(demo.tampered(spark, sf), SIG)
 
 
+@query("V3 V4", with_views("verdicts", f"SELECT {_VERDICT} FROM verdicts"))
+def verify_chains_sliced(spark, sf):
+    """The plan a large trail gets: chains cut into slices, here of 500 receipts."""
+    return I.verify_chains(demo.tampered(spark, sf), SIG, slice_rows=500)
+
+
 @query("V5", with_views("checked", "SELECT chain_id, sequence, id, index FROM checked WHERE follows_terminal"))
 def after_terminal(spark, sf):
     return I.after_terminal(demo.tampered(spark, sf))

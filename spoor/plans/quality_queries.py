@@ -298,7 +298,7 @@ def coverage_matrix(spark, sf):
     return Q.coverage_matrix(demo.trail(spark, sf), "action_type", "status")
 
 
-_TYPES = ", ".join(f"('{t}')" for t, _, _ in fixed.TAXONOMY)
+_TYPES = ", ".join(f"('{t}')" for t, _ in fixed.TAXONOMY)
 
 
 @query(
@@ -330,7 +330,7 @@ def scan_patterns(spark, sf):
 
 
 _RANKS = "CASE {0} WHEN 'low' THEN 1 WHEN 'medium' THEN 2 WHEN 'high' THEN 3 WHEN 'critical' THEN 4 END"
-_TAXONOMY = ", ".join(f"('{t}', '{r}')" for t, _, r in fixed.TAXONOMY)
+_TAXONOMY = ", ".join(f"('{t}', '{r}')" for t, r in fixed.TAXONOMY)
 
 
 @query(

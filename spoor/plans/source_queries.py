@@ -53,7 +53,7 @@ def read_checkpoints(spark, sf):
     with_views(
         "trail",
         "SELECT type, model, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 0 THEN 'user' ELSE 'assistant' END AS type, 'model-' || cast(k + e as string) AS model "
-        "FROM trail, (VALUES (0), (1)) v(e) WHERE correlation_id IS NOT NULL AND k % 6 <> 0 AND event_id % 9 <> 4) l GROUP BY 1, 2",
+        "FROM trail, (VALUES (0), (1)) v(e) WHERE correlation_id IS NOT NULL AND event_id % 9 <> 4) l GROUP BY 1, 2",
     ),
 )
 def read_transcripts(spark, sf):

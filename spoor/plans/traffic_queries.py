@@ -225,7 +225,7 @@ def install_base(spark, sf):
     return T.install_base(T.release_timeline(T.release_split(assets(spark, sf))))
 
 
-_PUBLISHES = "SELECT DISTINCT o_orderpriority AS entity, cast(o_orderdate as date) AS published FROM {orders} WHERE o_orderkey % 17 = 0"
+_PUBLISHES = "SELECT DISTINCT o_orderpriority AS entity, cast(o_orderdate as date) AS published FROM {orders} WHERE o_orderstatus = 'P'"
 
 
 @query(

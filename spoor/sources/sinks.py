@@ -79,7 +79,7 @@ def presentations(df: DataFrame, documents_per_part: int = 10_000) -> DataFrame:
     A chain longer than ``documents_per_part`` is split into numbered parts of that many receipts,
     so no chain has to fit one row.
     """
-    placed = along(df, ("chain_id",), ("sequence", "id"), position="__pos", dense=True)
+    placed = along(df, ("chain_id",), ("sequence", "id"), position="__pos")
     part = F.floor((F.col("__pos") - 1) / documents_per_part).cast("long")
     grouped = placed.withColumn("part", part).groupBy("chain_id", "part").agg(
         F.array_sort(F.collect_list(F.struct("__pos", "receipt_json"))).alias("docs")

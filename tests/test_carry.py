@@ -37,7 +37,7 @@ def everything(df, **how):
     )
 
 
-@pytest.mark.parametrize("how", [{"slice_rows": 50}, {"slice_rows": 7}, {"slice_rows": 40, "dense": True}, {"slice_rows": 10**9}])
+@pytest.mark.parametrize("how", [{"slice_rows": 50}, {"slice_rows": 7}, {"slice_rows": 10**9}])
 def test_sliced_equals_plain(rows, how):
     plain = everything(rows)
     sliced = everything(rows, **how)
@@ -60,26 +60,44 @@ ORDERS = {
 }
 
 
-@pytest.mark.parametrize("dense", [False, True])
 @pytest.mark.parametrize("order", ORDERS)
-def test_any_order_column_gives_the_plain_result(rows, order, dense):
+def test_any_order_column_gives_the_plain_result(rows, order):
     odd = rows.withColumn("at", F.expr(ORDERS[order]))
-    plain, sliced = everything(odd), everything(odd, slice_rows=40, dense=dense)
+    plain, sliced = everything(odd), everything(odd, slice_rows=40)
     columns = sorted(plain.columns)
     assert sorted(map(repr, plain.select(columns).collect())) == sorted(map(repr, sliced.select(columns).collect()))
 
 
-def test_a_burst_is_cut(spark):
-    df = spark.range(4000).select(F.lit("k").alias("key"), F.when(F.col("id") < 4, F.col("id") * 10**9).otherwise(10**12 + F.col("id")).alias("at"), "id")
-    from spoor.functions.carry import _with_slices
+HOT = {
+    "a burst": "CASE WHEN id < 4 THEN id * 1000000000 ELSE 1000000000000 + id END",
+    "no sequence": "CAST(NULL AS bigint)",
+    "one forged sequence": "7L",
+    "strings that begin alike": "concat('0000000000000000', lpad(id, 8, '0'))",
+}
+
+
+@pytest.mark.parametrize("order", HOT)
+def test_a_hot_key_is_cut_evenly(spark, order):
+    """However alike its order values are, 20,000 rows of one key make 200 slices of about 100."""
+    from spoor.functions.carry import _ranged
+
+    df = spark.range(20_000).select(F.lit("k").alias("key"), F.expr(HOT[order]).alias("at"), "id")
+    sizes = [r["count"] for r in _ranged(df, ["key"], ["at", "id"], 100).groupBy("_al_slice").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) > 150 and max(sizes) < 400
+
+
+def test_only_keys_that_go_on_are_carried(spark):
+    from spoor.functions.carry import _going_on, _ranged
 
-    sizes = [r["count"] for r in _with_slices(df, ["key"], ["at"], 100, False).groupBy("_al_slice").count().collect()]
-    assert sum(sizes) == 4000 and max(sizes) < 100
+    df = spark.range(3000).selectExpr("CASE WHEN id < 1000 THEN 'hot' ELSE concat('k', id) END AS key", "id")
+    ranged = _ranged(df, ["key"], ["id"], 100)
+    assert [r.key for r in _going_on(ranged, ["key"]).collect()] == ["hot"]
 
 
-def test_sliced_plan_cuts_the_key(rows):
-    plan = along(rows, ["key"], ["at", "id"], position="p", slice_rows=50)._jdf.queryExecution().executedPlan().toString()
-    assert "_al_slice" in plan
+def test_a_sliced_plan_reads_and_shuffles_once(rows):
+    plan = everything(rows, slice_rows=50)._jdf.queryExecution().executedPlan().toString()
+    # The slices and what is carried into them; only the slices are dealt out again.
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_times_are_cut_like_numbers(spark):
