@@ -108,3 +108,44 @@ def presentations(spark, sf):
     documents = S.presentations(demo.receipts(spark, sf), 40)
     listed = F.from_json("presentation", "struct<verifiableCredential: array<struct<id: string>>>")["verifiableCredential"]["id"]
     return documents.select("chain_id", "part", F.array_join(listed, ",").alias("ids"))
+
+
+@query("S1 S7", with_views("trail", "SELECT id, chain_id, sequence, ts FROM trail"))
+def read_array_receipts(spark, sf):
+    """Array files, read by byte ranges."""
+    path = scratch_path(spark, "arrays")
+    S.export_arrays(demo.receipts(spark, sf), path)
+    return R.lift_columns(R.read_receipts(spark, path, "array")).select("id", "chain_id", "sequence", "ts")
+
+
+@query("S7", with_views("trail", "SELECT chain_id, count(*) AS documents, count(*) - 1 AS commas FROM trail GROUP BY 1 UNION ALL SELECT 'opened', count(DISTINCT chain_id), NULL FROM trail UNION ALL SELECT 'closed', count(DISTINCT chain_id), NULL FROM trail"))
+def export_presentations(spark, sf):
+    """One document per chain, written as lines and read back."""
+    path = scratch_path(spark, "presentations")
+    S.export_presentations(demo.receipts(spark, sf), path)
+    line = F.col("value")
+    chain = F.get_json_object(F.rtrim(line, F.lit(",")), "$.credentialSubject.chain.chain_id")
+    kind = F.when(line.startswith('{"type":["VerifiablePresentation"]'), "opened").when(line == "]}", "closed").otherwise(chain)
+    commas = F.when(~kind.isin("opened", "closed"), line.endswith(",").cast("long"))
+    lines = spark.read.text(path).select(kind.alias("chain_id"), commas.alias("comma"))
+    return lines.groupBy("chain_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("comma").alias("commas"))
+
+
+@query(
+    "S6",
+    with_views("trail", "SELECT 'a' AS sink, count(*) AS n FROM trail UNION ALL SELECT 'c', count(*) FROM trail"),
+)
+def fan_out_batches(spark, sf):
+    """A stream to three sinks, one of which refuses every batch."""
+    paths = {name: scratch_path(spark, f"batches-{name}") for name in ("a", "c")}
+
+    def refuse(df):
+        raise OSError("disk full")
+
+    writers = {name: (lambda df, path=path: df.write.mode("append").parquet(path)) for name, path in paths.items()}
+    schema = demo.trail(spark, sf).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(demo.table_path(spark, sf, "trail"))
+    started = stream.select("id", "chain_id").writeStream.foreachBatch(S.fan_out_batches({"b": refuse, **writers}))
+    started.option("checkpointLocation", scratch_path(spark, "batches-state")).trigger(availableNow=True).start().awaitTermination()
+    counts = [spark.read.parquet(path).agg(F.lit(name).alias("sink"), F.count("id").alias("n")) for name, path in paths.items()]
+    return counts[0].unionByName(counts[1])

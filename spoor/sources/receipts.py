@@ -8,29 +8,21 @@ from pyspark.sql import types as T
 
 from spoor import schema
 from spoor.functions.exprs import is_one_json
+from spoor.sources.array_files import read_array_files
 
 CORRUPT = "_corrupt"
-# What one variant value can hold.
-MOST_ARRAY_BYTES = 16 << 20
 _CORRUPTIBLE = T.StructType([*schema.RECEIPT.fields, T.StructField(CORRUPT, T.StringType())])
 
 
 def read_receipts(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """S1. Receipt documents with their text: one per line, or array files (``layout="array"``).
 
-    An array file is one value to Spark, so a file above ``MOST_ARRAY_BYTES`` is refused before any
-    is read; its documents come back as compact JSON text. Large trails belong into line files.
+    Either kind is read by byte ranges, and every document's text is the file's own.
     """
     if layout == "lines":
         raw = spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("receipt_json"))
     elif layout == "array":
-        sizes = spark.read.format("binaryFile").load(path).select("path", "length")
-        large = sizes.filter(F.col("length") > MOST_ARRAY_BYTES).first()
-        if large:
-            raise ValueError(f"{large['path']} has {large['length']} bytes; write large trails as lines")
-        docs = spark.read.option("multiLine", True).option("singleVariantColumn", "doc").json(path)
-        listed = F.coalesce(F.try_variant_get("doc", "$", "array<variant>"), F.array("doc"))
-        raw = docs.select(F.explode(listed).alias("doc")).select(F.to_json("doc").alias("receipt_json"))
+        raw = read_array_files(spark, path)
     else:
         raise ValueError(f"unknown layout {layout!r}")
     return parse_receipts(raw)

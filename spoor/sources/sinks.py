@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +75,14 @@ def export_jsonl(df: DataFrame, path: str) -> None:
     df.select("receipt_json").write.text(path)
 
 
+_OPENING, _CLOSING = '{"type":["VerifiablePresentation"],"verifiableCredential":[', "]}"
+
+
 def presentations(df: DataFrame, documents_per_part: int = 10_000) -> DataFrame:
     """Presentation documents of each chain as JSON text, chain order kept.
 
     A chain longer than ``documents_per_part`` is split into numbered parts of that many receipts,
-    so no chain has to fit one row.
+    so no chain has to fit one row; ``export_presentations`` writes each chain as one document.
     """
     placed = along(df, ("chain_id",), ("sequence", "id"), position="__pos")
     part = F.floor((F.col("__pos") - 1) / documents_per_part).cast("long")
@@ -85,12 +90,47 @@ def presentations(df: DataFrame, documents_per_part: int = 10_000) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("__pos", "receipt_json"))).alias("docs")
     )
     body = F.array_join(F.transform("docs", lambda d: d["receipt_json"]), ",")
-    head = '{"type":["VerifiablePresentation"],"verifiableCredential":['
     return grouped.select(
-        "chain_id", "part", F.concat(F.lit(head), body, F.lit("]}")).alias("presentation")
+        "chain_id", "part", F.concat(F.lit(_OPENING), body, F.lit(_CLOSING)).alias("presentation")
+    )
+
+
+def presentation_lines(df: DataFrame, slice_rows: int | None = None) -> DataFrame:
+    """One presentation per chain, of any length, as numbered lines: an opening one, a document each, a closing one.
+
+    A null document is written as JSON's null. No row holds more than one document.
+    """
+    placed = along(df, ("chain_id",), ("sequence", "id"), position="__pos", total="__n", slice_rows=slice_rows)
+    comma = F.when(F.col("__pos") < F.col("__n"), F.lit(",")).otherwise(F.lit(""))
+    line = lambda number, text: F.struct(number.cast("long").alias("line_no"), text.alias("line"))
+    lines = F.array(
+        F.when(F.col("__pos") == 1, line(F.lit(0), F.lit(_OPENING))),
+        line(F.col("__pos"), F.concat(F.coalesce("receipt_json", F.lit("null")), comma)),
+        F.when(F.col("__pos") == F.col("__n"), line(F.col("__n") + 1, F.lit(_CLOSING))),
     )
+    return placed.select("chain_id", F.inline(F.array_compact(lines)))
+
+
+def export_presentations(df: DataFrame, path: str) -> None:
+    """S7. The lines of all chains' presentations, sorted; a long chain goes on in the next file.
+
+    The files one behind the other, in order of their names, are one JSON document for each chain.
+    """
+    lines = presentation_lines(df)
+    order = ("chain_id", "line_no")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+
+
+def export_arrays(df: DataFrame, path: str) -> None:
+    """S7. Files that hold one JSON array of verbatim documents each, a file per task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = False
+        for batch in batches:
+            if batch.num_rows:
+                heads = pa.array(["," if begun else "[", *[","] * (batch.num_rows - 1)])
+                begun = True
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(heads, batch.column(0), "")], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], names=["value"])
 
-def export_presentations(df: DataFrame, path: str, documents_per_part: int = 10_000) -> None:
-    """S7. One presentation per line and chain part."""
-    presentations(df, documents_per_part).select("presentation").write.text(path)
+    df.select("receipt_json").filter("receipt_json IS NOT NULL").mapInArrow(run, "value string").write.text(path)

@@ -103,14 +103,28 @@ def test_fan_out_goes_on_after_a_failure(spark, caplog):
 
 def test_presentations_split_long_chains(spark, tmp_path):
     df = spark.createDataFrame([("c", i, f"x{i}", json.dumps({"id": i})) for i in range(1, 8)], "chain_id string, sequence long, id string, receipt_json string")
-    S.export_presentations(df, str(tmp_path / "vp"), documents_per_part=3)
+    S.presentations(df, documents_per_part=3).select("presentation").write.text(str(tmp_path / "vp"))
     parts = sorted((json.loads(r.value) for r in spark.read.text(str(tmp_path / "vp")).collect()), key=lambda p: p["verifiableCredential"][0]["id"])
     assert [[d["id"] for d in p["verifiableCredential"]] for p in parts] == [[1, 2, 3], [4, 5, 6], [7]]
 
 
-def test_large_array_files_are_refused(spark, tmp_path, monkeypatch):
-    (tmp_path / "a.json").write_text('[{"id": "1"}, {"id": "2"}]')
-    assert R.read_receipts(spark, str(tmp_path), layout="array").count() == 2
-    monkeypatch.setattr(R, "MOST_ARRAY_BYTES", 10)
-    with pytest.raises(ValueError, match="a.json"):
-        R.read_receipts(spark, str(tmp_path), layout="array")
+def test_a_long_chain_is_one_presentation(spark, tmp_path):
+    rows = [("c", n, f"c-{n}", json.dumps({"id": f"c-{n}", "text": "é}]," * (n % 3)})) for n in range(1, 2001)]
+    rows += [("d", 1, "d-1", '{"id": "d-1"}'), ("e", 1, "e-1", None)]
+    df = spark.createDataFrame(rows, "chain_id string, sequence long, id string, receipt_json string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        S.export_presentations(df, str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert len(files) > 1
+    text, found = "".join(f.read_text() for f in files), []
+    decoder = json.JSONDecoder()
+    while text.strip():
+        document, end = decoder.raw_decode(text)
+        found.append([d and d["id"] for d in document["verifiableCredential"]])
+        text = text[end:].lstrip()
+    assert found == [[f"c-{n}" for n in range(1, 2001)], ["d-1"], [None]]
+    plain = sorted(map(tuple, S.presentation_lines(df).collect()))
+    assert sorted(map(tuple, S.presentation_lines(df, slice_rows=150).collect())) == plain
