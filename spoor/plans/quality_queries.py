@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import fixed
 from spoor.operators import classify as C
+from spoor.operators import conformance
 from spoor.operators import quality as Q
 from spoor.operators import redact as R
 from spoor.plans import demo
@@ -218,6 +219,40 @@ def conformance_report(spark, sf):
     return Q.conformance_report(demo.tampered(spark, sf).selectExpr("*", _CONTEXT))
 
 
+# What the derived documents lack or have beyond the published fields; all of them, or those where this holds.
+_IN_SUBJECT = "credentialSubject."
+_DOCUMENT_RULES = (
+    *((path, "required", "true") for path in ("@context", "type", f"{_IN_SUBJECT}action.id", f"{_IN_SUBJECT}chain.previous_receipt_hash")),
+    *((f"proof.{field}", "required", "true") for field in ("type", "created", "verificationMethod", "proofPurpose")),
+    *((f"{_IN_SUBJECT}authorization.{field}", "required", "true") for field in ("scopes", "granted_at")),
+    ("proof.proofValue", "pattern", "true"),
+    ("futureField", "additional", "true"),
+    ("issuer.agent_id", "additional", "agent_id IS NOT NULL"),
+    (f"{_IN_SUBJECT}action.tool_name", "additional", "tool_name IS NOT NULL"),
+    (f"{_IN_SUBJECT}action.idempotency_key", "min_length", "idempotency_key = ''"),
+    (f"{_IN_SUBJECT}action.target.system", "required", "action_type = 'unknown' AND target_system IS NULL"),
+    (f"{_IN_SUBJECT}chain.status", "one_of", "chain_status NOT IN ('complete', 'interrupted')"),
+    (f"{_IN_SUBJECT}chain.terminal", "required", "chain_status IS NOT NULL AND terminal IS NULL"),
+    (f"{_IN_SUBJECT}correlation_id", "min_length", "correlation_id = ''"),
+    (f"{_IN_SUBJECT}outcome.reversal_window_seconds", "minimum", "reversal_window_seconds < 0"),
+    ("version", "required", "version IS NULL"),
+    ("version", "one_of", "version NOT IN (" + ", ".join(f"'{v}'" for v in fixed.VERSION_CONTEXT) + ")"),
+)
+
+
+@query(
+    "Q6",
+    with_views(
+        "trail",
+        "SELECT path, rule, violations FROM ("
+        + " UNION ALL ".join(f"SELECT '{p}' AS path, '{r}' AS rule, count(*) FILTER (WHERE {broken}) AS violations FROM trail" for p, r, broken in _DOCUMENT_RULES)
+        + ") c WHERE violations > 0",
+    ),
+)
+def conformance_of_documents(spark, sf):
+    return conformance.conformance_of_documents(demo.receipts(spark, sf))
+
+
 @query(
     "Q7",
     with_views(
