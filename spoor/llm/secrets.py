@@ -2,8 +2,10 @@
 
 Candidates are found by a wide pattern: values assigned to a credential name, and runs of key
 characters with a digit. Features of a candidate are its length, its character classes and the
-transitions between them, its entropy, how much of it words of the corpus cover, its path, and the
-words beside it. The forest is trained on labelled findings, a bounded sample of either class.
+transitions between them, its entropy, how much of it words of the corpus cover, whether it has the
+format of a known key or stands for one to be put in, its path, and the words beside it. The forest
+is trained on labelled findings, a bounded sample of each kind, and decides on all others; a finding
+that was given a label keeps it.
 
 Everything runs in Spark's own expressions and Spark ML.
 """
@@ -18,15 +20,16 @@ from pyspark.sql import functions as F
 
 from spoor.llm.common import draw, store
 
-# Labelled findings of each class that the forest is trained on, those of least hash.
+# Labelled findings of each kind that the forest is trained on, those of least hash.
 TRAIN_FINDINGS = 4_000
 # Words that count as dictionary: of at least four letters, in at least this share of all texts.
 DICTIONARY_SHARE = 0.001
-TREES, DEPTH = 20, 5
+TREES, DEPTH = 40, 6
 NEAR = 48  # characters on either side in which neighbouring words are read
 
 _NAME = r"token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|credential|bearer|private[_-]?key"
-_SET = r"(?:" + _NAME + r")[\"']?\s{0,3}[:=]\s{0,3}[\"']?"  # a credential's name and its assignment
+_MORE = r"(?:[_-]?(?:keys?|id|val(?:ue)?|token|string|base64))?"  # SECRET_KEY, token_value
+_SET = r"(?:" + _NAME + r")" + _MORE + r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?"  # a credential's name and its assignment
 _CHAR = r"[A-Za-z0-9+/=_.@-]"
 # A value ends before the next assignment of a list: a=..&b=.. or a=..,b=..
 _VALUE = rf"(?!-----BEGIN )(?:(?![&;,?|]{_CHAR}*?(?i:{_SET}))[^\s\"']){{6,}}+"
@@ -38,7 +41,7 @@ _RUN = rf"(?=[A-Za-z+/=_.@-]*+[0-9]){_CHAR}{{14,}}+"
 # Formats that say by themselves what they are: no name is needed.
 _KNOWN = (
     r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{36,}+|glpat-[A-Za-z0-9_-]{20,}+"
-    r"|xox[abeprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|[rs]k_live_[A-Za-z0-9]{16,}+|npm_[A-Za-z0-9]{36}"
+    r"|xox[abeprs]-[A-Za-z0-9-]{10,}+|AIza[A-Za-z0-9_-]{35}|[rs]k_live_[A-Za-z0-9]{16,}+|npm_[A-Za-z0-9]{36}|sk-(?:[a-z]{2,12}-)?[A-Za-z0-9_-]{20,}+"
     r"|eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 )
 _KNOWN = rf"(?<![A-Za-z0-9])(?:{_KNOWN})(?![A-Za-z0-9])"
@@ -54,6 +57,8 @@ _BLANKS = (
     r"(?i)^(?:[$%]?[{<(\[]|\$[A-Z_][A-Z0-9_]*+[;,)]*$|%[a-z_]+%|os\.|process\.|env[.(\[]|getenv|changeme|change[_-]me|placeholder|redacted"
     r"|your[_-]|example|x{6,}|\*{6,}|(?:null|none|true|false|undefined)[,;)}]*$)"
 )
+# Keys of manuals and made-up ones.
+_MADE_UP = r"(?i)example|sample|dummy|fake|changeme|(.)\1{20,}|0123456789|abcdefgh"
 # A call or an index in program text, or a name with its dots.
 _CODE = r"^[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)*+[\[(]|^[A-Za-z_]++(?:\.[A-Za-z_]++)++[,;)]*$"
 # Mail addresses; numbers, dates, versions, network addresses; UUIDs; paths of lower-case names.
@@ -66,7 +71,7 @@ _GAP = rf"(?s)(.*?)({_CANDIDATE}|\z)"
 
 FEATURES = [
     "length", "digits", "uppers", "lowers", "others", "hex", "transitions", "entropy", "covered",
-    "path_depth", "path_test", "named", "assigned", "quoted", "word_before", "word_after",
+    "path_depth", "path_test", "named", "assigned", "quoted", "word_before", "word_after", "known", "stand_in",
 ]
 
 
@@ -163,6 +168,8 @@ def add_features(findings: DataFrame, words: DataFrame | list[str], path: str) -
         "quoted": flag(F.col("before"), "[\"']$") * flag(F.col("after"), "^[\"']"),
         "word_before": flag(F.col("before"), r"\p{L}\s*$"),
         "word_after": flag(F.col("after"), r"^\s*\p{L}"),
+        "known": is_known(findings).cast("double"),
+        "stand_in": (value.rlike(_BLANKS) | value.rlike(_MADE_UP)).cast("double"),
     }
     return _add_covered(findings, words).withColumns(added)
 
@@ -178,18 +185,18 @@ def weak_label(findings: DataFrame) -> DataFrame:
 
     1: values of known formats, named or not, and random values under a credential's name: 16
     characters or more with at least 3 bits of entropy a character, or fewer, with a digit among
-    others, with 2.2; program text is neither. 0: placeholders, addresses, numbers and dates, UUIDs,
-    paths, digests that are called so and values mostly of dictionary words.
+    others, with 2.2; program text is neither. 0: placeholders and made-up keys, addresses, numbers
+    and dates, UUIDs, paths, digests that are called so and values mostly of dictionary words.
     """
     value, before = F.col("value"), F.col("before")
     given = (F.col("named") > 0) & (F.col("assigned") > 0)
     mixed = value.rlike("[0-9]") & value.rlike("[^0-9]")
     long = (F.col("length") >= 16) & (F.col("entropy") >= 3)
     short = (F.col("length") < 16) & (F.col("entropy") >= 2.2) & mixed
-    blank = value.rlike(_BLANKS)
+    blank = F.col("stand_in") > 0
     digest = before.rlike(_DIGEST_NAME) & value.rlike("^[0-9a-fA-F]{32,128}$")
     label = (
-        F.when(is_known(findings), 1.0)
+        F.when((F.col("known") > 0) & ~blank, 1.0)
         .when(blank | digest | (F.col("covered") >= 0.6), 0.0)
         .when(given & (long | short) & (F.col("covered") < 0.3) & ~value.rlike(_CODE), 1.0)
         .when(~given & value.rlike(_OTHER), 0.0)
@@ -200,45 +207,62 @@ def weak_label(findings: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, key: list[str], each: int = TRAIN_FINDINGS) -> RandomForestClassificationModel | None:
     """A forest from ``FEATURES`` and ``label`` (0 or 1), or None if one class has no finding.
 
-    The ``each`` findings of either class that are least by hash of ``key`` are used, so the sample
-    and with it the forest are the same each time.
+    Findings are of four kinds: of a known format or not, with either label. Of each the ``each`` ones
+    that are least by hash of ``key`` are used, so the sample and with it the forest are the same each
+    time; kinds weigh alike within their class, and classes alike, however rare one is.
     """
     columns = ["label", *FEATURES, *key]
-    some = [draw(labelled.filter(F.col("label") == c).select(*columns), each, *key) for c in (0.0, 1.0)]
-    sample = store(some[0].union(some[1]).coalesce(1).sortWithinPartitions("label", *key, *FEATURES), "labelled")
-    if sample.select("label").distinct().count() < 2:
+    drawn = None
+    for label in (0.0, 1.0):
+        for known in (0.0, 1.0):
+            kind = labelled.filter((F.col("label") == label) & (F.col("known") == known)).select(*columns)
+            some = draw(kind, each, *key)
+            drawn = some if drawn is None else drawn.union(some)
+    sample = store(drawn.coalesce(1).sortWithinPartitions("label", *key, *FEATURES), "labelled")
+    counts = [(r["label"], r["known"], r["count"]) for r in sample.groupBy("label", "known").count().collect()]
+    kinds = {label: sum(1 for other, _, _ in counts if other == label) for label, _, _ in counts}
+    if len(kinds) < 2:
         return None
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample)
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.7, featureSubsetStrategy="sqrt")
+    weight = F.lit(None).cast("double")
+    for label, known, n in counts:
+        weight = F.when((F.col("label") == label) & (F.col("known") == known), 1000.0 / (n * kinds[label])).otherwise(weight)
+    assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(sample.withColumn("weight", weight))
+    forest = RandomForestClassifier(
+        numTrees=TREES, maxDepth=DEPTH, seed=7, subsamplingRate=0.9, featureSubsetStrategy="0.6", weightCol="weight"
+    )
     return forest.fit(assembled)
 
 
 def score(findings: DataFrame, model: RandomForestClassificationModel | None) -> DataFrame:
     """Add ``score``, the forest's share of votes for a secret; without a forest the weak label.
 
-    Values of known formats are secrets whatever the votes. Undecided ones without a forest have 0.
+    Undecided findings without a forest have 0.
     """
     if model is None:
         return weak_label(findings).withColumn("score", F.coalesce("label", F.lit(0.0))).drop("label")
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(findings)
-    share = F.get(vector_to_array("probability"), F.lit(1))
-    voted = model.transform(assembled)
-    voted = voted.withColumn("score", F.when(is_known(voted), 1.0).otherwise(share))
+    voted = model.transform(assembled).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return voted.drop("features", "rawPrediction", "probability", "prediction")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = "source", labels: DataFrame | None = None) -> DataFrame:
     """doc_id, start, length, value, named, score, is_secret of every candidate in every text.
 
-    ``labels`` are labelled findings (``FEATURES``, ``label``, doc_id, start); without them the
-    candidates' weak labels are used, and those that have none are only judged. Null ids, null paths and repeated rows are scanned like
-    others; an empty table and one without candidates give no rows.
+    ``labels`` are labelled findings: ``FEATURES``, ``label`` (0 or 1), doc_id and start. The forest learns
+    from them, and a candidate at a labelled place has its label as score (of several the least).
+    Without them the candidates' weak labels are used, and those that have none are only judged.
+    Null ids, null paths and repeated rows are scanned like others; an empty table and one without
+    candidates give no rows.
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.col(f"`{path}`").alias("path"))
-    found = find_candidates(own, ["doc_id", "path"])
+    found = store(find_candidates(own, ["doc_id", "path"]), "candidates")
     findings = store(add_features(found, dictionary(own), "path"), "findings")
     model = train(weak_label(findings) if labels is None else labels, ["doc_id", "start"])
     scored = score(findings, model)
+    if labels is not None:
+        told = labels.groupBy(F.col("doc_id").alias("_id"), F.col("start").alias("_at")).agg(F.min("label").cast("double").alias("_told"))
+        scored = scored.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("start") == F.col("_at")), "left")
+        scored = scored.withColumn("score", F.coalesce("_told", "score"))
     return scored.select(
         "doc_id", "start", F.col("length").cast("long").alias("length"), "value", (F.col("named") > 0).alias("named"),
         F.round("score", 9).alias("score"), (F.col("score") >= 0.5).alias("is_secret"),

@@ -409,12 +409,14 @@ def test_secrets_are_told_from_other_findings(spark, odd_docs):
 
 
 def test_forest_learns_from_given_labels(spark):
-    rows = [(i, ("key" if i % 2 else "nr") + f"=A{i:015d}zQ{i % 7}", "p") for i in range(300)]
+    """Held-out findings are told apart by what the labelled ones teach: here, by the words beside them."""
+    rows = [(i, ("rotated" if i % 2 else "12:") + f" A{i * 7919:015d}zQ{i % 7} end", "p") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = secrets.add_features(secrets.find_candidates(docs, ["doc_id", "source"]), ["lorem"], "source")
-    labelled = found.withColumn("label", (F.col("start") % 2 == 0).cast("double"))
+    labelled = found.withColumn("label", (F.col("doc_id") % 2).cast("double"))
     model = secrets.train(labelled.filter("doc_id < 200"), ["doc_id", "start"])
-    assert model is None or secrets.score(labelled, model).count() == found.count()
+    judged = secrets.score(labelled.filter("doc_id >= 200"), model).collect()
+    assert len(judged) == 100 and all((r.score >= 0.5) == bool(r.label) for r in judged)
 
 
 # --- clashing names ----------------------------------------------------------------------------
