@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -73,6 +73,7 @@ _KEYS = "|".join(re.escape(k) for k in fixed.SENSITIVE_KEYS)
 _PAIR = rf'(?i)("(?:{_KEYS})"\s*:\s*)'
 # Possessive loops run without recursion in java.util.regex, whatever the length of the text.
 _STRING = r'"((?:[^"\\]++|\\.)*+)"'
+_STRING_TEXT = r'"(?:[^"\\]++|\\.)*+"'
 _SCALAR = r'(?:"(?:[^"\\]++|\\.)*+"|-?[0-9][0-9.eE+\-]*|true|false|null)'
 _TOKEN = re.compile(r'\s+|"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+')
 
@@ -116,32 +117,47 @@ def redact_keys(text: str) -> str:
     return "".join(out)
 
 
+def _nested(levels: int) -> str:
+    """An object or list of up to so many levels, read without going back and without recursion."""
+    inner = rf'[^{{}}\[\]"]++|{_STRING_TEXT}'
+    value = rf"[{{\[](?:{inner})*+[}}\]]"
+    for _ in range(levels - 1):
+        value = rf"[{{\[](?:{inner}|{value})*+[}}\]]"
+    return value
+
+
+# What a key holds. Only values nested deeper than this go through Python.
+NESTED_LEVELS = 12
+_VALUE = rf"(?:{_SCALAR}|{_nested(NESTED_LEVELS)})"
+
+
+@F.arrow_udf(T.StringType())
+def _redact_deep(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else redact_keys(t) for t in texts.to_pylist()], pa.string())
+
+
 def redact_json_keys(df: DataFrame, column: str) -> DataFrame:
     """R3. Redact sensitive JSON keys at any depth; text that is no JSON stays as it is.
 
-    Scalar values are replaced inside the JVM. Only rows where a sensitive key holds an object or
-    a list, or where keys may be written with escapes, pass through Python, in Arrow batches.
+    One pass: values are replaced inside the JVM, objects and lists as well. Only texts where a
+    sensitive key holds more than ``NESTED_LEVELS`` levels, or where keys may be written with
+    escapes, are handed to Python.
     """
-    valid = is_one_json(F.col(column))
+    valid = F.coalesce(is_one_json(F.col(column)), F.lit(False))
     # All strings in turn, the keys among them told by the colon that follows; linear in the text.
     keys = F.arrays_zip(
         F.regexp_extract_all(column, F.lit(_STRING + r"(\s*+:)?+"), F.lit(1)).alias("text"),
         F.regexp_extract_all(column, F.lit(_STRING + r"(\s*+:)?+"), F.lit(2)).alias("colon"),
     )
     escaped = F.exists(keys, lambda k: (k["colon"] != "") & k["text"].contains("\\u"))
-    hard = valid & (F.col(column).rlike(_PAIR + r"[\{\[]") | (F.col(column).contains("\\u") & escaped))
-    hard = F.coalesce(hard, F.lit(False))
-    easy = F.when(valid, F.regexp_replace(column, _PAIR + _SCALAR, f'$1"{fixed.REDACTED}"')).otherwise(F.col(column))
-    position = df.columns.index(column)
-    schema = T.StructType(df.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([redact_keys(t) for t in batch.column(position).to_pylist()], pa.string())
-            columns = [texts if i == position else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return df.filter(~hard).withColumn(column, easy).unionByName(df.filter(hard).mapInArrow(run, schema))
+    once = F.when(valid, F.regexp_replace(column, _PAIR + _VALUE, f'$1"{fixed.REDACTED}"')).otherwise(F.col(column))
+    told = df.withColumn("__valid", valid).withColumn("__once", once)
+    left = F.col("__once").rlike(_PAIR + r"[\{\[]") | (F.col(column).contains("\\u") & escaped)
+    told = told.withColumn("__hard", F.when(F.col("__valid") & left, F.col(column)))
+    # Texts that need no Python are null to it.
+    deep = _redact_deep(F.col("__hard"))
+    done = F.when(F.col("__hard").isNotNull(), deep).otherwise(F.col("__once"))
+    return told.withColumn(column, done).select(*df.columns)
 
 
 def redaction_report(df: DataFrame, column: str, extra: Patterns = ()) -> DataFrame:

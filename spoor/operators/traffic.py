@@ -77,10 +77,22 @@ def version_metrics(versions: DataFrame) -> DataFrame:
     )
 
 
+def _percent(column: str) -> Column:
+    return F.concat(F.round(F.col(column) * 100).cast("long").cast("string"), F.lit("%"))
+
+
+def _two_places(value: Column) -> Column:
+    return F.round(value, 2).cast("decimal(18,2)").cast("string")
+
+
+def _told(sign: str, *figures: str | Column) -> Column:
+    return F.concat(F.lit(f"{sign}: "), F.concat_ws(" ", *[F.lit(f) if isinstance(f, str) else f for f in figures]))
+
+
 def traffic_verdict(
     metrics: DataFrame, versions: DataFrame | None = None, mirrors: DataFrame | None = None, entities: DataFrame | None = None
 ) -> DataFrame:
-    """T5. Weigh machine against human signs; votes, label and the signs seen.
+    """T5. Weigh machine against human signs; votes, label and the signs seen, with their figures.
 
     ``versions``: T4; ``mirrors``: entity, mirror_fraction; ``entities``: all entities, so that
     those without data are reported too.
@@ -93,30 +105,31 @@ def traffic_verdict(
         rows = rows.join(mirrors, "entity", "left")
     ratio, rhythm = F.col("weekend_weekday_ratio"), F.col("weekday_per_day") != 0
     low, high = fixed.FLAT_WEEK
+    week = F.concat(F.lit("weekend to weekday "), _two_places(ratio))
     signs = [
-        (F.col("spike_share") >= 0.5, "machine", "same-day spikes"),
-        (~rhythm, "none", "no weekday baseline"),
-        (rhythm & ratio.between(low, high), "machine", "flat week"),
-        (rhythm & ~ratio.between(low, high) & (ratio < fixed.HUMAN_WEEKDAY_RATIO), "human", "weekday-skewed"),
-        (F.col("zero_days") > 0, "machine", "zero days"),
+        (F.col("spike_share") >= 0.5, "machine", _told("same-day spikes", _percent("spike_share"), "from", _two_places(F.col("spike_threshold")), "a day")),
+        (~rhythm, "none", F.lit("no weekday baseline")),
+        (rhythm & ratio.between(low, high), "machine", _told("flat week", week)),
+        (rhythm & ~ratio.between(low, high) & (ratio < fixed.HUMAN_WEEKDAY_RATIO), "human", _told("weekday-skewed", week)),
+        (F.col("zero_days") > 0, "machine", _told("zero days", F.col("zero_days").cast("string"))),
     ]
     if versions is not None:
         signs += [
-            (F.col("prerelease_versions") > 0, "machine", "pre-releases drawing downloads"),
-            (F.col("top_share") < 0.5, "machine", "smeared over versions"),
-            (F.col("top_share") >= 0.5, "human", "concentrated on one version"),
+            (F.col("prerelease_versions") > 0, "machine", _told("pre-releases drawing downloads", F.col("prerelease_versions").cast("string"))),
+            (F.col("top_share") < 0.5, "machine", _told("smeared over versions", "top one", _percent("top_share"))),
+            (F.col("top_share") >= 0.5, "human", _told("concentrated on one version", F.col("top_version"), _percent("top_share"))),
         ]
     if mirrors is not None:
         signs += [
-            (F.col("mirror_fraction") >= 0.5, "machine", "mostly mirrors"),
-            (F.col("mirror_fraction") < 0.5, "none", "mirror share"),
+            (F.col("mirror_fraction") >= 0.5, "machine", _told("mostly mirrors", _percent("mirror_fraction"))),
+            (F.col("mirror_fraction") < 0.5, "none", _told("mirror share", _percent("mirror_fraction"))),
         ]
 
     def votes(side: str) -> Column:
         one = [F.when(F.coalesce(cond, F.lit(False)), 1).otherwise(0) for cond, s, _ in signs if s == side]
         return F.when(no_data, F.lit(0)).otherwise(sum(one, F.lit(0))).cast("long")
 
-    seen = F.concat_ws("; ", *[F.when(F.coalesce(cond, F.lit(False)), F.lit(text)) for cond, _, text in signs])
+    seen = F.concat_ws("; ", *[F.when(F.coalesce(cond, F.lit(False)), text) for cond, _, text in signs])
     rows = rows.withColumn("machine_votes", votes("machine")).withColumn("human_votes", votes("human"))
     label = first_of(
         [

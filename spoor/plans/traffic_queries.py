@@ -120,10 +120,10 @@ _FLAG = "CASE entity WHEN '1-URGENT' THEN 'A' WHEN '2-HIGH' THEN 'N' WHEN '3-MED
     "CASE WHEN total IS NULL THEN 0 ELSE cast(coalesce(rhythm AND NOT flat AND weekend_weekday_ratio < 0.7, false) as int) + cast(coalesce(top_share >= 0.5, false) as int) END AS human FROM s) "
     f"SELECT name AS entity, cast(machine as bigint) AS machine_votes, cast(human as bigint) AS human_votes, CASE WHEN total IS NULL THEN '{fixed.NO_DATA_LABEL}' WHEN machine > human THEN '{fixed.MACHINE_LABEL}' "
     f"WHEN human > machine THEN '{fixed.HUMAN_LABEL}' ELSE '{fixed.MIXED_LABEL}' END AS label, CASE WHEN total IS NULL THEN 'no downloads recorded in the window' ELSE concat_ws('; ', "
-    "CASE WHEN spike_share >= 0.5 THEN 'same-day spikes' END, CASE WHEN NOT rhythm THEN 'no weekday baseline' END, CASE WHEN rhythm AND flat THEN 'flat week' END, "
-    "CASE WHEN rhythm AND NOT flat AND weekend_weekday_ratio < 0.7 THEN 'weekday-skewed' END, CASE WHEN zero_days > 0 THEN 'zero days' END, "
-    "CASE WHEN prerelease_versions > 0 THEN 'pre-releases drawing downloads' END, CASE WHEN top_share < 0.5 THEN 'smeared over versions' END, CASE WHEN top_share >= 0.5 THEN 'concentrated on one version' END, "
-    "CASE WHEN mirror_fraction >= 0.5 THEN 'mostly mirrors' WHEN mirror_fraction < 0.5 THEN 'mirror share' END) END AS reasons FROM v",
+    "CASE WHEN spike_share >= 0.5 THEN 'same-day spikes: ' || cast(cast(round(spike_share * 100) as bigint) as string) || '% from ' || cast(cast(round(spike_threshold, 2) as decimal(18,2)) as string) || ' a day' END, CASE WHEN NOT rhythm THEN 'no weekday baseline' END, CASE WHEN rhythm AND flat THEN 'flat week: weekend to weekday ' || cast(cast(round(weekend_weekday_ratio, 2) as decimal(18,2)) as string) END, "
+    "CASE WHEN rhythm AND NOT flat AND weekend_weekday_ratio < 0.7 THEN 'weekday-skewed: weekend to weekday ' || cast(cast(round(weekend_weekday_ratio, 2) as decimal(18,2)) as string) END, CASE WHEN zero_days > 0 THEN 'zero days: ' || cast(zero_days as string) END, "
+    "CASE WHEN prerelease_versions > 0 THEN 'pre-releases drawing downloads: ' || cast(prerelease_versions as string) END, CASE WHEN top_share < 0.5 THEN 'smeared over versions: top one ' || cast(cast(round(top_share * 100) as bigint) as string) || '%' END, CASE WHEN top_share >= 0.5 THEN 'concentrated on one version: ' || top_version || ' ' || cast(cast(round(top_share * 100) as bigint) as string) || '%' END, "
+    "CASE WHEN mirror_fraction >= 0.5 THEN 'mostly mirrors: ' || cast(cast(round(mirror_fraction * 100) as bigint) as string) || '%' WHEN mirror_fraction < 0.5 THEN 'mirror share: ' || cast(cast(round(mirror_fraction * 100) as bigint) as string) || '%' END) END AS reasons FROM v",
 )
 def traffic_verdict(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
