@@ -115,6 +115,11 @@ def is_one_json(text: Column) -> Column:
     return F.coalesce(F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1, F.lit(False))
 
 
+def is_json_text(text: Column) -> Column:
+    """Like ``is_one_json``, but an object may name a key twice, which JSON does not forbid."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 def canonical_uri(raw: Column) -> Column:
     """scheme://host/path in lower-case scheme and host, without query, fragment, end slashes.
 

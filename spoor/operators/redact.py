@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor.functions import fixed
-from spoor.functions.exprs import is_one_json
+from spoor.functions.exprs import is_json_text
 
 Patterns = Sequence[tuple[str, str]]
 
@@ -143,7 +143,7 @@ def redact_json_keys(df: DataFrame, column: str) -> DataFrame:
     sensitive key holds more than ``NESTED_LEVELS`` levels, or where keys may be written with
     escapes, are handed to Python.
     """
-    valid = F.coalesce(is_one_json(F.col(column)), F.lit(False))
+    valid = is_json_text(F.col(column))
     # All strings in turn, the keys among them told by the colon that follows; linear in the text.
     keys = F.arrays_zip(
         F.regexp_extract_all(column, F.lit(_STRING + r"(\s*+:)?+"), F.lit(1)).alias("text"),
