@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from spoor.functions import fixed
 from spoor.functions.exprs import any_of, first_of, fixed_table, glob_to_regex
 from spoor.functions.exprs import canonical_uri as canonical_uri_expr
+from spoor.operators.policy_index import compile_rules, evaluate_by_index
 
 
 def taxonomy_table(spark: SparkSession) -> DataFrame:
@@ -115,18 +116,28 @@ def score_risk(df: DataFrame, tool: str = "tool_name", arguments: str | None = "
 _RULE_FIELDS = ("name", "description", "enabled", "tool_pattern", "server_pattern", "operation_types", "min_risk_score", "action")
 
 
-# Rules become one expression, so there is a limit to how many a plan can hold.
-MOST_RULES = 1000
+# So many rules become one expression over the row; more are looked up by an index.
+MOST_RULES = 200
+_RULE_TABLE = (
+    "rule_order long, name string, description string, enabled boolean, tool_pattern string, server_pattern string, "
+    "operation_types array<string>, min_risk_score int, action string"
+)
 
 
-def _rules(rules: DataFrame | Sequence[Mapping]) -> list[dict]:
-    """Policy rules are configuration; a table of them is read once, in rule order."""
+def _rules(rules: DataFrame | Sequence[Mapping]) -> list[dict] | None:
+    """The rules in order, or None if they are too many for one expression."""
     if isinstance(rules, DataFrame):
         rows = rules.orderBy("rule_order").limit(MOST_RULES + 1).collect()
-        if len(rows) > MOST_RULES:
-            raise ValueError(f"more than {MOST_RULES} policy rules; this is configuration, not data")
         rules = [row.asDict() for row in rows]
-    return [{f: rule.get(f) for f in _RULE_FIELDS} for rule in rules]
+    return None if len(rules) > MOST_RULES else [{f: rule.get(f) for f in _RULE_FIELDS} for rule in rules]
+
+
+def rule_table(spark: SparkSession, rules: DataFrame | Sequence[Mapping]) -> DataFrame:
+    """Rules as a table; a list's order becomes their ``rule_order``."""
+    if isinstance(rules, DataFrame):
+        return rules
+    names = [part.split()[0] for part in _RULE_TABLE.split(", ")]
+    return spark.createDataFrame([tuple({**r, "rule_order": i}.get(n) for n in names) for i, r in enumerate(rules)], _RULE_TABLE)
 
 
 def _rule_problem(rule: Mapping) -> str | None:
@@ -155,11 +166,15 @@ def _rule_matches(rule: Mapping, call: Column) -> Column:
 def evaluate_policy(df: DataFrame, rules: DataFrame | Sequence[Mapping] = fixed.DEFAULT_RULES) -> DataFrame:
     """C6. The most restrictive matching rule, the earliest among equals; no match passes.
 
-    The rules become one CASE over each row, most severe first, so nothing is joined or shuffled.
-    Takes tool_name, server, operation_type and risk_score, each of which the CASE sees as a value:
+    Up to ``MOST_RULES`` rules become one CASE over each row, most severe first, so nothing is joined or
+    shuffled; more are looked up by an index of their patterns, with the same result. Takes
+    tool_name, server, operation_type and risk_score, each of which the CASE sees as a value:
     however many rules there are, the score's own expression stands in the plan once.
     """
-    live = [r for r in _rules(rules) if _rule_problem(r) is None and r["action"] != "pass"]
+    few = _rules(rules)
+    if few is None:
+        return evaluate_by_index(df, rule_table(df.sparkSession, rules))
+    live = [r for r in few if _rule_problem(r) is None and r["action"] != "pass"]
     # sorted() keeps the rule order among equal severities.
     live = sorted(live, key=lambda r: -fixed.POLICY_ACTIONS.index(r["action"]))
     call = F.struct(
@@ -192,8 +207,11 @@ def evaluate_policy(df: DataFrame, rules: DataFrame | Sequence[Mapping] = fixed.
 
 
 def validate_rules(spark: SparkSession, rules: DataFrame | Sequence[Mapping]) -> DataFrame:
-    """C7. Each rule with the reason it is off, if any."""
-    rows = [(i, r["name"], r["action"], _rule_problem(r)) for i, r in enumerate(_rules(rules))]
+    """C7. Each rule with the reason it is off, if any; of many rules in a table with their own order."""
+    few = _rules(rules)
+    if few is None:
+        return compile_rules(rule_table(spark, rules)).select(F.col("rule_order").cast("long").alias("rule_order"), "name", "action", "problem")
+    rows = [(i, r["name"], r["action"], _rule_problem(r)) for i, r in enumerate(few)]
     return fixed_table(spark, rows, "rule_order long, name string, action string, problem string")
 
 

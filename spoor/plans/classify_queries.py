@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spoor.functions import fixed
 from spoor.functions.exprs import fixed_table
 from spoor.operators import classify as C
+from spoor.operators.policy_index import evaluate_by_index
 from spoor.plans import demo
 from spoor.plans.demo import with_views
 from spoor.plans.registry import query
@@ -151,16 +152,15 @@ _POLICY = (
 )
 
 
-@query(
-    "C6",
-    with_views(
-        "trail",
-        "SELECT id, risk_score, policy_rule, CASE split_part(policy_rule, '_', 1) WHEN 'block' THEN 'block' WHEN 'pause' THEN 'pause' WHEN 'flag' THEN 'flag' ELSE 'pass' END AS policy_action "
-        f"FROM (SELECT id, risk_score, {_POLICY} AS policy_rule FROM scored) p",
-        scored=_SCORED.replace(f"{_TOOL} AS tool", f"CASE WHEN k % 10 = 3 THEN 'delete_auth_key' ELSE {_TOOL} END AS tool"),
-    ),
+_POLICY_ORACLE = with_views(
+    "trail",
+    "SELECT id, risk_score, policy_rule, CASE split_part(policy_rule, '_', 1) WHEN 'block' THEN 'block' WHEN 'pause' THEN 'pause' WHEN 'flag' THEN 'flag' ELSE 'pass' END AS policy_action "
+    f"FROM (SELECT id, risk_score, {_POLICY} AS policy_rule FROM scored) p",
+    scored=_SCORED.replace(f"{_TOOL} AS tool", f"CASE WHEN k % 10 = 3 THEN 'delete_auth_key' ELSE {_TOOL} END AS tool"),
 )
-def evaluate_policy(spark, sf):
+
+
+def scored_calls(spark, sf):
     scored = C.score_risk(
         demo.trail(spark, sf).selectExpr(
             "id",
@@ -169,8 +169,19 @@ def evaluate_policy(spark, sf):
             "CASE WHEN k % 4 = 0 THEN 'Postgres-' || channel ELSE channel END AS server",
         )
     )
-    judged = C.evaluate_policy(C.operation_type(scored))
-    return judged.select("id", "risk_score", "policy_rule", "policy_action")
+    return C.operation_type(scored)
+
+
+@query("C6", _POLICY_ORACLE)
+def evaluate_policy(spark, sf):
+    return C.evaluate_policy(scored_calls(spark, sf)).select("id", "risk_score", "policy_rule", "policy_action")
+
+
+@query("C6", _POLICY_ORACLE)
+def evaluate_policy_by_index(spark, sf):
+    """The plan that very many rules get."""
+    rules = C.rule_table(spark, fixed.DEFAULT_RULES)
+    return evaluate_by_index(scored_calls(spark, sf), rules).select("id", "risk_score", "policy_rule", "policy_action")
 
 
 HYGIENE_RULES = (
