@@ -124,6 +124,31 @@ def turn_overlaps(turns: DataFrame, gap_seconds: int) -> DataFrame:
     )
 
 
+def overlap_counts(turns: DataFrame, slice_rows: int | None = None) -> DataFrame:
+    """G6. For each agent's turn on a resource: its span and how many spans of other agents overlap it.
+
+    A sweep: starts and ends in order, with running counts of both. What overlaps a span are all that
+    start before it ends less all that end before it starts, so a resource costs two rows a span
+    however many agents share it, and no two spans meet. Takes ``assign_turns`` output.
+    """
+    touches = _touches(turns).withColumn("__us", micros(F.col("ts")))
+    span = (*RESOURCE, "agent_id", "turn")
+    spans = touches.groupBy(*span).agg(F.min("__us").alias("lo"), F.max("__us").alias("hi"))
+    # At one instant starts come first: spans that only touch overlap.
+    edges = F.array(
+        F.struct(F.col("lo").alias("at"), F.lit(0).alias("ends")), F.struct(F.col("hi").alias("at"), F.lit(1).alias("ends"))
+    )
+    events = spans.select(*span, F.inline(edges))
+    order = ("at", "ends", "agent_id", "turn")
+    starts, ends = (1 - F.col("ends")).cast("long"), F.col("ends").cast("long")
+    events = along(events, RESOURCE, order, running={"__starts": starts, "__ends": ends}, slice_rows=slice_rows)
+    events = along(events, (*RESOURCE, "agent_id"), order, running={"__own_starts": starts, "__own_ends": ends}, slice_rows=slice_rows)
+    others = F.when(F.col("ends") == 1, F.col("__starts") - F.col("__own_starts")).otherwise(F.col("__own_ends") - F.col("__ends"))
+    found = events.groupBy(*span).agg(F.min("at").alias("__lo"), F.max("at").alias("__hi"), F.sum(others).alias("overlaps"))
+    instant = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return found.select(*span, instant("__lo").alias("first_ts"), instant("__hi").alias("last_ts"), "overlaps")
+
+
 def contended_resources(df: DataFrame, k: int) -> DataFrame:
     """G7. The ``k`` resources touched by the most agents, at least two."""
     return (

@@ -91,6 +91,20 @@ def turn_overlaps(spark, sf):
     return G.turn_overlaps(G.assign_turns(demo.trail(spark, sf), 43200), 43200)
 
 
+@query(
+    "G6",
+    with_views(
+        "trail",
+        "SELECT a.session_id, a.resource, a.agent_id, a.turn, a.lo AS first_ts, a.hi AS last_ts, count(b.agent_id) AS overlaps FROM spans a LEFT JOIN spans b ON a.session_id = b.session_id "
+        "AND a.resource = b.resource AND a.agent_id <> b.agent_id AND a.lo <= b.hi AND b.lo <= a.hi GROUP BY ALL",
+        turns=_TURNS.replace(f"{GAP}000000", "43200000000"),
+        spans="SELECT session_id, resource, agent_id, turn, min(ts) AS lo, max(ts) AS hi FROM turns WHERE resource <> '' GROUP BY 1, 2, 3, 4",
+    ),
+)
+def overlap_counts(spark, sf):
+    return G.overlap_counts(G.assign_turns(demo.trail(spark, sf), 43200))
+
+
 @query(
     "G7",
     with_views(

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from spoor.functions import fixed
 from spoor.operators.stats import OUTCOMES
@@ -415,6 +415,15 @@ def stream_drops(source: DataFrame, width: str = "1 day", late: str = "10 minute
     )
 
 
+def rows_behind_watermark(query: StreamingQuery) -> int:
+    """Rows that X5 to X8 left out as too late, over the batches the query still remembers.
+
+    They are in the stored trail; the batch operators over it count them.
+    """
+    operators = [op for progress in query.recentProgress for op in progress["stateOperators"]]
+    return sum(op["numRowsDroppedByWatermark"] for op in operators)
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Drive a stream over all that is available and read what it wrote."""
     spark = stream.sparkSession

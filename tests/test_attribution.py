@@ -77,6 +77,21 @@ def test_turn_overlaps(trail, events, gap):
                 want[s, r, a, b] = want.get((s, r, a, b), 0) + 1
     got = {tuple(r)[:4]: r.overlaps for r in G.turn_overlaps(G.assign_turns(trail, gap), gap).collect()}
     assert got == want
+    counted = {k: sum(k[:2] == o[:2] and k[2] != o[2] and v[0] <= w[1] and w[0] <= v[1] for o, w in spans.items()) for k, v in spans.items()}
+    for slice_rows in (None, 60):
+        out = G.overlap_counts(G.assign_turns(trail, gap), slice_rows)
+        assert {tuple(r)[:4]: r.overlaps for r in out.collect()} == counted
+
+
+def test_overlaps_of_a_crowded_resource_cost_its_rows(spark):
+    """10,000 agents at once on one resource: a row each, where pairs would be fifty million."""
+    turns = spark.range(10_000).selectExpr(
+        "concat('t', id) AS id", "'s' AS session_id", "'r' AS resource", "concat('a', id) AS agent_id", "1L AS turn", "'c' AS chain_id",
+        "id AS sequence", "'x' AS action_type", "timestamp_ntz '2024-01-01' AS ts",
+    )
+    got = G.overlap_counts(turns).groupBy("overlaps").count().collect()
+    assert [tuple(r) for r in got] == [(9_999, 10_000)]
+
 
 
 def test_co_turn(trail, events):

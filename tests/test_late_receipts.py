@@ -6,6 +6,7 @@ import pytest
 
 from spoor.streaming import streams as X
 
+START = dt.datetime(2024, 1, 1)
 SCHEMA = "chain_id string, sequence long, id string, previous_receipt_hash string, receipt_hash string, ts timestamp_ntz"
 
 
@@ -58,3 +59,15 @@ def test_an_older_receipt_does_not_shorten_the_wait(spark, tmp_path):
     source = X.follow(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
     out = X.run_to_table(X.stream_chain_head(source, 3_600_000, late="10 minutes"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert {r.id: r.verdict for r in out.collect()} == {r[2]: "ok" for rows in batches for r in rows}
+
+
+def test_rows_left_out_as_too_late_are_counted(spark, tmp_path):
+    path, seen = str(tmp_path / "in"), []
+    for hours in ((0, 0.1), (48,), (49,), (1, 2, 49.5)):
+        rows = [(START + dt.timedelta(hours=h), "accepted") for h in hours]
+        spark.createDataFrame(rows, "ts timestamp_ntz, outcome string").coalesce(1).write.mode("append").parquet(path)
+    source = X.follow(spark, path, spark.read.parquet(path).schema, files_per_trigger=1)
+    query = X.stream_rates(source).writeStream.foreachBatch(lambda df, _: seen.extend(df.collect()))
+    query = query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert X.rows_behind_watermark(query) == 2 and sum(r.accepted for r in seen) == 3
