@@ -21,5 +21,5 @@ def test_each_operator_has_a_query():
 
     found = entry.queries()
     assert "pipeline" in found
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(QUERIES) <= set(found) and set(ORACLES) <= set(entry.oracle_sql())
