@@ -33,6 +33,12 @@ def with_columns_last(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low], *[v.alias(n) for n, v in added.items()])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that can be hashed, so that rows numbered by it get the same numbers again."""
+    plain = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(f"`{c}`") for c in plain]) if plain else F.lit(0).cast("long")
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

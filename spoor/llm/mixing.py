@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import free_name, free_prefix, store
+from spoor.llm.common import free_name, free_prefix, row_hash, store
 from spoor.llm.slices import SLICE_ROWS, even_hash, run_along, slice_of
 
 MOST_REPEATS = 3
@@ -214,7 +214,7 @@ def mix_documents(docs: DataFrame, schedules_of, most: int = MOST_REPEATS) -> Da
     if not sized.groupBy(*on).count().filter("count > 1").isEmpty():
         # Rows equal in these three are numbered, and so are their readings, to pair them.
         plan = plan.withColumn("nth", F.row_number().over(Window.partitionBy(*on).orderBy(F.to_json("takes"))))
-        rows = rows.withColumn(key["nth"], F.row_number().over(Window.partitionBy(*[key[c] for c in on]).orderBy(F.lit(0))))
+        rows = rows.withColumn(key["nth"], F.row_number().over(Window.partitionBy(*[key[c] for c in on]).orderBy(row_hash(docs))))
         on.append("nth")
     wish = free_prefix(docs.columns, "_wanted")
     wanted = plan.select(*[F.col(c).alias(f"{wish}_{c}") for c in [*on, "takes"]])

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spoor.llm.common import free_name, free_prefix, store
+from spoor.llm.common import free_name, free_prefix, row_hash, store
 from spoor.llm.slices import even_hash, run_along, slice_of
 
 SEED = 20260101
@@ -146,7 +146,7 @@ def shard_rows(
     if placed.filter(F.col("copy") > 1).isEmpty():
         on.remove("copy")
     else:
-        same = Window.partitionBy(*[names[c] for c in on[:-1]]).orderBy(F.lit(0))
+        same = Window.partitionBy(*[names[c] for c in on[:-1]]).orderBy(row_hash(docs.select(*[f"`{c}`" for c in kept])))
         rows = rows.withColumn(names["copy"], F.row_number().over(same).cast("long"))
     to = free_prefix(docs.columns, "_placed")
     right = placed.select(*[F.col(c).alias(f"{to}_{c}") for c in [*on, "shard", "slot"]])

@@ -22,7 +22,8 @@ def even_hash(*parts: Column) -> Column:
 
 def slice_of(hash_: Column, slices: Column) -> Column:
     """The slice of a row when its group has so many slices."""
-    return F.floor(hash_ / F.lit(float(1 << HASH_BITS)) * slices).cast("long")
+    # Hashes next to the end of the range are rounded up to it.
+    return F.least(F.floor(hash_ / F.lit(float(1 << HASH_BITS)) * slices).cast("long"), slices.cast("long") - 1)
 
 
 def run_along(
