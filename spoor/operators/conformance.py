@@ -17,7 +17,8 @@ _RULES = (
     "parent string, field string, kind string, pattern int, one_of array<string>, minimum long, min_length int, is_time boolean, "
     "min_items int, max_items int"
 )
-_PATTERNS = sorted({rules["pattern"] for fields in known.OBJECTS.values() for _, rules in fields.values() if "pattern" in rules})
+_ALL_FIELDS = [*known.OBJECTS.values(), *known.ELEMENTS.values()]
+_PATTERNS = sorted({rules["pattern"] for fields in _ALL_FIELDS for _, rules in fields.values() if "pattern" in rules})
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 _NODE = "array<struct<parent:string,field:string,value:variant>>"
 _FINDING = "array<struct<path:string,rule:string>>"
@@ -94,7 +95,7 @@ def _conditions(document: Column) -> list[tuple[str, str, Column]]:
     there = lambda path: F.try_variant_get(document, _at(path), "variant").isNotNull()
     bound = F.lit(None).cast("string")
     for version, context in fixed.VERSION_CONTEXT.items():
-        bound = F.when(text("version") == version, F.lit(known.CONTEXT_PREFIX + context)).otherwise(bound)
+        bound = F.when(text("version") == version, F.lit(context)).otherwise(bound)
     action, chain = f"{_SUBJECT}.action", f"{_SUBJECT}.chain"
     unknown = text(f"{action}.type") == fixed.UNKNOWN_ACTION
     sequence = F.try_variant_get(document, _at(f"{chain}.sequence"), "double")
@@ -102,7 +103,7 @@ def _conditions(document: Column) -> list[tuple[str, str, Column]]:
     is_null = F.schema_of_variant(previous) == "VOID"
     second = F.get(F.try_variant_get(document, _at("@context"), "array<string>"), F.lit(1))
     return [
-        ("@context", "version_binding", second != bound),
+        ("@context", "version_binding", F.substring_index(second, "/", -1) != bound),
         (f"{action}.target", "required", unknown & ~there(f"{action}.target")),
         (f"{action}.target.system", "required", unknown & there(f"{action}.target") & ~there(f"{action}.target.system")),
         (f"{chain}.previous_receipt_hash", "null_at_start", (sequence == 1) & previous.isNotNull() & ~is_null),

@@ -11,9 +11,9 @@ HASH, URN = "sha256:" + "0a" * 32, "urn:receipt:00000000-0000-4000-8000-00000000
 AT = "2024-05-01T10:00:00Z"
 SEALED = {"v": "1", "alg": "hpke-x25519-hkdf-sha256-aes-256-gcm", "recipients": [{"kid": "k", "enc": "A" * 43}], "ct": "A" * 24}
 WHOLE = {
-    "@context": ["https://www.w3.org/ns/credentials/v2", "https://agentreceipts.ai/context/v3", "https://example.com/more"],
+    "@context": ["https://www.w3.org/ns/credentials/v2", "https://example.org/context/v3", "https://example.com/more"],
     "id": URN,
-    "type": ["VerifiableCredential", "AgentReceipt"],
+    "type": ["VerifiableCredential", "SampleReceipt"],
     "version": "0.6.0",
     "issuer": {"id": "did:a", "type": "AIAgent", "name": "n", "operator": {"id": "did:o", "name": "o"}, "model": "m",
                "session_id": "s", "runtime": {"agent_id": "a", "agent_type": "t", "free": {"x": 1}}},
@@ -80,9 +80,9 @@ def spoilt():
     subject = "credentialSubject"
     chain, action = f"{subject}.chain", f"{subject}.action"
     yield changed("", lambda o: o["type"].append("More")), [("type", "max_items")]
-    yield changed("", lambda o: o.update(type=["AgentReceipt", "VerifiableCredential"])), [("type[0]", "one_of"), ("type[1]", "one_of")]
+    yield changed("", lambda o: o.update(type=["SampleReceipt", "VerifiableCredential"])), [("type[0]", "one_of"), ("type[1]", "pattern")]
     yield changed("", lambda o: o["@context"].__setitem__(2, 5)), [("@context[*]", "type")]
-    yield changed("", lambda o: o["@context"].__setitem__(1, "https://agentreceipts.ai/context/v1")), [("@context", "version_binding")]
+    yield changed("", lambda o: o["@context"].__setitem__(1, "https://example.org/context/v1")), [("@context", "version_binding")]
     yield changed("", lambda o: o.update(version="0.4.0")), [("@context", "version_binding")]
     yield changed(f"{subject}.authorization", lambda o: o.update(scopes=["a", 1])), [(f"{subject}.authorization.scopes[*]", "type")]
     yield changed(action, lambda o: o.update(parameters_disclosure={"to": "a@b", "n": "1"})), []
