@@ -1,11 +1,13 @@
 """Ordered per-key computations that stay parallel when one key holds a large share of the rows.
 
-``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. For large inputs the
-functions here scan prefixes in a distributed way: rows are range-partitioned once on key and order,
-whole values of whatever type, so every slice has about as many rows, however many of them one key
-holds and however alike they are. Windows run inside a slice. Only the first and the last key of a
-slice can go on in another; these, two rows a slice at most, are summed up, scanned over the
-slices, and sent to all tasks, which add what came before. The result equals the plain window's.
+``Window.partitionBy(key).orderBy(...)`` puts a whole key into one task. In large inputs keys are
+counted first. Those of at most a slice's rows take the plain window: one shuffle, into tasks of about
+as many rows, and of those columns only that are used later. The others are scanned by prefixes in a
+distributed way: rows are range-partitioned once on key and order, whole values of whatever type, so
+every slice has about as many rows, however many of them one key holds and however alike they are.
+Windows run inside a slice. Only the first and the last key of a slice can go on in another; these,
+two rows a slice at most, are summed up, scanned over the slices, and sent to all tasks, which add
+what came before. The result equals the plain window's.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,7 +23,8 @@ from spoor.session import scratch_path
 
 # An input estimated below this fits one task whatever its keys, so slicing buys nothing.
 SMALL_INPUT_BYTES = 256 << 20
-SLICE_ROWS = 2_000_000
+# Rows of a slice, and about of a task; with documents beside them a few hundred megabytes.
+SLICE_ROWS = 250_000
 _NULL_KEY = "\u0000null"
 
 
@@ -41,9 +44,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
     size = estimated_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size <= (SMALL_INPUT_BYTES if limit is None else limit)
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """So many tasks that each gets about a slice's rows, and at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // SLICE_ROWS))
 
 
 def _ranged(df: DataFrame, ks: list[str], by: Sequence[str], slice_rows: int) -> DataFrame:
@@ -80,6 +88,7 @@ def along(
     next_seen: Mapping[str, Column] | None = None,
     lowest: Mapping[str, Column] | None = None,
     slice_rows: int | None = None,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add columns computed along ``by`` within ``keys``.
 
@@ -89,13 +98,50 @@ def along(
     over the whole key.
 
     ``by`` must end in a column unique within the key. ``slice_rows`` forces slicing; by default only
-    inputs that may not fit one task are sliced.
+    keys that may not fit one task are sliced. ``dealt``: the rows come from ``along`` with the same
+    keys, so another shuffle is left to Spark, which mostly needs none.
     """
-    lag, lead = dict(lag or {}), dict(lead or {})
-    running, last_seen, next_seen = dict(running or {}), dict(last_seen or {}), dict(next_seen or {})
-    lowest = dict(lowest or {})
-    sliced = slice_rows is not None or not is_small(df)
-
+    added = {
+        "position": position,
+        "total": total,
+        "lag": dict(lag or {}),
+        "lead": dict(lead or {}),
+        "running": dict(running or {}),
+        "last_seen": dict(last_seen or {}),
+        "next_seen": dict(next_seen or {}),
+        "lowest": dict(lowest or {}),
+    }
+    if slice_rows is not None or is_small(df):
+        return _along(df, keys, by, slice_rows=slice_rows, **added)
+    rows, large = _large_keys(df, keys)
+
+    def plain(part: DataFrame) -> DataFrame:
+        tasked = part if dealt else part.repartition(tasks_for(df.sparkSession, rows), *keys)
+        return _along(tasked, keys, by, slice_rows=None, **added)
+
+    if large is None:
+        return plain(df)
+    same = [F.col(key).eqNullSafe(F.col(held)) for key, held in zip(keys, large.columns)]
+    hot, rest = (df.join(F.broadcast(large), same, how) for how in ("left_semi", "left_anti"))
+    return plain(rest).unionByName(_along(hot, keys, by, slice_rows=SLICE_ROWS, **added))
+
+
+def _large_keys(df: DataFrame, keys: Sequence[str]) -> tuple[int, DataFrame | None]:
+    """How many rows there are, and the keys of more than a slice's; fewer than there are slices."""
+    held = [F.col(key).alias(f"_al_h{i}") for i, key in enumerate(keys)]
+    counts = df.groupBy(*held).agg(F.count(F.lit(1)).alias("_al_n"))
+    rows, most = counts.agg(F.sum("_al_n"), F.max("_al_n")).first()
+    if not rows or most <= SLICE_ROWS:
+        return rows or 0, None
+    path = scratch_path(df.sparkSession, "large")
+    large = counts.filter(F.col("_al_n") > SLICE_ROWS).drop("_al_n")
+    large.write.parquet(path)
+    return rows, df.sparkSession.read.schema(large.schema).parquet(path)
+
+
+def _along(df, keys, by, *, position, total, lag, lead, running, last_seen, next_seen, lowest, slice_rows):
+    """The plain window, or with ``slice_rows`` the sliced one."""
+    sliced = slice_rows is not None
     source = df
     for group in (running, last_seen, next_seen, lowest):
         for name, expr in group.items():
@@ -104,7 +150,7 @@ def along(
         ks = [f"_al_k{i}" for i in range(len(keys))]
         for k, key in zip(ks, keys):
             source = source.withColumn(k, F.coalesce(F.col(key).cast("string"), F.lit(_NULL_KEY)))
-        source = _ranged(source, ks, by, slice_rows or SLICE_ROWS)
+        source = _ranged(source, ks, by, slice_rows)
         part = [*ks, "_al_slice"]
     else:
         ks, part = list(keys), list(keys)
@@ -219,11 +265,12 @@ def fold_along(
     inputs: Sequence[str],
     outputs: T.StructType,
     step,
+    dealt: bool = False,
 ) -> DataFrame:
     """Add columns from a fold that must run in order, one row after another.
 
     ``step(state, *inputs)`` gets ``None`` as state at a key's first row and returns
-    ``(state, *outputs)``. Rows stream through each task in Arrow batches, so a key is never held
+    ``(state, *outputs)``. ``dealt``: whole keys lie in order in the partitions already. Rows stream through each task in Arrow batches, so a key is never held
     in memory as a whole.
     """
     schema = T.StructType([*df.schema.fields, *outputs.fields])
@@ -246,7 +293,7 @@ def fold_along(
             arrays = [*batch.columns, *(pa.array(r, t) for r, t in zip(results, out_types))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *by)
+    ordered = df if dealt else df.repartition(*keys).sortWithinPartitions(*keys, *by)
     return ordered.mapInArrow(run, schema)
 
 

@@ -33,7 +33,7 @@ def assign_turns(df: DataFrame, gap_seconds: int, slice_rows: int | None = None)
     timed = along(timed, who, IN_TIME, lag={"__before": "__us"}, slice_rows=slice_rows)
     starts = F.col("__before").isNull() | (F.col("__us") - F.col("__before") > gap_seconds * 1_000_000)
     return along(
-        timed, who, IN_TIME, running={"turn": starts.cast("long")}, slice_rows=slice_rows
+        timed, who, IN_TIME, running={"turn": starts.cast("long")}, slice_rows=slice_rows, dealt=True
     ).drop("__us", "__before")
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spoor.functions import fixed
-from spoor.functions.carry import along, fold_along
+from spoor.functions.carry import along, fold_along, tasks_for
 from spoor.functions.exprs import first_of, hash_content, receipt_hash
 from spoor.session import scratch_path
 
@@ -56,14 +56,20 @@ def seal_chains(
     sees more than a slice of a chain and a lost executor repeats one slice only.
     """
     spark = df.sparkSession
-    numbered = along(df, CHAIN, order, position="__seq")
-    numbered = numbered.withColumn("sequence", F.col("__seq")).drop("__seq")
-    numbered = numbered.withColumn("__content", hash_content(numbered, columns))
-    longest = df.groupBy(*CHAIN).count().agg(F.max("count")).first()[0] or 0
-    rounds = -(-longest // slice_rows)
+    counted, longest = df.groupBy(*CHAIN).count().agg(F.sum("count"), F.max("count")).first()
+    rounds = -(-(longest or 0) // slice_rows)
+
+    def with_content(numbered: DataFrame) -> DataFrame:
+        numbered = numbered.withColumn("sequence", F.col("__seq")).drop("__seq")
+        return numbered.withColumn("__content", hash_content(numbered, columns))
+
     if rounds <= 1:
-        rows = numbered.withColumn("__from", F.lit(None).cast("string"))
-        return _seal_rows(rows)
+        # Chains are dealt out once; numbering and sealing run in the same tasks.
+        place = F.row_number().over(Window.partitionBy(*CHAIN).orderBy(*order)).cast("long")
+        dealt = df.repartition(tasks_for(spark, counted or 0), *CHAIN)
+        rows = with_content(dealt.withColumn("__seq", place)).withColumn("__from", F.lit(None).cast("string"))
+        return _seal_rows(rows, dealt=True)
+    numbered = with_content(along(df, CHAIN, order, position="__seq"))
     # Numbered once; each round then reads its own folder only.
     path = scratch_path(spark, "sealed")
     turn_of = F.floor((F.col("sequence") - 1) / slice_rows)
@@ -81,8 +87,8 @@ def seal_chains(
     return spark.read.parquet(f"{path}/done").drop("turn")
 
 
-def _seal_rows(rows: DataFrame) -> DataFrame:
-    sealed = fold_along(rows, CHAIN, ("sequence",), ("__content", "__from"), _SEAL_OUTPUT, _seal_step)
+def _seal_rows(rows: DataFrame, dealt: bool = False) -> DataFrame:
+    sealed = fold_along(rows, CHAIN, ("sequence",), ("__content", "__from"), _SEAL_OUTPUT, _seal_step, dealt)
     return sealed.drop("__content", "__from")
 
 

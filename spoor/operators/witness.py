@@ -193,6 +193,7 @@ def provenance_verdicts(
             "__whole": F.col("status_problem").isNull() & ~F.col("follows_terminal"),
         },
         slice_rows=slice_rows,
+        dealt=True,
     )
     platform = F.coalesce(F.col("peer_platform"), F.lit(""))
     peer = first_of(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spoor.functions.carry import along, estimated_bytes, spread
+from spoor.functions.carry import along, spread
 from spoor.functions.exprs import HASH_COLUMNS
 from spoor.operators.integrity import seal_chains
 from spoor.plans.dialect import DUCK, SPARK, Dialect
@@ -179,8 +179,15 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 def build_trail(spark: SparkSession, sf: str, slice_rows: int | None = None) -> DataFrame:
     """The trail as a plan over ``events``; nothing is written."""
-    placed = along(
-        events(spark, sf),
+    return _widened(_placed(spark, sf, slice_rows))
+
+
+def _placed(spark: SparkSession, sf: str, slice_rows: int | None = None) -> DataFrame:
+    """The events of every user, so of every chain, in order and in the same task."""
+    source = events(spark, sf)
+    cores = spark.sparkContext.defaultParallelism
+    return along(
+        source.repartition(cores, "user_id"),
         ("user_id",),
         ("ts", "event_id"),
         position="sequence",
@@ -188,6 +195,9 @@ def build_trail(spark: SparkSession, sf: str, slice_rows: int | None = None) ->
         lag={"prev_event_id": "event_id"},
         slice_rows=slice_rows,
     ).select(*EVENT_COLUMNS)
+
+
+def _widened(placed: DataFrame) -> DataFrame:
     return placed.selectExpr(*EVENT_COLUMNS, *_select(_base_columns())).selectExpr(
         "*", *_select(_late_columns(SPARK))
     )
@@ -198,17 +208,21 @@ def build_sealed(trail: DataFrame, **options) -> DataFrame:
 
 
 def build_tampered(sealed: DataFrame) -> DataFrame:
-    """Deterministic edits on odd users: content, deletion, reorder, forged link, splice."""
-    d = SPARK
+    """Deterministic edits on odd users: content, deletion, reorder, forged link, splice.
+
+    Only the receipts that are spliced look up another chain's hash; no other row is shuffled.
+    """
+    kept = sealed.filter(f"NOT ({EDIT} AND event_id % 97 = 11)")
+    spliced = f"coalesce({EDIT} AND {SPLICE}, false)"
     heads = sealed.filter("sequence = 1").selectExpr("user_id + 1 AS user_id", "receipt_hash AS splice_hash")
-    return (
-        sealed.join(heads, "user_id", "left")
-        .filter(f"NOT ({EDIT} AND event_id % 97 = 11)")
-        .selectExpr(*tampered_columns(d, sealed.columns))
-    )
+    looked_up = kept.filter(spliced).join(heads.filter(SPLICED_USER), "user_id", "left")
+    others = kept.filter(f"NOT {spliced}").withColumn("splice_hash", F.lit(None).cast("string"))
+    return others.unionByName(looked_up).selectExpr(*tampered_columns(SPARK, sealed.columns))
 
 
 EDIT = "user_id % 2 = 1"
+SPLICED_USER = "user_id % 20 = 5"
+SPLICE = f"{SPLICED_USER} AND sequence = 3"
 
 
 def tampered_columns(d: Dialect, columns: list[str]) -> list[str]:
@@ -218,34 +232,25 @@ def tampered_columns(d: Dialect, columns: list[str]) -> list[str]:
         "grant_ref": f"CASE WHEN {EDIT} AND event_id % 67 = 19 THEN 'grant-forged' ELSE grant_ref END",
         "sequence": f"CASE WHEN {EDIT} AND event_id % 89 = 13 THEN sequence + 1 ELSE sequence END",
         "previous_receipt_hash": f"CASE WHEN {EDIT} AND event_id % 83 = 17 THEN 'sha256:' || {d.sha256(chr(39) + 'forged' + chr(39))} "
-        f"WHEN {EDIT} AND user_id % 20 = 5 AND sequence = 3 THEN splice_hash ELSE previous_receipt_hash END",
+        f"WHEN {EDIT} AND {SPLICE} THEN splice_hash ELSE previous_receipt_hash END",
     }
     out = [f"{changed[c]} AS {c}" if c in changed else c for c in columns]
     out.append(f"NOT ({EDIT} AND event_id % 61 = 7) AS signature_valid")
     return out
 
 
-FILE_BYTES = 256 << 20
-# A trail row takes about so many times the bytes of its event.
-WIDENING = 5
-
 _TABLES: dict[tuple[str, str, str], tuple[str, DataFrame]] = {}
 
 
 def _table(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Write a derived table once per session to the shared folder and read it back.
 
-    The layout is the one the trail sink uses: rows sorted by chain and sequence in every file,
-    so that row-group statistics prune.
+    A chain's rows lie together, in order of their first sequence, so that row-group statistics prune.
     """
     key = (spark.sparkContext.applicationId, sf.rstrip("/"), name)
     if key not in _TABLES:
         path = scratch_path(spark, name)
-        # From the size of the source; estimates behind a join multiply and mean nothing.
-        source = estimated_bytes(spark.read.parquet(f"{sf}/events.parquet")) or 0
-        files = max(spark.sparkContext.defaultParallelism, WIDENING * source // FILE_BYTES)
-        order = ("chain_id", "sequence")
-        build().repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(path)
+        build().write.parquet(path)
         _TABLES[key] = (path, spark.read.parquet(path))
     return _TABLES[key][1]
 
@@ -257,7 +262,9 @@ def table_path(spark: SparkSession, sf: str, name: str) -> str:
 
 
 def trail(spark: SparkSession, sf: str) -> DataFrame:
-    return _table(spark, sf, "trail", lambda: build_trail(spark, sf))
+    # Sorted while the rows are narrow.
+    order = (F.expr(chain_of("user_id")), "sequence")
+    return _table(spark, sf, "trail", lambda: _widened(_placed(spark, sf).sortWithinPartitions(*order)))
 
 
 def receipts(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spoor.functions import carry
 from spoor.functions.carry import along, fold_along
 
 
@@ -100,6 +101,35 @@ def test_a_sliced_plan_reads_and_shuffles_once(rows):
     assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_only_large_keys_of_a_large_input_are_sliced(rows, monkeypatch):
+    """Others take the plain window; nothing of theirs is written."""
+    plain = everything(rows)
+    columns = sorted(plain.columns)
+    want = sorted(map(repr, plain.select(columns).collect()))
+    monkeypatch.setattr(carry, "SMALL_INPUT_BYTES", 0)
+    sliced, ranged = [], carry._ranged
+
+    def counted(df, *args):
+        sliced.append(df.select("key").distinct().collect())
+        return ranged(df, *args)
+
+    monkeypatch.setattr(carry, "_ranged", counted)
+    for slice_rows, large in ((700, {"hot"}), (400, {"hot", "a", "b", "c", None}), (5000, None)):
+        monkeypatch.setattr(carry, "SLICE_ROWS", slice_rows)
+        sliced.clear()
+        got = sorted(map(repr, everything(rows).select(columns).collect()))
+        assert got == want
+        assert [{r.key for r in keys} for keys in sliced] == ([large] if large else [])
+
+
+def test_a_second_scan_along_the_same_keys_needs_no_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(carry, "SMALL_INPUT_BYTES", 0)
+    once = along(spark.range(500).selectExpr("id % 7 AS key", "id"), ["key"], ["id"], position="p")
+    twice = along(once, ["key"], ["p"], total="n", dealt=True)
+    plan = twice.select("id", "p", "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and twice.filter("n = 72 AND p <= 72").count() == 3 * 72
+
+
 def test_times_are_cut_like_numbers(spark):
     df = spark.range(400).select(
         F.lit("k").alias("key"),
