@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from spoor.sources import array_files
 from spoor.sources.array_files import read_array_files
 from spoor.sources.receipts import read_receipts
 
@@ -73,3 +74,30 @@ def test_one_large_file_is_read_by_many_tasks(spark, tmp_path, small_splits):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     assert spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions() > 30
     assert sorted(r.receipt_json for r in read_receipts(spark, str(tmp_path), "array").select("receipt_json").collect()) == sorted(docs)
+
+
+def test_only_a_row_or_two_a_range_are_scanned_in_order(spark, tmp_path, small_splits, monkeypatch):
+    docs = [f'{{"id":"{i}","x":[{"{}," * 20}{{}}]}}' for i in range(200)]
+    (tmp_path / "many.json").write_text("[" + ",".join(docs) + "]")
+    ranges = spark.read.option("lineSep", "}").text(str(tmp_path)).rdd.getNumPartitions()
+    scanned, along = [], array_files.along
+
+    def counted(df, *args, **how):
+        scanned.append(df.count())
+        return along(df, *args, **how)
+
+    monkeypatch.setattr(array_files, "along", counted)
+    assert sorted(r.receipt_json for r in read_array_files(spark, str(tmp_path)).collect()) == sorted(docs)
+    assert scanned and max(scanned) <= 2 * ranges < 200 * 22
+
+
+@pytest.mark.parametrize("batch", ["1", "3", "10000"])
+def test_any_batch_size_gives_the_same_documents(spark, tmp_path, small_splits, batch):
+    docs = list(documents(60, 9))
+    (tmp_path / "a.json").write_text("[" + ", ".join(docs) + "]", encoding="utf-8")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = sorted(r.receipt_json for r in read_array_files(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(docs)
