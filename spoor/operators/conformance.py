@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from spoor.functions import document_fields as known
 from spoor.functions import fixed
+from spoor.functions.exprs import any_of
 
 _RULES = (
     "parent string, field string, kind string, pattern int, one_of array<string>, minimum long, min_length int, is_time boolean, "
@@ -20,7 +21,6 @@ _RULES = (
 _ALL_FIELDS = [*known.OBJECTS.values(), *known.ELEMENTS.values()]
 _PATTERNS = sorted({rules["pattern"] for fields in _ALL_FIELDS for _, rules in fields.values() if "pattern" in rules})
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
-_NODE = "array<struct<parent:string,field:string,value:variant>>"
 _FINDING = "array<struct<path:string,rule:string>>"
 _SUBJECT = "credentialSubject"
 
@@ -52,41 +52,30 @@ def _is_sealed(entries: Column) -> Column:
     return F.exists(F.map_values(entries), lambda v: F.schema_of_variant(v) != "STRING")
 
 
-def _fields_of(path: str, entries: Column) -> Column:
-    node = lambda e: F.struct(F.lit(path).alias("parent"), e["key"].alias("field"), e["value"].alias("value"))
-    return F.transform(F.map_entries(entries), node)
+def _part(parent: str, entries=None, needed=None, elements=None, numbered=0, told=None) -> Column:
+    kinds = {"entries": "map<string,variant>", "needed": "array<string>", "elements": "array<variant>", "told": _FINDING}
+    given = {"entries": entries, "needed": needed, "elements": elements, "told": told}
+    held = [(F.lit(None) if c is None else c).cast(kinds[name]).alias(name) for name, c in given.items()]
+    return F.struct(F.lit(parent).alias("parent"), F.lit(numbered).alias("numbered"), *held)
 
 
-def _missing_of(path: str, entries: Column) -> Column:
-    needed = F.array(*[F.lit(f) for f in known.NEEDED[path]])
-    full = lambda f: F.concat(F.lit(path + "." if path else ""), f)
-    return F.transform(
-        F.array_except(needed, F.map_keys(entries)), lambda f: F.struct(full(f).alias("path"), F.lit("required").alias("rule"))
-    )
-
-
-def _elements_of(path: str, listed: Column, numbered: int) -> Column:
-    name = lambda i: F.when(i < numbered, i.cast("string")).otherwise("*")
-    return F.transform(
-        listed, lambda v, i: F.struct(F.lit(f"{path}[]").alias("parent"), name(i).alias("field"), v.alias("value"))
-    )
+def _parts(document: Column, objects: dict[str, Column], told: Column) -> Column:
+    """Each known object with the fields it needs, each known array, and what is told of the whole."""
+    parts = [_part("", told=told)]
+    for path, entries in objects.items():
+        needed = F.array(*[F.lit(f) for f in known.NEEDED.get(path, ())])
+        parts.append(F.when(entries.isNotNull(), _part(path, entries=entries, needed=needed)))
+    for path, fields in known.ELEMENTS.items():
+        listed = F.try_variant_get(document, _at(path), "array<variant>")
+        parts.append(_part(f"{path}[]", elements=listed, numbered=len(fields) - 1))
+    return F.array(*parts)
 
 
-def _nodes(document: Column) -> tuple[Column, Column]:
-    """All fields of all known objects and arrays, and the needed ones that are missing."""
-    nodes, missing = [], []
-    for path in known.OBJECTS:
-        entries = _map(document, path)
-        if path.startswith(known.PARAMETERS):
-            entries = F.when(_is_sealed(_map(document, known.PARAMETERS)), entries)
-        nodes.append(_fields_of(path, entries))
-        if path in known.NEEDED:
-            missing.append(_missing_of(path, entries))
-    for path, fields in known.ELEMENTS.items():
-        nodes.append(_elements_of(path, F.try_variant_get(document, _at(path), "array<variant>"), len(fields) - 1))
-    none = lambda kind: F.array().cast(kind)
-    joined = lambda parts, kind: F.concat(*[F.coalesce(p.cast(kind), none(kind)) for p in parts])
-    return joined(nodes, _NODE), joined(missing, _FINDING)
+def _with_missing() -> Column:
+    """The entries of a part and, with a null instead of a value, the needed ones that it misses."""
+    missing = F.array_except("needed", F.map_keys("entries"))
+    nulls = F.array_repeat(F.lit(None).cast("variant"), F.size(missing))
+    return F.when(F.size(missing) > 0, F.map_concat("entries", F.map_from_arrays(missing, nulls))).otherwise(F.col("entries"))
 
 
 def _conditions(document: Column) -> list[tuple[str, str, Column]]:
@@ -124,49 +113,66 @@ def document_violations(df: DataFrame, column: str = "receipt_json") -> DataFram
     rest = [c for c in df.columns if c != column]
     parsed = df.select(F.struct(*rest).alias("__row"), F.try_parse_json(column).alias("__doc"))
     doc = F.col("__doc")
-    nodes, missing = _nodes(doc)
-    is_object = F.coalesce(F.schema_of_variant(doc).startswith("OBJECT"), F.lit(False))
+    is_object = _map(doc, "").isNotNull()
     found = lambda path, rule: F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))
-    whole = F.array_compact(
-        F.array(F.when(~is_object, found("", "json")), *[F.when(is_object & broken, found(p, r)) for p, r, broken in _conditions(doc)])
-    )
-    # One row per document and field; the findings about whole objects come as fields of their own.
-    told = F.when(is_object, F.concat(whole, missing)).otherwise(whole)
-    as_nodes = F.transform(
-        told, lambda t: F.struct(t["path"].alias("parent"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("variant").alias("value"), t["rule"].alias("rule"))
-    )
-    fields = F.transform(
-        F.when(is_object, nodes).otherwise(F.array().cast(_NODE)),
-        lambda n: F.struct(n["parent"].alias("parent"), n["field"].alias("field"), n["value"].alias("value"), F.lit(None).cast("string").alias("rule")),
+    whole = F.array(F.when(~is_object, found("", "json")), *[F.when(is_object & broken, found(p, r)) for p, r, broken in _conditions(doc)])
+    seen = parsed.withColumns({"__sealed": _is_sealed(_map(doc, known.PARAMETERS)), "__told": F.array_compact(whole)})
+    # Objects are columns, because an expression that stands in several places is computed in each.
+    objects = {}
+    for path in known.OBJECTS:
+        entries = _map(doc, path)
+        objects[path] = F.when(F.col("__sealed"), entries) if path.startswith(known.PARAMETERS) else entries
+    names = {path: f"__o{i}" for i, path in enumerate(objects)}
+    held = seen.select("__row", "__doc", "__told", *[entries.alias(names[path]) for path, entries in objects.items()])
+    # A row per document and part, then one per field or finding. From here on all is generated code: a
+    # lambda would end that and copy the values.
+    parts = _parts(doc, {path: F.col(name) for path, name in names.items()}, F.col("__told"))
+    parts = held.select("__row", F.explode(parts).alias("part")).filter("part IS NOT NULL").select("__row", "part.*")
+    rows = parts.select("parent", "numbered", "elements", "told", "__row", F.explode_outer(_with_missing()).alias("key", "entry"))
+    rows = rows.select("*", F.posexplode_outer("elements").alias("at", "element"))
+    rows = rows.select("*", F.explode_outer("told").alias("finding"))
+    place = F.when(F.col("at") < F.col("numbered"), F.col("at").cast("string")).when(F.col("at").isNotNull(), "*")
+    is_missing = F.col("key").isNotNull() & F.col("entry").isNull()
+    rows = rows.filter("key IS NOT NULL OR at IS NOT NULL OR finding IS NOT NULL").select(
+        "__row",
+        F.coalesce("finding.path", "parent").alias("parent"),
+        F.coalesce("key", place).alias("field"),
+        F.coalesce("entry", "element").alias("value"),
+        F.when(is_missing, F.lit("required")).otherwise(F.col("finding.rule")).alias("rule"),
     )
-    rows = parsed.select("__row", F.inline(F.concat(as_nodes, fields)))
     # The table of fields is fixed, about 130 rows.
     rules = rule_table(spark).withColumnRenamed("parent", "__parent").withColumnRenamed("field", "__field")
     at = (F.col("parent") == F.col("__parent")) & (F.col("field") == F.col("__field"))
-    judged = rows.join(F.broadcast(rules), at, "left").select(
-        "__row", "parent", "field", F.explode(F.when(F.col("rule").isNotNull(), F.array("rule")).otherwise(_broken())).alias("rule")
+    # What several rules look at is a column too, and computed for the values that it concerns only.
+    looked_up = rows.join(F.broadcast(rules), at, "left").withColumn("is", F.schema_of_variant("value"))
+    looked_up = looked_up.withColumns(
+        {
+            "text": F.when(F.col("is") == "STRING", F.try_variant_get("value", "$", "string")),
+            "number": F.when(_is_numeric(), F.try_variant_get("value", "$", "double")),
+            "items": F.when(F.col("is").startswith("ARRAY"), F.size(F.try_variant_get("value", "$", "array<variant>"))),
+        }
     )
+    told = F.when(F.col("rule").isNotNull(), F.array("rule")).otherwise(_broken())
+    judged = looked_up.select("__row", "parent", "field", F.explode(told).alias("rule")).filter("rule IS NOT NULL")
     element = F.concat(F.regexp_replace("parent", r"\[\]$", "["), "field", F.lit("]"))
     inside = F.when(F.col("parent").endswith("[]"), element).when(F.col("parent") == "", F.col("field")).otherwise(F.concat_ws(".", "parent", "field"))
     path = F.when(F.col("field").isNull(), F.col("parent")).otherwise(inside)
     return judged.select("__row.*", path.alias("path"), "rule")
 
 
+def _is_numeric() -> Column:
+    return any_of(F.col("is"), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), "startswith")
+
+
 def _broken() -> Column:
-    """The rules that a field's value breaks; takes the columns of the rule table."""
-    value, kind = F.col("value"), F.col("kind")
-    is_ = F.schema_of_variant(value)
-    text = F.try_variant_get(value, "$", "string")
-    number = F.try_variant_get(value, "$", "double")
+    """The rules that a field's value breaks, and nulls; takes the columns of the rule table and of the value."""
+    value, kind, is_, text, number, items = (F.col(c) for c in ("value", "kind", "is", "text", "number", "items"))
     is_text = is_ == "STRING"
-    numeric = is_.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    whole = numeric & (number == F.floor(number))
-    items = F.size(F.try_variant_get(value, "$", "array<variant>"))
     fits = (
         F.when(kind == "any", F.lit(True))
         .when(kind == "string", is_text)
         .when(kind == "string or null", is_text | (is_ == "VOID"))
-        .when(kind == "integer", whole)
+        .when(kind == "integer", _is_numeric() & (number == F.floor(number)))
         .when(kind == "boolean", is_ == "BOOLEAN")
         .when(kind == "true", (is_ == "BOOLEAN") & F.coalesce(F.try_variant_get(value, "$", "boolean"), F.lit(False)))
         .when(kind == "object", is_.startswith("OBJECT"))
@@ -175,20 +181,21 @@ def _broken() -> Column:
     matches = F.lit(True)
     for i, pattern in enumerate(_PATTERNS):
         matches = F.when(F.col("pattern") == i, text.rlike(pattern)).otherwise(matches)
+    timed = F.coalesce(F.col("is_time"), F.lit(False))
     is_time = text.rlike(_RFC3339) & F.try_to_timestamp(F.upper(text)).isNotNull()
     unknown = kind.isNull() & ~F.col("parent").isin(*known.OPEN_OBJECTS)
     rules = [
         (unknown, "additional"),
         (kind.isNotNull() & ~fits, "type"),
-        (is_text & F.col("pattern").isNotNull() & ~matches, "pattern"),
-        (is_text & ~F.array_contains("one_of", text), "one_of"),
-        (numeric & (number < F.col("minimum")), "minimum"),
-        (is_text & (F.length(text) < F.col("min_length")), "min_length"),
-        (is_text & F.col("is_time") & ~is_time, "date_time"),
+        (F.col("pattern").isNotNull() & ~matches, "pattern"),
+        (~F.array_contains("one_of", text), "one_of"),
+        (number < F.col("minimum"), "minimum"),
+        (F.length(text) < F.col("min_length"), "min_length"),
+        (timed & is_text & ~is_time, "date_time"),
         (items < F.col("min_items"), "min_items"),
         (items > F.col("max_items"), "max_items"),
     ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for broken, name in rules]))
+    return F.array(*[F.when(F.coalesce(broken, F.lit(False)), F.lit(name)) for broken, name in rules])
 
 
 def conformance_of_documents(df: DataFrame, column: str = "receipt_json") -> DataFrame:

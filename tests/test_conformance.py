@@ -125,3 +125,19 @@ def test_counts(spark):
 def test_deep_and_long_documents(spark, text):
     got = C.document_violations(spark.createDataFrame([(text,)], "receipt_json string"))
     assert ("id", "required" if text.startswith('{"a"') else "pattern") in {(r.path, r.rule) for r in got.collect()}
+
+
+def test_values_and_objects_are_read_once(spark):
+    found = C.document_violations(spark.createDataFrame([("{}",)], "receipt_json string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schemaOfVariant(value") == 1
+    assert plan.count("$.credentialSubject.action, MapType") == 1
+
+
+def test_fields_of_empty_objects_are_missing_and_arrays_may_be_empty(spark):
+    text = '{"issuer": {}, "proof": [], "type": [], "@context": [1, "x", 2], "credentialSubject": {"principal": null}}'
+    found = C.document_violations(spark.createDataFrame([(7, text)], "n long, receipt_json string")).collect()
+    got = sorted((r.path, r.rule) for r in found)
+    missing = [(p, "required") for p in ("credentialSubject.action", "credentialSubject.chain", "credentialSubject.outcome", "id", "issuanceDate", "issuer.id", "version")]
+    wrong = [("@context[*]", "type"), ("@context[0]", "type"), ("@context[1]", "pattern"), ("credentialSubject.principal", "type"), ("proof", "type"), ("type", "min_items")]
+    assert got == sorted(missing + wrong) and {r.n for r in found} == {7}
